@@ -30,9 +30,27 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
+# Report precision: at most 6 decimals and at most 10 significant digits.
+# (upper bound of |x|, scale) - x is reported as floor(x*scale + 0.5)/scale.
+REPORT_SCALES = [(10.0 ** (4 + k), 10.0 ** (6 - k)) for k in range(8)]
+
+
 def round6(c: Column) -> Column:
-    """Report rounding: 6 decimals, -0.0 folded into 0.0."""
-    return F.round(c, 6) + F.lit(0.0)
+    """Report rounding: floor(x*scale + 0.5)/scale with the scale of
+    ``REPORT_SCALES``. Plain IEEE arithmetic, so equal doubles round the same
+    in any engine; |x| >= 1e11, NaN and infinities are kept as they are."""
+    scale = None
+    for bound, sc in REPORT_SCALES:
+        scale = (F.when(F.abs(c) < F.lit(bound), F.lit(sc)) if scale is None
+                 else scale.when(F.abs(c) < F.lit(bound), F.lit(sc)))
+    return F.when(scale.isNotNull(), F.floor(c * scale + F.lit(0.5)) / scale).otherwise(c)
+
+
+def round6_sql(expr: str) -> str:
+    """The same report rounding as SQL text."""
+    ladder = " ".join(f"WHEN abs({expr}) < {b!r} THEN {s!r}" for b, s in REPORT_SCALES)
+    scale = f"(CASE {ladder} END)"
+    return f"CASE WHEN {scale} IS NOT NULL THEN floor(({expr}) * {scale} + 0.5) / {scale} ELSE ({expr}) END"
 
 
 def all_of(conds: list[Column]) -> Column:

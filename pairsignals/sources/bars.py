@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 
 from pairsignals import schemas
 
+MONEY = "decimal(18,2)"
+# Running sums are taken in decimal (exact, order-free), then back to double.
+WALK_DECIMAL = "decimal(38,10)"
+
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Adapter: one bar per (supplier, ship date).
 
     close = sum(price)/sum(quantity), volume = sum(quantity), low/high =
     min/max of the unit price, open = the unit price of the line with the
-    smallest (l_orderkey, l_linenumber).
+    smallest (l_orderkey, l_linenumber). Prices are summed as decimals, so
+    the sum is exact and does not depend on the order rows arrive in.
     """
     lines = lineitem.select(
         F.col("l_suppkey").cast("string").alias("ticker"),
         F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_extendedprice").alias("price"),
+        F.col("l_extendedprice").cast(MONEY).alias("price"),
         F.col("l_quantity").alias("qty"),
         F.try_divide("l_extendedprice", "l_quantity").alias("unit"),
         F.struct("l_orderkey", "l_linenumber").alias("line"),
@@ -31,7 +36,7 @@ def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
             .agg(F.min_by("unit", "line").alias("open"),
                  F.max("unit").alias("high"),
                  F.min("unit").alias("low"),
-                 F.try_divide(F.sum("price"), F.sum("qty")).alias("close"),
+                 F.try_divide(F.sum("price").cast("double"), F.sum("qty")).alias("close"),
                  F.sum("qty").cast("double").alias("volume"))
             .select(*schemas.BAR_COLUMNS))
 
@@ -66,4 +71,5 @@ def walk_bars(bars: DataFrame, offset: float = 1500.0) -> DataFrame:
     """
     w = (Window.partitionBy("ticker").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return bars.withColumn("close", F.sum(F.col("close") - F.lit(offset)).over(w))
+    step = (F.col("close") - F.lit(offset)).cast(WALK_DECIMAL)
+    return bars.withColumn("close", F.sum(step).over(w).cast("double"))
