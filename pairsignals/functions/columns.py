@@ -30,27 +30,31 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.when(den != 0, num / den)
 
 
-# Report precision: at most 6 decimals and at most 10 significant digits.
-# (upper bound of |x|, scale) - x is reported as floor(x*scale + 0.5)/scale.
-REPORT_SCALES = [(10.0 ** (4 + k), 10.0 ** (6 - k)) for k in range(8)]
+# Report precision: at most 6 decimals and at most 10 significant digits:
+# x is reported as floor(x*s + 0.5)/s with s = 10^min(6, 9 - floor(log10|x|)).
+# Only exact powers of ten and IEEE arithmetic are involved, so equal doubles
+# round the same in any engine. |x| >= 1e11, 0, NaN and infinities are kept.
+REPORT_MAX_DECIMALS = 6
+REPORT_DIGITS = 10
 
 
 def round6(c: Column) -> Column:
-    """Report rounding: floor(x*scale + 0.5)/scale with the scale of
-    ``REPORT_SCALES``. Plain IEEE arithmetic, so equal doubles round the same
-    in any engine; |x| >= 1e11, NaN and infinities are kept as they are."""
-    scale = None
-    for bound, sc in REPORT_SCALES:
-        scale = (F.when(F.abs(c) < F.lit(bound), F.lit(sc)) if scale is None
-                 else scale.when(F.abs(c) < F.lit(bound), F.lit(sc)))
-    return F.when(scale.isNotNull(), F.floor(c * scale + F.lit(0.5)) / scale).otherwise(c)
+    """Report rounding (see above)."""
+    a = F.abs(c)
+    exp = F.least(F.lit(float(REPORT_MAX_DECIMALS)),
+                  F.lit(float(REPORT_DIGITS - 1)) - F.floor(F.log10(a)).cast("double"))
+    s = F.pow(F.lit(10.0), exp)
+    ok = (a > F.lit(0.0)) & (a < F.lit(1e11))
+    return F.when(ok, F.floor(c * s + F.lit(0.5)) / s).otherwise(c)
 
 
 def round6_sql(expr: str) -> str:
     """The same report rounding as SQL text."""
-    ladder = " ".join(f"WHEN abs({expr}) < {b!r} THEN {s!r}" for b, s in REPORT_SCALES)
-    scale = f"(CASE {ladder} END)"
-    return f"CASE WHEN {scale} IS NOT NULL THEN floor(({expr}) * {scale} + 0.5) / {scale} ELSE ({expr}) END"
+    a = f"abs({expr})"
+    s = (f"pow(10.0::DOUBLE, least({float(REPORT_MAX_DECIMALS)}::DOUBLE, "
+         f"{float(REPORT_DIGITS - 1)}::DOUBLE - floor(log10({a}))))")
+    return (f"CASE WHEN {a} > 0 AND {a} < 1e11 THEN floor(({expr}) * {s} + 0.5) / {s} "
+            f"ELSE ({expr}) END")
 
 
 def all_of(conds: list[Column]) -> Column:

@@ -87,7 +87,9 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
     if universe is not None:
         bars = bars.join(universe.select("ticker"), "ticker", "left_semi")
     ok = eligible_tickers(bars, cfg).select("ticker")
-    trimmed = trim_series(bars.join(ok, "ticker", "left_semi"), cfg.trim)
+    # Trim first, then keep eligible tickers: the semi join then sees only
+    # ``trim`` rows per ticker, and both branches share one bars exchange.
+    trimmed = trim_series(bars, cfg.trim).join(ok, "ticker", "left_semi")
     return (trimmed.where(F.col("rk") > F.lit(cfg.begin_day))
             .select("ticker", (F.col("rk") - F.lit(cfg.begin_day + 1)).alias("i"), "date",
                     F.col(value).alias("v"), "volume"))
