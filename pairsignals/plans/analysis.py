@@ -13,8 +13,8 @@ from pairsignals.config import AnalysisConfig
 from pairsignals.operators import signals as sig
 from pairsignals.operators.pairs import block_count
 from pairsignals.operators.series import analysis_window
-from pairsignals.operators.stats import (date_aligned_unordered, rank_aligned_unordered,
-                                         two_pass_stats, wide_stats)
+from pairsignals.operators.stats import (date_aligned_unordered, date_moment_stats,
+                                         rank_aligned_unordered, two_pass_stats, wide_stats)
 from pairsignals.sources.bars import walk_bars
 from pairsignals.sources.universe import first_n
 
@@ -37,13 +37,16 @@ def window_for(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None
 def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto") -> DataFrame:
     """Statistics of every ordered pair of eligible series.
 
-    ``method``: ``wide`` (one pass, rank alignment only), ``two_pass`` or
-    ``auto`` (wide when the window fits in columns).
+    ``method``: ``two_pass`` (the readable long form) or ``auto``: for rank
+    alignment the one-pass block kernel (``wide``) when the window is at most
+    ``WIDE_MAX_WINDOW`` long, for date alignment the one-pass moment form.
     """
     spark = window.sparkSession
     b = block_count(spark, cfg)
     if cfg.align == "date":
-        return two_pass_stats(date_aligned_unordered(window, b, cfg.min_overlap), "date", cfg.forward)
+        if method == "two_pass":
+            return two_pass_stats(date_aligned_unordered(window, b, cfg.min_overlap), "date", cfg.forward)
+        return date_moment_stats(window, b, cfg.min_overlap, cfg.forward)
     n = cfg.window
     if method == "auto":
         method = "wide" if 1 <= n <= WIDE_MAX_WINDOW else "two_pass"

@@ -139,3 +139,26 @@ def test_shift_invariance(spark):
     for k in a:
         assert math.isclose(a[k]["z_score"], b[k]["z_score"], rel_tol=1e-7, abs_tol=1e-9)
         assert math.isclose(a[k]["beta"], b[k]["beta"], rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_date_alignment_one_pass_equals_two_pass(spark):
+    rng = np.random.default_rng(4)
+    import datetime as dt
+    from conftest import make_bars as mk
+    # three tickers on partly different calendars
+    series = {f"D{k}": random_series(rng, N_BARS, "walk") for k in range(4)}
+    bars = mk(spark, series)
+    # drop some dates of D1 and D2 so that pairs share different subsets
+    from pyspark.sql import functions as F
+    bars = bars.where(~((F.col("ticker") == "D1") & (F.dayofmonth("date") % 3 == 0)))
+    bars = bars.where(~((F.col("ticker") == "D2") & (F.dayofmonth("date") % 4 == 1)))
+    cfg = AnalysisConfig(min_days=20, min_mean_volume=0.0, ndays=25, align="date", min_overlap=8,
+                         pair_blocks=2)
+    one = _rows(pair_verdicts(bars, cfg))
+    two = _rows(pair_verdicts(bars, cfg, method="two_pass"))
+    assert one.keys() == two.keys() and len(one) == 12
+    for k in one:
+        assert one[k]["n_obs"] == two[k]["n_obs"]
+        assert one[k]["date"] == two[k]["date"]
+        for c in ("alpha", "beta", "adf_t", "z_score", "signal_sd"):
+            assert math.isclose(one[k][c], two[k][c], rel_tol=1e-9, abs_tol=1e-9), (k, c)
