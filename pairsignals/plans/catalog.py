@@ -111,7 +111,7 @@ def q_series_ranked(spark, sf):
 def q_series_trimmed(spark, sf):
     b = bars(spark, sf)
     ok = ser.eligible_tickers(b, FILTER).select("ticker")
-    out = ser.trim_series(b.join(ok, "ticker", "left_semi"), FILTER.trim)
+    out = ser.trim_series(b, FILTER.trim).join(ok, "ticker", "left_semi")
     return report(out.select("ticker", "date", "close", "volume", F.col("rk").cast("long").alias("rk")))
 
 
