@@ -133,3 +133,25 @@ def test_refresh_stream_later_load_wins(spark):
     second = make_bars(spark, {"A": [9.0]}, start=dt.date(2001, 1, 3))
     out = {r["date"].day: r["close"] for r in run_refresh_stream(spark, [first, second]).collect()}
     assert out == {1: 1.0, 2: 2.0, 3: 9.0}
+
+
+def test_full_load_then_nightly_job(spark):
+    from pairsignals.plans.nightly import full_load_job, nightly_job
+    import numpy as np
+    from conftest import random_series
+    rng = np.random.default_rng(12)
+    series = {f"N{k}": random_series(rng, 30, "noise") for k in range(4)}
+    src = make_bars(spark, series)
+    uni = spark.createDataFrame([(k, t, t) for k, t in enumerate(sorted(series))], schemas.UNIVERSE)
+    bars_t = store.VersionedTable(spark, scratch_path(spark, "nb-bars"), sort_by=("ticker",))
+    meta_t = store.VersionedTable(spark, scratch_path(spark, "nb-meta"))
+    sig_t = store.VersionedTable(spark, scratch_path(spark, "nb-signals"))
+    first = src.where(F.col("date") <= F.lit("2001-01-25").cast("date"))
+    report = full_load_job(spark, bars_t, meta_t, first, uni, now=dt.datetime(2001, 1, 25))
+    assert {r["n_rows"] for r in report.collect()} == {25}
+    cfg = AnalysisConfig(min_days=20, min_mean_volume=0.0, ndays=20, z_thresh=0.0)
+    v = nightly_job(spark, bars_t, meta_t, sig_t, src, cfg, uni, overlap_days=5,
+                    now=dt.datetime(2001, 1, 31))
+    assert bars_t.read().count() == 4 * 30
+    assert sig_t.read(v).count() == pair_verdicts(src, cfg, uni).where("verdict = 'tradeable'").count()
+    assert ingest.last_update(meta_t.read()) == dt.date(2001, 1, 31)
