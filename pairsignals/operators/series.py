@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairsignals.config import AnalysisConfig
 from pairsignals.functions.columns import gt_not_nan
+from pairsignals.sources.bars import WALK_DECIMAL, walk_step
 
 
 def series_profile(bars: DataFrame) -> DataFrame:
@@ -75,21 +76,40 @@ def series_scan(bars: DataFrame, universe: DataFrame | None = None, ticker: str
 
 
 def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None = None,
-                    value: str = "close") -> DataFrame:
+                    value: str = "close", walk_offset: float | None = None) -> DataFrame:
     """P3-P6 in order: filter, rank, trim, slice.
 
     Returns ``(ticker, i, date, v, volume)`` where ``i`` = 0 is the newest
     bar of the window (position ``begin_day`` of the trimmed series) and
     ``i`` < ``cfg.window``. Only the newest ``min(ndays, min_days)`` bars are
     ranked out, so the bars between ``ndays`` and ``min_days`` are never moved.
+
+    With ``walk_offset`` the value is the running sum of ``close - offset``
+    over the whole history, computed as the ticker's total (a partial
+    aggregate) minus the sum over the newer bars of the trimmed window, in
+    exact decimals: no window ever spans a ticker's full history.
     """
     cfg.validate()
     if universe is not None:
         bars = bars.join(universe.select("ticker"), "ticker", "left_semi")
-    ok = eligible_tickers(bars, cfg).select("ticker")
-    # Trim first, then keep eligible tickers: the semi join then sees only
-    # ``trim`` rows per ticker, and both branches share one bars exchange.
-    trimmed = trim_series(bars, cfg.trim).join(ok, "ticker", "left_semi")
-    return (trimmed.where(F.col("rk") > F.lit(cfg.begin_day))
+    prof = bars.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_bars"),
+        F.avg("volume").alias("mean_volume"),
+        *([F.sum(walk_step(walk_offset)).alias("_total")] if walk_offset is not None else []),
+    )
+    ok = filter_min_volume(filter_min_history(prof, cfg.min_days), cfg.min_mean_volume)
+    # Trim first, then keep eligible tickers: the join then sees only
+    # ``trim`` rows per ticker.
+    trimmed = trim_series(bars, cfg.trim)
+    if walk_offset is None:
+        trimmed = trimmed.join(ok.select("ticker"), "ticker", "left_semi")
+        v = F.col(value)
+    else:
+        trimmed = trimmed.join(ok.select("ticker", "_total"), "ticker", "inner")
+        newer = (Window.partitionBy("ticker").orderBy("rk")
+                 .rowsBetween(Window.unboundedPreceding, -1))
+        suffix = F.coalesce(F.sum(walk_step(walk_offset)).over(newer), F.lit(0).cast(WALK_DECIMAL))
+        v = (F.col("_total") - suffix).cast("double")
+    return (trimmed.withColumn("_v", v).where(F.col("rk") > F.lit(cfg.begin_day))
             .select("ticker", (F.col("rk") - F.lit(cfg.begin_day + 1)).alias("i"), "date",
-                    F.col(value).alias("v"), "volume"))
+                    F.col("_v").alias("v"), "volume"))

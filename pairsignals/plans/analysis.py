@@ -23,6 +23,7 @@ WIDE_MAX_WINDOW = 256
 
 
 def series_for(bars: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """The configured series as bars (full-history form of the running sum)."""
     return walk_bars(bars, cfg.walk_offset) if cfg.series == "walk" else bars
 
 
@@ -31,7 +32,8 @@ def window_for(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None
     cfg.validate()
     if universe is not None and cfg.universe_limit is not None:
         universe = first_n(universe, cfg.universe_limit)
-    return analysis_window(series_for(bars, cfg), cfg, universe)
+    walk = cfg.walk_offset if cfg.series == "walk" else None
+    return analysis_window(bars, cfg, universe, walk_offset=walk)
 
 
 def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto") -> DataFrame:

@@ -13,7 +13,9 @@ from pairsignals import schemas
 
 MONEY = "decimal(18,2)"
 # Running sums are taken in decimal (exact, order-free), then back to double.
-WALK_DECIMAL = "decimal(38,10)"
+# 14 integer digits per step leave room for sums and differences of sums
+# without Spark reducing the scale.
+WALK_DECIMAL = "decimal(24,10)"
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -64,12 +66,19 @@ def bars_in_range(bars: DataFrame, start=None, end=None, universe: DataFrame | N
     return out
 
 
+def walk_step(offset: float = 1500.0):
+    """The exact increment of the running-sum series."""
+    return (F.col("close") - F.lit(offset)).cast(WALK_DECIMAL)
+
+
 def walk_bars(bars: DataFrame, offset: float = 1500.0) -> DataFrame:
     """Bars whose close is the running sum of ``close - offset`` by date.
 
     Used to get series that are not all cointegrated; other columns kept.
+    This form windows over each ticker's whole history; the analysis uses
+    ``analysis_window(..., walk_offset=...)``, which needs only the trimmed
+    rows and a per-ticker total.
     """
     w = (Window.partitionBy("ticker").orderBy("date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    step = (F.col("close") - F.lit(offset)).cast(WALK_DECIMAL)
-    return bars.withColumn("close", F.sum(step).over(w).cast("double"))
+    return bars.withColumn("close", F.sum(walk_step(offset)).over(w).cast("double"))

@@ -155,3 +155,17 @@ def test_full_load_then_nightly_job(spark):
     assert bars_t.read().count() == 4 * 30
     assert sig_t.read(v).count() == pair_verdicts(src, cfg, uni).where("verdict = 'tradeable'").count()
     assert ingest.last_update(meta_t.read()) == dt.date(2001, 1, 31)
+
+
+def test_walk_from_totals_equals_running_sum(spark):
+    import numpy as np
+    from conftest import random_series
+    from pairsignals.operators.series import analysis_window
+    from pairsignals.sources.bars import walk_bars
+    rng = np.random.default_rng(8)
+    bars = make_bars(spark, {f"W{k}": random_series(rng, 40, "noise") for k in range(3)})
+    cfg = AnalysisConfig(min_days=30, min_mean_volume=0.0, ndays=12, begin_day=2)
+    fast = {(r["ticker"], r["i"]): r["v"] for r in analysis_window(bars, cfg, walk_offset=1500.0).collect()}
+    full = {(r["ticker"], r["i"]): r["v"] for r in analysis_window(walk_bars(bars, 1500.0), cfg).collect()}
+    assert fast.keys() == full.keys() and len(fast) == 30
+    assert all(fast[k] == full[k] for k in fast)
