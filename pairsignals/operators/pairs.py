@@ -37,11 +37,14 @@ def _blocked(df: DataFrame, b: int, key: str) -> DataFrame:
     return df.withColumn("_blk", F.pmod(F.xxhash64(F.col(key)), F.lit(b)).cast("int"))
 
 
-def unordered_pairs(df: DataFrame, b: int, key: str = "ticker", on: tuple[str, ...] = ()) -> DataFrame:
+def unordered_pairs(df: DataFrame, b: int, key: str = "ticker", on: tuple[str, ...] = (),
+                    tasks: int | None = None) -> DataFrame:
     """Every unordered pair of distinct ``key`` values, matched on ``on``.
 
     Columns of the left row get prefix ``a_``, of the right row ``b_``;
-    the block columns are dropped.
+    the block columns are dropped. ``tasks`` fixes the number of join tasks
+    (both sides hash-partitioned alike on the join keys), for joins whose
+    output is much larger than their input.
     """
     cols = df.columns
     blk = _blocked(df, b, key)
@@ -55,6 +58,9 @@ def unordered_pairs(df: DataFrame, b: int, key: str = "ticker", on: tuple[str, .
         F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_ga"),
         F.col("_blk").alias("_gb"),
     )
+    if tasks:
+        left = left.repartition(tasks, "_ga", "_gb", *[f"a_{c}" for c in on])
+        right = right.repartition(tasks, "_ga", "_gb", *[f"b_{c}" for c in on])
     cond: Column = (left["_ga"] == right["_ga"]) & (left["_gb"] == right["_gb"])
     for c in on:
         cond = cond & (left[f"a_{c}"] == right[f"b_{c}"])

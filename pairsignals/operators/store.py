@@ -149,18 +149,22 @@ class VersionedTable:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
 
-    def versions(self) -> list[int]:
+    def _version_folders(self) -> dict[int, bool]:
+        """Every version folder and whether it is complete (has _SUCCESS)."""
         fs, jvm = self._fs()
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         if not fs.exists(root):
-            return []
-        out = []
+            return {}
+        out = {}
         for st in fs.listStatus(root):
             name = st.getPath().getName()
             if name.startswith("v") and name[1:].isdigit():
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                    out.append(int(name[1:]))
-        return sorted(out)
+                out[int(name[1:])] = bool(fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+        return out
+
+    def versions(self) -> list[int]:
+        """Complete versions, oldest first (a failed write leaves no _SUCCESS)."""
+        return sorted(v for v, done in self._version_folders().items() if done)
 
     def path(self, version: int) -> str:
         return f"{self.root}/v{version:06d}"
@@ -179,8 +183,10 @@ class VersionedTable:
         return reader.parquet(self.path(version))
 
     def write(self, df: DataFrame, coalesce: int | None = None) -> int:
-        """Write ``df`` as the next version and return its number."""
-        nxt = (self.current_version() or 0) + 1
+        """Write ``df`` as the next version and return its number. Numbers go
+        past every folder, so a retry after a failed write never collides
+        with the partial folder it left."""
+        nxt = max(self._version_folders(), default=0) + 1
         out = df
         if coalesce:
             out = out.coalesce(coalesce)

@@ -169,3 +169,15 @@ def test_walk_from_totals_equals_running_sum(spark):
     full = {(r["ticker"], r["i"]): r["v"] for r in analysis_window(walk_bars(bars, 1500.0), cfg).collect()}
     assert fast.keys() == full.keys() and len(fast) == 30
     assert all(fast[k] == full[k] for k in fast)
+
+
+def test_versioned_table_survives_a_partial_write(spark):
+    import os
+    root = scratch_path(spark, "partial")
+    tbl = store.VersionedTable(spark, root)
+    bars = make_bars(spark, {"A": [1.0, 2.0]})
+    assert tbl.write(bars) == 1
+    os.makedirs(root.replace("file:", "") + "/v000002")  # a write that died: no _SUCCESS
+    assert tbl.current_version() == 1
+    assert tbl.write(bars.where("close > 1")) == 3
+    assert tbl.current_version() == 3 and tbl.read().count() == 1
