@@ -25,7 +25,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         # HotSpot does not JIT methods above 8000 bytes; past that, Spark falls
         # back to per-operator code instead of running one huge method interpreted.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", os.environ.get("PAIRSIGNALS_HUGE_METHOD_LIMIT", "8000"))
         .config("spark.driver.memory", os.environ.get("PAIRSIGNALS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
