@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsignals import schemas
 from pairsignals.config import AnalysisConfig
 from pairsignals.functions.calendar import date_from_iso_parts, date_parts, iso_date, record_key
 from pairsignals.functions.columns import round6
@@ -26,8 +25,7 @@ from pairsignals.operators import series as ser
 from pairsignals.operators import signals as sig
 from pairsignals.operators import store
 from pairsignals.operators.pairs import block_count, pairs_aligned_date, pairs_aligned_rank, pairs_all
-from pairsignals.operators.stats import (date_aligned_unordered, rank_aligned_unordered,
-                                         residual_rows)
+from pairsignals.operators.stats import rank_aligned_unordered, residual_rows
 from pairsignals.plans import analysis, ingest
 from pairsignals.session import scratch_path
 from pairsignals.sources.bars import bars_from_lineitem, bars_in_range

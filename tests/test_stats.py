@@ -143,7 +143,6 @@ def test_shift_invariance(spark):
 
 def test_date_alignment_one_pass_equals_two_pass(spark):
     rng = np.random.default_rng(4)
-    import datetime as dt
     from conftest import make_bars as mk
     # three tickers on partly different calendars
     series = {f"D{k}": random_series(rng, N_BARS, "walk") for k in range(4)}
