@@ -8,7 +8,7 @@ import pytest
 from conftest import make_bars, random_series
 from pairsignals.config import AnalysisConfig
 from pairsignals.plans.analysis import pair_verdicts
-from reference_model import pair as model_pair
+from pair_model import pair as model_pair
 
 N_BARS = 40
 
