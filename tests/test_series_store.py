@@ -181,3 +181,29 @@ def test_versioned_table_survives_a_partial_write(spark):
     assert tbl.current_version() == 1
     assert tbl.write(bars.where("close > 1")) == 3
     assert tbl.current_version() == 3 and tbl.read().count() == 1
+
+
+def test_jobs_full_load_refresh_analyze(spark, tmp_path):
+    import numpy as np
+    from conftest import random_series
+    from pairsignals import jobs
+    rng = np.random.default_rng(31)
+    series = {f"J{k}": random_series(rng, 30, "noise") for k in range(4)}
+    src_dir = scratch_path(spark, "jobs-src")
+    make_bars(spark, series).write.parquet(src_dir)
+    uni = tmp_path / "tickers.tsv"
+    uni.write_text("".join(f"{t}\t{t} Inc\n" for t in sorted(series)))
+    store_root = scratch_path(spark, "jobs-store")
+    common = ["--store", store_root, "--source", src_dir, "--universe", str(uni)]
+    assert jobs.run(spark, ["full-load", *common, "--end", "2001-01-25", "--now", "2001-01-25T00:00"]) == 1
+    st = jobs.Store(spark, store_root)
+    assert st.stored_bars().count() == 4 * 25
+    assert jobs.run(spark, ["refresh", *common, "--now", "2001-01-31T00:00"]) == 2
+    assert st.stored_bars().count() == 4 * 30
+    assert jobs.run(spark, ["analyze", "--store", store_root, "--min-days", "20", "--min-mean-volume", "0",
+                            "--ndays", "20", "--z-thresh", "0"]) == 1
+    want = pair_verdicts(make_bars(spark, series), AnalysisConfig(min_days=20, min_mean_volume=0, ndays=20,
+                                                                  z_thresh=0.0))
+    assert st.signals.read().count() == want.where("verdict = 'tradeable'").count()
+    with pytest.raises(SystemExit):
+        jobs.run(spark, ["refresh", "--store", store_root])
