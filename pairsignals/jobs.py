@@ -1,6 +1,6 @@
 """Command-line jobs for spark-submit: full load, refresh, analyze, nightly.
 
-    spark-submit --py-files pairsignals.zip -m pairsignals.jobs full-load \\
+    spark-submit --py-files pairsignals.zip pairsignals/jobs.py full-load \\
         --store s3://bucket/pairs --source s3://bucket/bars --universe s3://bucket/tickers.tsv
     ... refresh  --store ... --source ...            (re-load from last update - 5 days)
     ... analyze  --store ... [--min-days 2000 --min-mean-volume 20000 --ndays 100 ...]
