@@ -72,7 +72,7 @@ def analyze(spark, args) -> int:
     cfg = AnalysisConfig(min_days=args.min_days, min_mean_volume=args.min_mean_volume, ndays=args.ndays,
                          begin_day=args.begin_day, z_thresh=args.z_thresh, crit_level=args.level,
                          spread=args.spread, align=args.align, min_overlap=args.min_overlap).validate()
-    return st.signals.write(analysis.signals(bars, cfg, _universe(spark, args)), coalesce=args.files)
+    return st.signals.write(analysis.signals(bars, cfg, _universe(spark, args)), files=args.files)
 
 
 def _now(args) -> dt.datetime:

@@ -182,14 +182,16 @@ class VersionedTable:
             reader = reader.schema(schema)
         return reader.parquet(self.path(version))
 
-    def write(self, df: DataFrame, coalesce: int | None = None) -> int:
+    def write(self, df: DataFrame, files: int | None = None) -> int:
         """Write ``df`` as the next version and return its number. Numbers go
         past every folder, so a retry after a failed write never collides
         with the partial folder it left."""
         nxt = max(self._version_folders(), default=0) + 1
         out = df
-        if coalesce:
-            out = out.coalesce(coalesce)
+        if files:
+            # repartition, not coalesce: coalesce would narrow the whole
+            # upstream stage (e.g. the pair kernel) to ``files`` tasks.
+            out = out.repartition(files)
         if self.sort_by:
             out = out.sortWithinPartitions(*self.sort_by)
         writer = out.write.mode("errorifexists")

@@ -249,7 +249,7 @@ def q_signals_write_tradeable(spark, sf):
     """Write the tradeable pairs to a fresh signal table, read it back."""
     tbl = store.VersionedTable(spark, scratch_path(spark, "signals"))
     rows = report(sig.signal_rows(sig.tradeable(_verdicts(spark, sf))))
-    v = tbl.write(rows, coalesce=20)
+    v = tbl.write(rows, files=20)
     return tbl.read(v)
 
 
