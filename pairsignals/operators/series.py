@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pairsignals.config import AnalysisConfig
 from pairsignals.functions.columns import gt_not_nan
-from pairsignals.sources.bars import WALK_DECIMAL, walk_step
+from pairsignals.sources.bars import NULL_YEAR, WALK_DECIMAL, walk_step
 
 
 def series_profile(bars: DataFrame) -> DataFrame:
@@ -46,15 +46,37 @@ def eligible_tickers(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
     return filter_min_volume(filter_min_history(prof, cfg.min_days), cfg.min_mean_volume)
 
 
+def _year_bucket() -> F.Column:
+    """The (ticker, year) bucket of a bar; a null date gets its own bucket,
+    placed where Spark sorts a null date (last newest-first, first oldest-first)."""
+    return F.coalesce(F.year("date"), F.lit(NULL_YEAR))
+
+
 def rank_series(bars: DataFrame) -> DataFrame:
-    """``rk`` = 1 for the newest bar of each ticker, 2 for the next..."""
-    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
-    return bars.withColumn("rk", F.row_number().over(w))
+    """``rk`` = 1 for the newest bar of each ticker, 2 for the next...
+
+    Over the whole history, in two levels so that no task sorts a ticker's
+    whole history: bars per (ticker, year) (partial aggregate), the bars in
+    newer years (a window over the small per-year table), plus the
+    ``row_number`` inside the (ticker, year) group."""
+    b = bars.withColumn("_yr", _year_bucket())
+    newer_years = (Window.partitionBy("ticker").orderBy(F.col("_yr").desc())
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (b.groupBy("ticker", "_yr").agg(F.count(F.lit(1)).alias("_ny"))
+               .select("ticker", "_yr", F.coalesce(F.sum("_ny").over(newer_years), F.lit(0)).alias("_off")))
+    in_year = Window.partitionBy("ticker", "_yr").orderBy(F.col("date").desc())
+    return (b.join(offsets, ["ticker", "_yr"], "left")
+            .select(*bars.columns, (F.col("_off") + F.row_number().over(in_year)).cast("int").alias("rk")))
 
 
 def trim_series(bars: DataFrame, n: int) -> DataFrame:
-    """Newest ``n`` bars of each ticker (rank filter, top-k per group)."""
-    return rank_series(bars).where(F.col("rk") <= F.lit(n))
+    """Newest ``n`` bars of each ticker (rank filter, top-k per group).
+
+    A single ``row_number`` window: with the ``rk <= n`` filter Spark runs a
+    partial ``WindowGroupLimit`` before the shuffle, so at most ``n`` rows per
+    ticker and map task move."""
+    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    return bars.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.lit(n))
 
 
 def series_latest(bars: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ MONEY = "decimal(18,2)"
 # 14 integer digits per step leave room for sums and differences of sums
 # without Spark reducing the scale.
 WALK_DECIMAL = "decimal(24,10)"
+# The type of a sum of steps; carried sums are kept in it so adding the
+# in-year sum stays at scale 10 (no precision-loss rounding).
+WALK_SUM_DECIMAL = "decimal(34,10)"
+# Year bucket of a null date: below every real year, as Spark sorts a null
+# date first in ascending order (and last in descending order).
+NULL_YEAR = -(2 ** 31)
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -75,10 +81,23 @@ def walk_bars(bars: DataFrame, offset: float = 1500.0) -> DataFrame:
     """Bars whose close is the running sum of ``close - offset`` by date.
 
     Used to get series that are not all cointegrated; other columns kept.
-    This form windows over each ticker's whole history; the analysis uses
+    Over the whole history, in two levels so that no task holds a ticker's
+    whole history: the sum per (ticker, year) (partial aggregate), carried
+    over the earlier years by a window on that small table, plus the running
+    sum inside the (ticker, year) group. The steps are exact decimals, so the
+    result equals the one-window running sum bit for bit. The analysis uses
     ``analysis_window(..., walk_offset=...)``, which needs only the trimmed
     rows and a per-ticker total.
     """
-    w = (Window.partitionBy("ticker").orderBy("date")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return bars.withColumn("close", F.sum(walk_step(offset)).over(w).cast("double"))
+    step = walk_step(offset)
+    b = bars.withColumn("_yr", F.coalesce(F.year("date"), F.lit(NULL_YEAR)))
+    earlier = (Window.partitionBy("ticker").orderBy("_yr")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = (b.groupBy("ticker", "_yr").agg(F.sum(step).alias("_ys"))
+             .select("ticker", "_yr", F.coalesce(F.sum("_ys").over(earlier), F.lit(0))
+                     .cast(WALK_SUM_DECIMAL).alias("_carry")))
+    in_year = (Window.partitionBy("ticker", "_yr").orderBy("date")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    walked = (F.col("_carry") + F.sum(step).over(in_year)).cast("double")
+    return (b.join(carry, ["ticker", "_yr"], "left")
+            .select(*[walked.alias(c) if c == "close" else F.col(c) for c in bars.columns]))
