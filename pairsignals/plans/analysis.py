@@ -13,7 +13,7 @@ from pairsignals.config import AnalysisConfig
 from pairsignals.operators import signals as sig
 from pairsignals.operators.pairs import block_count
 from pairsignals.operators.series import analysis_window
-from pairsignals.operators.stats import (date_aligned_unordered, date_moment_stats,
+from pairsignals.operators.stats import (date_aligned_unordered, date_block_stats, date_moment_stats,
                                          rank_aligned_unordered, two_pass_stats, wide_stats)
 from pairsignals.sources.bars import walk_bars
 from pairsignals.sources.universe import first_n
@@ -41,14 +41,19 @@ def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto"
 
     ``method``: ``two_pass`` (the readable long form) or ``auto``: for rank
     alignment the one-pass block kernel (``wide``) when the window is at most
-    ``WIDE_MAX_WINDOW`` long, for date alignment the one-pass moment form.
+    ``WIDE_MAX_WINDOW`` long, for date alignment the one-pass block kernel
+    (``date_block_stats``; ``moments`` is its Spark-operator cross-check).
     """
     spark = window.sparkSession
     b = block_count(spark, cfg)
     if cfg.align == "date":
         if method == "two_pass":
             return two_pass_stats(date_aligned_unordered(window, b, cfg.min_overlap), "date", cfg.forward)
-        return date_moment_stats(window, b, cfg.min_overlap, cfg.forward)
+        if method == "moments":
+            return date_moment_stats(window, b, cfg.min_overlap, cfg.forward)
+        if method in ("auto", "wide"):
+            return date_block_stats(window, b, cfg.min_overlap, cfg.forward)
+        raise ValueError(f"unknown method {method!r}")
     n = cfg.window
     if method == "auto":
         method = "wide" if 1 <= n <= WIDE_MAX_WINDOW else "two_pass"

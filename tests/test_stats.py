@@ -141,7 +141,8 @@ def test_shift_invariance(spark):
         assert math.isclose(a[k]["beta"], b[k]["beta"], rel_tol=1e-7, abs_tol=1e-9)
 
 
-def test_date_alignment_one_pass_equals_two_pass(spark):
+@pytest.mark.parametrize("method", ["auto", "moments"])
+def test_date_alignment_one_pass_equals_two_pass(spark, method):
     rng = np.random.default_rng(4)
     from conftest import make_bars as mk
     # three tickers on partly different calendars
@@ -153,7 +154,7 @@ def test_date_alignment_one_pass_equals_two_pass(spark):
     bars = bars.where(~((F.col("ticker") == "D2") & (F.dayofmonth("date") % 4 == 1)))
     cfg = AnalysisConfig(min_days=20, min_mean_volume=0.0, ndays=25, align="date", min_overlap=8,
                          pair_blocks=2)
-    one = _rows(pair_verdicts(bars, cfg))
+    one = _rows(pair_verdicts(bars, cfg, method=method))
     two = _rows(pair_verdicts(bars, cfg, method="two_pass"))
     assert one.keys() == two.keys() and len(one) == 12
     for k in one:
@@ -161,3 +162,46 @@ def test_date_alignment_one_pass_equals_two_pass(spark):
         assert one[k]["date"] == two[k]["date"]
         for c in ("alpha", "beta", "adf_t", "z_score", "signal_sd"):
             assert math.isclose(one[k][c], two[k][c], rel_tol=1e-9, abs_tol=1e-9), (k, c)
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_date_block_kernel_chunks_agree(monkeypatch, diagonal):
+    """The date kernel gives the same sums whatever the chunk of left tickers,
+    and pairs without a shared date give no row."""
+    import pandas as pd
+    from pairsignals.operators import kernels
+    rng = np.random.default_rng(5)
+    rows = []
+    for side in (0, 1):
+        names = [f"T{k}" for k in range(6)] if diagonal else [f"{'L' if side == 0 else 'R'}{k}" for k in range(6)]
+        for k, t in enumerate(names):
+            days = range(100, 130) if k < 5 else range(500, 520)  # the last ticker shares no date
+            for d in days:
+                if (d + k) % (k + 2) == 0:
+                    continue
+                x = float(rng.normal())
+                rows.append((0, 0 if diagonal else 1, side, t, d, x, x + 7.0, 7.0))
+    pdf = pd.DataFrame(rows, columns=["_ga", "_gb", "_side", "ticker", "day", "x", "v", "mu"])
+    whole = kernels.date_block_sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
+    monkeypatch.setattr(kernels, "DATE_CHUNK_ROWS", 1)
+    chunked = kernels.date_block_sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, chunked)
+    # the sixth ticker shares dates only with the sixth of the other side
+    # (itself in a diagonal block, which is no pair)
+    n_pairs = 10 if diagonal else 5 * 5 + 1
+    assert len(whole) == n_pairs
+    if diagonal:
+        assert (whole["a_ticker"] < whole["b_ticker"]).all()
+    # brute force for one pair
+    a, b = whole.iloc[0]["a_ticker"], whole.iloc[0]["b_ticker"]
+    la = pdf[(pdf["_side"] == 0) & (pdf["ticker"] == a)].set_index("day")["x"]
+    rb = pdf[(pdf["_side"] == 1) & (pdf["ticker"] == b)].set_index("day")["x"]
+    shared = sorted(set(la.index) & set(rb.index), reverse=True)
+    xa, xb = la.loc[shared].to_numpy(), rb.loc[shared].to_numpy()
+    r = whole.iloc[0]
+    assert r["n_obs"] == len(shared) and r["day0"] == shared[0]
+    assert math.isclose(r["sab"], float(xa @ xb), rel_tol=1e-12)
+    assert math.isclose(r["lab"], float(xa[:-1] @ xb[1:]), rel_tol=1e-12)
+    assert math.isclose(r["lba"], float(xb[:-1] @ xa[1:]), rel_tol=1e-12)
+    assert math.isclose(r["laa"], float(xa[:-1] @ xa[1:]), rel_tol=1e-12)
+    assert r["ae"] == xa[-1] and r["be"] == xb[-1]
