@@ -239,3 +239,16 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
     walked = walk_bars(bars, 1500.0)
     assert walked.columns == bars.columns
     assert {(r["ticker"], r["date"], r["close"]) for r in walked.collect()} == want_walk
+
+
+def test_packed_line_key_orders_like_the_pair_and_guards_its_range(spark):
+    from pyspark.sql import functions as F
+    from pairsignals.sources.bars import ORDERKEY_BOUND, line_key
+    keys = [(o, ln) for o in (-(ORDERKEY_BOUND - 1), -5, 0, 3, 4, ORDERKEY_BOUND - 1)
+            for ln in (0, 1, 7, 65535)]
+    df = spark.createDataFrame(keys, "l_orderkey long, l_linenumber int")
+    got = [(r["l_orderkey"], r["l_linenumber"]) for r in df.orderBy(line_key()).collect()]
+    assert got == sorted(keys)
+    for bad in ((1, 65536), (1, -1), (ORDERKEY_BOUND, 1), (None, 1)):
+        with pytest.raises(Exception, match="packed line-key range"):
+            spark.createDataFrame([bad], "l_orderkey long, l_linenumber int").select(line_key()).collect()
