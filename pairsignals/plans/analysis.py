@@ -18,8 +18,6 @@ from pairsignals.operators.stats import (date_aligned_unordered, date_block_stat
 from pairsignals.sources.bars import walk_bars
 from pairsignals.sources.universe import first_n
 
-# Widest window laid out as columns; longer windows use the two-pass form.
-WIDE_MAX_WINDOW = 256
 
 
 def series_for(bars: DataFrame, cfg: AnalysisConfig) -> DataFrame:
@@ -40,8 +38,8 @@ def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto"
     """Statistics of every ordered pair of eligible series.
 
     ``method``: ``two_pass`` (the readable long form) or ``auto``: for rank
-    alignment the one-pass block kernel (``wide``) when the window is at most
-    ``WIDE_MAX_WINDOW`` long, for date alignment the one-pass block kernel
+    alignment the one-pass block kernel (``wide``), for any window length;
+    for date alignment the one-pass block kernel
     (``date_block_stats``; ``moments`` is its Spark-operator cross-check).
     """
     spark = window.sparkSession
@@ -56,7 +54,7 @@ def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto"
         raise ValueError(f"unknown method {method!r}")
     n = cfg.window
     if method == "auto":
-        method = "wide" if 1 <= n <= WIDE_MAX_WINDOW else "two_pass"
+        method = "wide"
     if method == "wide":
         return wide_stats(window, n, b, cfg.forward)
     if method == "two_pass":

@@ -205,3 +205,24 @@ def test_date_block_kernel_chunks_agree(monkeypatch, diagonal):
     assert math.isclose(r["lba"], float(xb[:-1] @ xa[1:]), rel_tol=1e-12)
     assert math.isclose(r["laa"], float(xa[:-1] @ xa[1:]), rel_tol=1e-12)
     assert r["ae"] == xa[-1] and r["be"] == xb[-1]
+
+
+def test_long_window_uses_one_pass_and_matches_two_pass(spark):
+    """Windows longer than the unrolled limit still take the one-pass kernel
+    (per-ticker sums as array aggregates) and agree with the two-pass form."""
+    from pairsignals.operators.stats import UNROLL_MAX_WINDOW
+    rng = np.random.default_rng(13)
+    n = UNROLL_MAX_WINDOW + 44
+    series = {f"L{k}": random_series(rng, n + 10, kind) for k, kind in enumerate(("walk", "noise", "walk", "noise"))}
+    bars = make_bars(spark, series)
+    cfg = AnalysisConfig(min_days=n + 5, min_mean_volume=0.0, ndays=n, pair_blocks=2)
+    assert cfg.window == n
+    df = pair_verdicts(bars, cfg)
+    assert "FlatMapGroupsInPandas" in df._jdf.queryExecution().executedPlan().toString()
+    w = _rows(df)
+    t = _rows(pair_verdicts(bars, cfg, method="two_pass"))
+    assert w.keys() == t.keys() and len(w) == 12
+    for k in w:
+        assert w[k]["n_obs"] == n
+        for c in ("alpha", "beta", "adf_t", "z_score", "signal_sd"):
+            assert math.isclose(w[k][c], t[k][c], rel_tol=1e-8, abs_tol=1e-9), (k, c)
