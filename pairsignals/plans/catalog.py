@@ -363,7 +363,7 @@ def q_bars_load_one_ticker(spark, sf):
 
 def q_load_report(spark, sf):
     loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), LOAD_START, None)
-    return ingest.load_report(loaded, universe(spark, sf), FIRST_N)
+    return ingest.load_report(loaded, universe(spark, sf), None)
 
 
 def q_full_load_counts(spark, sf):

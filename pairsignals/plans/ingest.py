@@ -38,8 +38,8 @@ def load_counts(loaded: DataFrame) -> DataFrame:
 
 
 def load_report(loaded: DataFrame, universe: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Every ticker of the first ``limit`` universe entries with its row
-    count (0 when nothing was loaded) and ``added`` / ``not_added``."""
+    """Every universe ticker (the first ``limit`` entries when given) with
+    its row count (0 when nothing was loaded) and ``added`` / ``not_added``."""
     uni = first_n(universe, limit).select("ticker")
     counts = load_counts(loaded.join(uni, "ticker", "left_semi"))
     return (uni.join(counts, "ticker", "left")

@@ -240,8 +240,7 @@ def build() -> dict[str, str]:
     loaded = f"(SELECT * FROM bars WHERE date >= {_d(C.LOAD_START)} AND ticker IN {UNIVERSE})"
     q["load_report"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
                         "CASE WHEN coalesce(c.n, 0) > 0 THEN 'added' ELSE 'not_added' END AS status "
-                        f"FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier ORDER BY s_suppkey "
-                        f"LIMIT {C.FIRST_N}) u "
+                        "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier) u "
                         f"LEFT JOIN (SELECT ticker, count(*) AS n FROM {loaded} GROUP BY ticker) c "
                         "ON u.ticker = c.ticker")
     q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM {loaded} GROUP BY ticker"
