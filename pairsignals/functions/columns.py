@@ -8,18 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def tree_sum(terms: list[Column]) -> Column:
-    """Sum of many columns as a balanced tree (shallow expression, one codegen span)."""
-    if not terms:
-        return F.lit(0.0)
-    while len(terms) > 1:
-        nxt = [terms[i] + terms[i + 1] for i in range(0, len(terms) - 1, 2)]
-        if len(terms) % 2:
-            nxt.append(terms[-1])
-        terms = nxt
-    return terms[0]
-
-
 def gt_not_nan(c: Column, bound) -> Column:
     """``c > bound`` with Python semantics for NaN (NaN is never greater)."""
     return (c > F.lit(bound)) & ~F.isnan(c)

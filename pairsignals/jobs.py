@@ -118,9 +118,15 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     return analyze(spark, args)
 
 
+DEBUGGING_CONF = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def main() -> None:
     import sys
     spark = SparkSession.builder.appName("pairsignals").getOrCreate()
+    if spark.conf.get(DEBUGGING_CONF, None) is None:
+        # before any column is built: call-site capture is costly here
+        spark.conf.set(DEBUGGING_CONF, "false")
     version = run(spark, sys.argv[1:])
     print(f"wrote version {version}")
 

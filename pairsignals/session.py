@@ -28,6 +28,11 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.codegen.hugeMethodLimit", os.environ.get("PAIRSIGNALS_HUGE_METHOD_LIMIT", "8000"))
         .config("spark.driver.memory", os.environ.get("PAIRSIGNALS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture for error messages walks the Python stack on every
+        # column operation; the closing formulas build thousands of them, so
+        # it costs ~1-2 s of driver time per query.
+        .config("spark.python.sql.dataFrameDebugging.enabled",
+                os.environ.get("PAIRSIGNALS_DATAFRAME_DEBUGGING", "false"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
