@@ -26,14 +26,14 @@ REPORT_MAX_DECIMALS = 6
 REPORT_DIGITS = 10
 
 
-def round6(c: Column) -> Column:
-    """Report rounding (see above)."""
-    a = F.abs(c)
-    exp = F.least(F.lit(float(REPORT_MAX_DECIMALS)),
-                  F.lit(float(REPORT_DIGITS - 1)) - F.floor(F.log10(a)).cast("double"))
-    s = F.pow(F.lit(10.0), exp)
-    ok = (a > F.lit(0.0)) & (a < F.lit(1e11))
-    return F.when(ok, F.floor(c * s + F.lit(0.5)) / s).otherwise(c)
+def round6(name: str) -> Column:
+    """Report rounding (see above) of the double column ``name``, parsed from
+    one SQL expression: one JVM call instead of ~16 column objects."""
+    x = "`" + name.replace("`", "``") + "`"
+    a = f"abs({x})"
+    s = (f"pow(10.0D, least({float(REPORT_MAX_DECIMALS)}D, "
+         f"{float(REPORT_DIGITS - 1)}D - CAST(floor(log10({a})) AS DOUBLE)))")
+    return F.expr(f"CASE WHEN {a} > 0.0D AND {a} < 1e11D THEN floor({x} * {s} + 0.5D) / {s} ELSE {x} END")
 
 
 def round6_sql(expr: str) -> str:

@@ -55,7 +55,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def report(df: DataFrame) -> DataFrame:
     """Round every double column to 6 decimals (names unchanged)."""
-    return df.select(*[round6(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+    return df.select(*[round6(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
