@@ -117,7 +117,8 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
     prof = bars.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_bars"),
         F.avg("volume").alias("mean_volume"),
-        *([F.sum(walk_step(walk_offset)).alias("_total")] if walk_offset is not None else []),
+        *([F.sum(walk_step(walk_offset)).alias("_total"), F.count(walk_step(walk_offset)).alias("_steps")]
+          if walk_offset is not None else []),
     )
     ok = filter_min_volume(filter_min_history(prof, cfg.min_days), cfg.min_mean_volume)
     # Trim first, then keep eligible tickers: the join then sees only
@@ -127,11 +128,13 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
         trimmed = trimmed.join(ok.select("ticker"), "ticker", "left_semi")
         v = F.col(value)
     else:
-        trimmed = trimmed.join(ok.select("ticker", "_total"), "ticker", "inner")
+        trimmed = trimmed.join(ok.select("ticker", "_total", "_steps"), "ticker", "inner")
         newer = (Window.partitionBy("ticker").orderBy("rk")
                  .rowsBetween(Window.unboundedPreceding, -1))
-        suffix = F.coalesce(F.sum(walk_step(walk_offset)).over(newer), F.lit(0).cast(WALK_DECIMAL))
-        v = (F.col("_total") - suffix).cast("double")
+        step = walk_step(walk_offset)
+        suffix = F.coalesce(F.sum(step).over(newer), F.lit(0).cast(WALK_DECIMAL))
+        # NULL when no step up to this bar is non-NULL, like the running sum
+        v = F.when(F.col("_steps") - F.count(step).over(newer) > 0, F.col("_total") - suffix).cast("double")
     return (trimmed.withColumn("_v", v).where(F.col("rk") > F.lit(cfg.begin_day))
             .select("ticker", (F.col("rk") - F.lit(cfg.begin_day + 1)).alias("i"), "date",
                     F.col("_v").alias("v"), "volume"))

@@ -110,10 +110,13 @@ def walk_bars(bars: DataFrame, offset: float = 1500.0) -> DataFrame:
     earlier = (Window.partitionBy("ticker").orderBy("_yr")
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = (b.groupBy("ticker", "_yr").agg(F.sum(step).alias("_ys"))
-             .select("ticker", "_yr", F.coalesce(F.sum("_ys").over(earlier), F.lit(0))
-                     .cast(WALK_SUM_DECIMAL).alias("_carry")))
+             .select("ticker", "_yr", F.sum("_ys").over(earlier).cast(WALK_SUM_DECIMAL).alias("_carry")))
     in_year = (Window.partitionBy("ticker", "_yr").orderBy("date")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    walked = (F.col("_carry") + F.sum(step).over(in_year)).cast("double")
+    so_far = F.sum(step).over(in_year)
+    zero = F.lit(0).cast(WALK_SUM_DECIMAL)
+    # NULL only when every step so far is NULL, like the one-window sum
+    walked = F.when(F.col("_carry").isNull() & so_far.isNull(), F.lit(None)).otherwise(
+        F.coalesce(F.col("_carry"), zero) + F.coalesce(so_far, zero)).cast("double")
     return (b.join(carry, ["ticker", "_yr"], "left")
             .select(*[walked.alias(c) if c == "close" else F.col(c) for c in bars.columns]))

@@ -224,6 +224,14 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
             c = float(1000 + rng.normal(0, 10))
             rows.append((t, dt.date(1998, 12, 20) + dt.timedelta(days=k * step), c, c, c, c, 100.0))
     rows.append(("Y1", None, 990.0, 990.0, 990.0, 990.0, 100.0))
+    # NULL closes: leading ones, then values, then the start of a new year
+    for k in range(20):
+        d = dt.date(2001, 12, 1) + dt.timedelta(days=k * 3)
+        c = None if k < 4 or 11 <= k < 15 else float(1000 + k)
+        rows.append(("Y4", d, c, c, c, c, 100.0))
+    for k in range(10):
+        rows.append(("Y5", dt.date(2002, 1, 1) + dt.timedelta(days=k), None if k >= 3 and k < 6 else 1000.0 + k,
+                     1.0, 1.0, 1.0, 100.0))
     from pyspark.sql import types as T
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.BARS.fields])
     bars = spark.createDataFrame(rows, nullable)
@@ -231,7 +239,7 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
     want_rank = {(r["ticker"], r["date"], r["rk"])
                  for r in bars.withColumn("rk", F.row_number().over(newest_first)).collect()}
     got_rank = {(r["ticker"], r["date"], r["rk"]) for r in ser.rank_series(bars).collect()}
-    assert got_rank == want_rank and len(got_rank) == 181
+    assert got_rank == want_rank and len(got_rank) == 211
     oldest_first = (Window.partitionBy("ticker").orderBy("date")
                     .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     want_walk = {(r["ticker"], r["date"], r["close"])
@@ -239,6 +247,14 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
     walked = walk_bars(bars, 1500.0)
     assert walked.columns == bars.columns
     assert {(r["ticker"], r["date"], r["close"]) for r in walked.collect()} == want_walk
+    assert sum(1 for t, _, c in want_walk if t == "Y4" and c is None) == 4
+    # the trimmed-window walk (total minus newer bars) agrees, NULLs included
+    from pairsignals.operators.series import analysis_window
+    y4 = bars.where("ticker = 'Y4'")
+    cfg = AnalysisConfig(min_days=19, min_mean_volume=0.0, ndays=20)
+    fast = {r["i"]: r["v"] for r in analysis_window(y4, cfg, walk_offset=1500.0).collect()}
+    full = {r["i"]: r["v"] for r in analysis_window(walk_bars(y4, 1500.0), cfg).collect()}
+    assert fast == full and len(fast) == 19 and sum(v is None for v in fast.values()) == 3
 
 
 def test_packed_line_key_orders_like_the_pair_and_guards_its_range(spark):
