@@ -135,6 +135,9 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
         suffix = F.coalesce(F.sum(step).over(newer), F.lit(0).cast(WALK_DECIMAL))
         # NULL when no step up to this bar is non-NULL, like the running sum
         v = F.when(F.col("_steps") - F.count(step).over(newer) > 0, F.col("_total") - suffix).cast("double")
+    # A NULL value counts as NaN (no number), as numpy reads a missing
+    # value, so every statistics form propagates it the same way.
+    v = F.coalesce(v, F.lit(float("nan")))
     return (trimmed.withColumn("_v", v).where(F.col("rk") > F.lit(cfg.begin_day))
             .select("ticker", (F.col("rk") - F.lit(cfg.begin_day + 1)).alias("i"), "date",
                     F.col("_v").alias("v"), "volume"))

@@ -47,7 +47,7 @@ elig AS (SELECT ticker FROM prof
          WHERE n_bars > {cfg.min_days} AND mean_volume > {cfg.min_mean_volume} AND NOT isnan(mean_volume)),
 ranked AS (SELECT b.*, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rk
            FROM bars b WHERE ticker IN (SELECT ticker FROM elig)),
-win AS (SELECT ticker, rk - {cfg.begin_day + 1} AS i, date, close AS v, volume FROM ranked
+win AS (SELECT ticker, rk - {cfg.begin_day + 1} AS i, date, coalesce(close, 'NaN'::DOUBLE) AS v, volume FROM ranked
         WHERE rk > {cfg.begin_day} AND rk <= {cfg.trim})"""
 
 

@@ -225,3 +225,33 @@ def test_long_window_uses_one_pass_and_matches_two_pass(spark):
         assert w[k]["n_obs"] == n
         for c in ("alpha", "beta", "adf_t", "z_score", "signal_sd"):
             assert math.isclose(w[k][c], t[k][c], rel_tol=1e-8, abs_tol=1e-9), (k, c)
+
+
+def test_null_close_in_window_gives_the_same_verdict_in_every_form(spark):
+    """A NULL value in a window counts as NaN: every statistics form reports
+    no number (NULL or NaN) for the pair and the same verdict."""
+    import datetime as dt
+    from pyspark.sql import types as T
+    from pairsignals import schemas
+    rng = np.random.default_rng(1)
+    rows = []
+    for t in ("A", "B", "C"):
+        for k in range(40):
+            c = float(1000 + rng.normal(0, 10))
+            if t == "B" and k == 35:
+                c = None
+            rows.append((t, dt.date(2001, 1, 1) + dt.timedelta(days=k), c, c, c, c, 100.0))
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schemas.BARS.fields])
+    bars = spark.createDataFrame(rows, nullable)
+    seen = set()
+    for align, methods in (("rank", ("wide", "two_pass")), ("date", ("auto", "moments", "two_pass"))):
+        cfg = AnalysisConfig(min_days=30, min_mean_volume=0.0, ndays=25, align=align, min_overlap=8,
+                             pair_blocks=2)
+        for method in methods:
+            got = _rows(pair_verdicts(bars, cfg, method=method))
+            for k in (("A", "B"), ("B", "A"), ("B", "C")):
+                beta = got[k]["beta"]
+                assert beta is None or math.isnan(beta), (align, method, k)
+                seen.add(got[k]["verdict"])
+            assert got[("A", "C")]["beta"] is not None and not math.isnan(got[("A", "C")]["beta"])
+    assert seen == {"not_cointegrated"}
