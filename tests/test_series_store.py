@@ -252,9 +252,13 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
     from pairsignals.operators.series import analysis_window
     y4 = bars.where("ticker = 'Y4'")
     cfg = AnalysisConfig(min_days=19, min_mean_volume=0.0, ndays=20)
+    # (a missing value enters the window as NaN)
+    import math
     fast = {r["i"]: r["v"] for r in analysis_window(y4, cfg, walk_offset=1500.0).collect()}
     full = {r["i"]: r["v"] for r in analysis_window(walk_bars(y4, 1500.0), cfg).collect()}
-    assert fast == full and len(fast) == 19 and sum(v is None for v in fast.values()) == 3
+    assert fast.keys() == full.keys() and len(fast) == 19
+    assert all(fast[i] == full[i] or (math.isnan(fast[i]) and math.isnan(full[i])) for i in fast)
+    assert sum(math.isnan(v) for v in fast.values()) == 3
 
 
 def test_packed_line_key_orders_like_the_pair_and_guards_its_range(spark):
