@@ -8,8 +8,9 @@ offsets of checkpoints, from each of which decoding can begin.
 
 File format, written by Spark as Parquet so that any file store serves:
 
-* ``blocks``: ``part`` and ``block`` (together the order), ``keys`` and
-  ``counts`` (key and number of ids of each document), ``checkpoints`` (bit
+* ``blocks``: ``part`` and ``block`` (together the order), ``before`` (ids of
+  the part's earlier blocks), ``keys`` and ``counts`` (key and number of ids
+  of each document), ``checkpoints`` (bit
   offset of every ``STRIDE``-th id of each document, from the block's first
   bit), ``payload`` (the bits). Each document starts on a byte.
 * ``code``: ``id`` and ``length`` of each code, from which the code follows.
@@ -182,11 +183,11 @@ def packed_documents(encoded: DataFrame, lengths: np.ndarray, kind: str) -> Data
 
 def blocks_of(ordered: DataFrame) -> DataFrame:
     """Group the sorted documents of each partition into blocks."""
-    schema = "part int, block int, keys array<long>, counts array<long>, checkpoints binary, payload binary"
+    schema = "part int, block int, before long, keys array<long>, counts array<long>, checkpoints binary, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, number, rows, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, before, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def close():
             at, marks = 0, []
@@ -194,18 +195,18 @@ def blocks_of(ordered: DataFrame) -> DataFrame:
                 marks.append(np.frombuffer(m, "<u4").astype("<u8") + 8 * at)
                 at += len(b)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()),
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([[r[0] for r in rows]], pa.list_(pa.int64())),
                  pa.array([[r[1] for r in rows]], pa.list_(pa.int64())),
                  pa.array([np.concatenate(marks).tobytes()], pa.binary()),
                  pa.array([b"".join(r[3] for r in rows)], pa.binary())],
-                names=["part", "block", "keys", "counts", "checkpoints", "payload"])
+                names=["part", "block", "before", "keys", "counts", "checkpoints", "payload"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and size + row[1] > BLOCK_IDS:
                     yield close()
-                    number, rows, size = number + 1, [], 0
+                    number, before, rows, size = number + 1, before + size, [], 0
                 rows.append(row)
                 size += row[1]
         if rows:
@@ -221,35 +222,30 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     lengths = np.zeros(max((r.id for r in rows), default=0) + 1, np.uint8)
     for r in rows:
         lengths[r.id] = r.length
-    blocks = spark.read.schema("part int, block int, keys array<long>, counts array<long>, checkpoints binary, "
+    blocks = spark.read.schema("part int, before long, keys array<long>, counts array<long>, checkpoints binary, "
                                "payload binary").parquet(f"{path}/blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
             for i in range(batch.num_rows):
-                part, number, keys, counts, marks, payload = (c[i].as_py() for c in batch.columns)
+                part, before, keys, counts, marks, payload = (c[i].as_py() for c in batch.columns)
                 counts = np.array(counts, np.int64)
                 runs = (counts + STRIDE - 1) // STRIDE
                 length = np.full(int(runs.sum()), STRIDE, np.int64)
                 length[np.cumsum(runs) - 1] = counts - (runs - 1) * STRIDE
                 ids = code.decode(np.frombuffer(payload, np.uint8), np.frombuffer(marks, "<u8"), length)
                 raw, end = ids.astype("<u4").tobytes(), np.cumsum(counts)
-                n = len(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(keys, pa.int64()),
-                     pa.array(end - counts, pa.int64()), pa.array(counts, pa.int64()),
+                    [pa.array([part] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
+                     pa.array(before + end - counts, pa.int64()), pa.array(counts, pa.int64()),
                      pa.array([raw[4 * (e - c):4 * e] for e, c in zip(end.tolist(), counts.tolist())], pa.binary())],
-                    names=["part", "block", "key", "within", "n_tokens", "ids"])
-
-    documents = map_arrow(blocks, run, "part int, block int, key long, within long, n_tokens long, ids binary")
-    size = blocks.select("part", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    # Blocks are numbered within their part; parts (one for each write task) are few enough for one window.
-    before = size.withColumn("in_part", F.sum("n").over(
-        Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    parts = size.groupBy("part").agg(F.sum("n").alias("n")).withColumn("parts_before", F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    at = before.join(parts, "part").select("part", "block", (
-        F.coalesce("in_part", F.lit(0)) + F.coalesce("parts_before", F.lit(0))).alias("block_start"))
-    return documents.join(at, ["part", "block"]).select(
-        "key", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids")
+                    names=["part", "key", "in_part", "n_tokens", "ids"])
+
+    documents = map_arrow(blocks, run, "part int, key long, in_part long, n_tokens long, ids binary")
+    # One row for each task that wrote blocks, whatever the corpus holds: small enough for one window and a broadcast.
+    block_ids = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = blocks.groupBy("part").agg(F.sum(block_ids).alias("n")).select("part", F.coalesce(F.sum("n").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
+    return documents.join(F.broadcast(parts), "part").select(
+        "key", (F.col("parts_before") + F.col("in_part")).alias("start"), "n_tokens", "ids")
