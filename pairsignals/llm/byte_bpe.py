@@ -163,8 +163,8 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str = public_token
     return map_arrow(df.select(F.col(key), F.col(text).cast("string").alias("__text")), run, schema)
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Number of ids and the SHA-256 of ids and decoded bytes."""
     return encoded.select(
-        key, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        key, *keep, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

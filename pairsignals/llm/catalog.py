@@ -48,7 +48,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeats(docs).select(
-        "doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+        "doc_id", "lines.*", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

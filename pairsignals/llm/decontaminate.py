@@ -118,24 +118,20 @@ def hits_by_document(matches: DataFrame) -> DataFrame:
         "key", "mark", covered.alias("n_hit"), "items")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   min_words: int = 1) -> DataFrame:
-    """All columns of ``docs`` with ``n_hit`` and ``items``; documents without a match have 0 and no items."""
+def without_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                    min_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` without any window of an item of ``min_words`` words at least."""
     windows = test_windows(items, window=window, min_words=min_words)
-    found = hits_by_document(phrase_matches(docs, windows, key, text, window))
-    return with_hits(docs, docs.withColumn("__mark", mark_of(F.col(text))), found, key)
+    found = phrase_matches(docs, windows, key, text, window).select("key", "mark").distinct()
+    rows = docs.withColumn("__mark", mark_of(F.col(text)))
+    return rows.join(found, rows[key].eqNullSafe(found["key"]) & (rows["__mark"] == found["mark"]), "left_anti").select(
+        *docs.columns)
 
 
 def mark_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def with_hits(docs: DataFrame, rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    both = rows.join(found, rows[key].eqNullSafe(found["key"]) & (rows["__mark"] == found["mark"]), "left")
-    return both.select(*[rows[c] for c in docs.columns], F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                       "items")
-
-
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its words, the words under matches and the items they belong to."""
     found = hits_by_document(phrase_matches(docs, test_windows(items), key, text))
@@ -143,6 +139,8 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
                           mark_of(F.col(text)).alias("__mark"))
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     listed = F.coalesce(F.array_join(ids, ","), F.lit(""))
-    return with_hits(counted.drop("__mark"), counted, found, key).select(
-        key, "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    both = counted.join(found, counted[key].eqNullSafe(found["key"]) & (counted["__mark"] == found["mark"]), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return both.select(
+        counted[key], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -55,20 +55,21 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return later.groupBy("key", "mark").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("covered"))
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``df``, ``text`` without removed lines, and ``n_lines``
-    and ``n_removed_lines``."""
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", counts: str = "lines") -> DataFrame:
+    """All columns of ``df``, ``text`` without removed lines, and a struct
+    ``counts`` of ``n_lines`` and ``n_removed``."""
     found = repeated_lines(df, key, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.withColumn("__mark", F.xxhash64(body))
     both = rows.join(found, rows[key].eqNullSafe(found["key"]) & (rows["__mark"] == found["mark"]), "left")
+    body = F.coalesce(rows[text].cast("string"), F.lit(""))
     lines = F.split(body, "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered")
-    kept = F.when(F.col("covered").isNull(), body).otherwise(
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), found["covered"])
+    kept = F.when(found["covered"].isNull(), body).otherwise(
         F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
-    return both.select(
-        *[kept.alias(c) if c == text else rows[c] for c in df.columns], F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed_lines"))
+    return both.select(*[kept.alias(c) if c == text else rows[c] for c in df.columns], F.struct(
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(found["covered"]), F.lit(0)).cast("long").alias("n_removed")).alias(counts))
 
 
 #: DuckDB SQL for ``op6_line_dedup``.

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairsignals.llm.common import map_arrow, slices, written
 
@@ -97,41 +98,48 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``key``, ``lang``, the base counts and the two histograms."""
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, lang string, " + ", ".join(f"{c} long" for c in COUNTS)
-    schema += ", n_chars long, classes array<long>, commons array<long>"
+#: Name of the column that holds a row's features beside the table's own columns.
+FEATURES = "__quality"
+
+
+def measured(df: DataFrame, columns: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``columns`` unchanged, and the features of each row as one struct."""
+    spelled = [f"lang: string, {', '.join(f'{c}: bigint' for c in (*COUNTS, 'n_chars'))}",
+               "classes: array<bigint>, commons: array<bigint>"]
+    schema = T.StructType([*(df.schema[c] for c in columns),
+                           T.StructField(FEATURES, T.DataType.fromDDL(f"struct<{', '.join(spelled)}>"))])
     longs = pa.list_(pa.int64())
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            rows = [measure(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column(2)]
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in columns[:6]),
-                 pa.array(columns[6], longs), pa.array(columns[7], longs)],
-                names=[key, "lang", *COUNTS, "n_chars", "classes", "commons"])
+            rows = [measure(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column(n)]
+            values = list(zip(*rows))
+            features = pa.StructArray.from_arrays(
+                [part.column(n + 1), *(pa.array(c, pa.int64()) for c in values[:6]),
+                 pa.array(values[6], longs), pa.array(values[7], longs)],
+                names=["lang", *COUNTS, "n_chars", "classes", "commons"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], features], names=[*columns, FEATURES])
 
     language = F.col(lang).cast("string") if lang in df.columns else F.lit(None).cast("string")
-    return map_arrow(
-        df.select(F.col(key), language.alias("lang"), F.col(text).cast("binary").alias("__text")), run, schema)
+    return map_arrow(df.select(*columns, F.col(text).cast("binary").alias("__text"), language.alias("__lang")), run,
+                     schema)
 
 
 def references(features: DataFrame) -> DataFrame:
     """One row for each language: the sums of both histograms over all its documents."""
+    f = features.select(f"{FEATURES}.*")
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    return features.groupBy("lang").agg(
-        F.sum("n_chars").alias("ref_chars"), F.sum("n_words").alias("ref_words"), *sums).select(
-        F.col("lang").alias("ref_lang"), "ref_chars", "ref_words",
-        F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"),
-        F.array(*[f"w{i}" for i in range(len(WORDS) + 1)]).alias("ref_commons"))
+    return f.groupBy("lang").agg(
+        F.sum("n_chars").alias("ref_chars"), F.sum("n_words").alias("ref_words"), *sums).select(F.struct(
+            "lang", "ref_chars", "ref_words", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"),
+            F.array(*[f"w{i}" for i in range(len(WORDS) + 1)]).alias("ref_commons")).alias("__reference"))
 
 
-def shares(counts: str, total: str) -> Column:
+def shares(counts: Column, total: Column) -> Column:
     """Counts as shares of their sum; NULL if they sum to nothing."""
-    return F.when(F.col(total) > 0, F.transform(counts, lambda x: x / F.col(total)))
+    return F.when(total > 0, F.transform(counts, lambda x: x / total))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -144,25 +152,38 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judged(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-           max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """Counts, both distances (NULL for a text without characters or words) and verdicts of every document:
-    ``base_failed`` by the counts, ``kept`` unless that or a distance fails it.
+def with_verdicts(df: DataFrame, columns: list[str], text: str = "text", lang: str = "lang",
+                  max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
+                  ) -> DataFrame:
+    """``columns`` of every row and the struct ``__verdict``: counts, both distances (NULL for a text without
+    characters or words), ``base_failed`` by the counts, and ``kept`` unless that or a distance fails it.
 
     Features are written once in the shared folder: references need them all
     before the first document is judged.
     """
-    features = written(measured(df, key, text, lang), "quality")
+    features = written(measured(df, columns, text, lang), "quality")
     refs = references(features)
     # One row for each language; should "lang" be free text, Spark joins by shuffle instead.
-    both = features.join(refs, features["lang"].eqNullSafe(refs["ref_lang"]), "left")
-    both = both.withColumns({
-        "class_distance": distance(shares("classes", "n_chars"), shares("ref_classes", "ref_chars")),
-        "word_distance": distance(shares("commons", "n_words"), shares("ref_commons", "ref_words"))})
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    odd = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > max_class_distance)
-           | (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word_distance))
-    return both.select(
-        key, "lang", *COUNTS, F.round("class_distance", 6).alias("class_distance"),
-        F.round("word_distance", 6).alias("word_distance"), failed.alias("base_failed"),
-        (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    f, r = F.col(FEATURES), F.col("__reference")
+    both = features.join(refs, f["lang"].eqNullSafe(r["lang"]), "left").select(*columns, FEATURES, F.struct(
+        distance(shares(f["classes"], f["n_chars"]), shares(r["ref_classes"], r["ref_chars"])).alias("class_distance"),
+        distance(shares(f["commons"], f["n_words"]), shares(r["ref_commons"], r["ref_words"])).alias("word_distance"),
+    ).alias("__distance"))
+    d = F.col("__distance")
+    failed = (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
+    odd = ((f["word_chars"] >= MIN_CHARS) & (d["class_distance"] > max_class_distance)
+           | (f["n_words"] >= MIN_WORDS) & (d["word_distance"] > max_word_distance))
+    return both.select(*columns, F.struct(
+        f["lang"].alias("lang"), *(f[c].alias(c) for c in COUNTS),
+        F.round(d["class_distance"], 6).alias("class_distance"), F.round(d["word_distance"], 6).alias("word_distance"),
+        failed.alias("base_failed"), (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept")).alias("__verdict"))
+
+
+def judged(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``key`` and the verdict of every document."""
+    return with_verdicts(df, [key], **options).select(key, "__verdict.*")
+
+
+def kept(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that pass, with all their columns."""
+    return with_verdicts(df, df.columns, **options).where("__verdict.kept").select(*df.columns)

@@ -60,9 +60,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(on, bitorder="little").view("<i8")[0])
 
 
+def mark_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` and ``fp`` (long) of every row."""
-    return map_texts(df, {key: "long"}, text, lambda t: (fingerprint(t, shingle),), {"fp": "long"})
+    """``key``, ``mark`` (hash of the text) and ``fp`` (long) of every row."""
+    rows = df.select(F.col(key).alias("key"), mark_of(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    return map_texts(rows, {"key": "long", "mark": "long"}, "text", lambda t: (fingerprint(t, shingle),), {"fp": "long"})
 
 
 def trie_pairs(group: np.ndarray, value: np.ndarray, bits: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +158,27 @@ def linked(distinct: DataFrame, max_bits: int = MAX_BITS, trie: int = TRIE) -> D
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """``key``, ``fp`` and ``component_id`` (smallest key reachable) of every row."""
+    """Of every row: ``key``, ``mark`` (hash of the text), ``fp``, ``root`` (a fingerprint that stands for its
+    component) and ``component_id`` (smallest key reachable)."""
     rows = written(fingerprints(df, key, text, shingle), "simhash")
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    distinct = rows.groupBy("fp").agg(F.min("key").alias("first"))
     hung = components(linked(distinct.select("fp"), max_bits))
     roots = distinct.join(hung, distinct["fp"] == hung["u"], "left").select(
         "fp", "first", F.coalesce("v", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return rows.join(roots.join(least, "root").select("fp", "root", "component_id"), "fp").select(
+        F.col("key").alias(key), "mark", "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component with all its columns: that of the smallest key (of rows that share it, the one with
+    the smallest hash of the text)."""
+    best = near_duplicates(df, key, text, shingle, max_bits).groupBy("root").agg(
+        F.min(F.struct(F.col(key).alias("key"), "mark")).alias("best")).select("best.*")
+    rows = df.withColumn("__mark", mark_of(F.col(text)))
+    return rows.join(best, rows[key].eqNullSafe(best["key"]) & (rows["__mark"] == best["mark"]), "left_semi").dropDuplicates(
+        [key, "__mark"]).select(*df.columns)
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
