@@ -24,8 +24,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of the phrase operators: every run without ASCII control characters,
-#: punctuation and upper-case letters (text is lower-cased first).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: white space and punctuation, in a text that is lower-cased first. (Spelled
+#: by what it holds: Java matches that several times faster.)
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 #: bytes.translate table for the same rule on UTF-8: A-Z lower-cased, a-z, 0-9
 #: and every byte of a non-ASCII character kept, the rest turned into a space.

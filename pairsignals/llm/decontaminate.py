@@ -33,7 +33,7 @@ BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(f"({WORD})"), 1)
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def test_windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW,
@@ -55,7 +55,8 @@ def rarest_first(grams: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Windows that can occur: ``gram``, its rarest ``term``, that term's ``offset`` and, rarest first,
     the ``order`` in which offsets are compared. It is written once: counting needs the whole corpus."""
     terms = grams.select(F.explode("gram").alias("term")).distinct()
-    seen = docs.select(F.explode(words_of(F.col(text))).alias("term")).join(small(terms), "term").groupBy("term").agg(
+    # The outer form of explode: for the other one Spark adds a filter that cuts the text into words once more.
+    seen = docs.select(F.explode_outer(words_of(F.col(text))).alias("term")).join(small(terms), "term").groupBy("term").agg(
         F.count("*").alias("n"))
     each = grams.select("gram", F.posexplode("gram").alias("offset", "term"))
     found = each.join(seen, "term").groupBy("gram").agg(
@@ -66,63 +67,76 @@ def rarest_first(grams: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         F.expr("by.offset").alias("order")), "windows")
 
 
+#: The term of a posting that stands for a whole document; its position is the number of words. No word is empty.
+DOCUMENT = ""
+
+
 def postings(docs: DataFrame, terms: DataFrame, reach: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of the given ``term``s: ``key``, ``mark`` (hash of the text), ``term``, ``at`` (word number from 0)
-    and ``near``, the terms from ``reach`` before to ``reach`` behind (fewer before the first ones)."""
-    words = docs.select(F.col(key).alias("key"), mark_of(F.col(text)).alias("mark"), words_of(F.col(text)).alias("words"))
+    and ``near``, the terms from ``reach`` before to ``reach`` behind (fewer before the first ones); and a row of term
+    ``DOCUMENT`` for each document. It is stored in the shared folder."""
+    terms = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term")))
+    words = docs.select(F.col(key).alias("key"), mark_of(F.col(text)).alias("mark"),
+                        F.array_append(words_of(F.col(text)), F.lit(DOCUMENT)).alias("words"))
     first = F.greatest(F.col("at") - reach, F.lit(0))
-    return words.select("key", "mark", "words", F.posexplode("words").alias("at", "term")).join(
-        small(terms), "term").select("key", "mark", "term", "at", F.slice(
-            "words", first + 1, F.col("at") - first + reach + 1).alias("near"))
+    found = words.select("key", "mark", "words", F.posexplode_outer("words").alias("at", "term")).join(small(terms), "term")
+    return written(found.select("key", "mark", "term", "at", F.when(F.col("term") != DOCUMENT, F.slice(
+        "words", first + 1, F.col("at") - first + reach + 1)).alias("near")), "postings")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                   ) -> DataFrame:
+def phrase_matches(index: DataFrame, wanted: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Exact occurrences: ``key``, ``mark``, ``start`` (word number), ``size`` (words) and ``item_id``."""
-    return located(docs, windows, key, text, window).join(
-        small(windows), "gram").select("key", "mark", "start", F.size("gram").alias("size"), "item_id")
-
-
-def located(docs: DataFrame, windows: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Places of each window: ``key``, ``mark``, ``gram`` and ``start``."""
-    wanted = rarest_first(windows.select("gram").distinct(), docs, text)
-    index = postings(docs, wanted.select("term").distinct(), window - 1, key, text)
     # The window's first word stands at "at - offset"; in "near" that is the place "own - offset".
     own = F.least(F.col("at"), F.lit(window - 1))
     agrees = F.forall("order", lambda o: F.get("near", own - F.col("offset") + o).eqNullSafe(F.get("gram", o)))
     return index.join(small(wanted), "term").where(F.col("at") >= F.col("offset")).where(agrees).select(
-        "key", "mark", "gram", (F.col("at") - F.col("offset")).alias("start"))
+        "key", "mark", "gram", (F.col("at") - F.col("offset")).alias("start")).join(
+        small(windows), "gram").select("key", "mark", "start", F.size("gram").alias("size"), "item_id")
+
+
+def searched(docs: DataFrame, windows: DataFrame, key: str, text: str, reach: int) -> tuple[DataFrame, DataFrame]:
+    """The index of the rarest term of each window, and the windows that can occur."""
+    wanted = rarest_first(windows.select("gram").distinct(), docs, text)
+    return postings(docs, wanted.select("term").distinct(), reach, key, text), wanted
 
 
 def proximity_matches(docs: DataFrame, windows: DataFrame, span: int, key: str = "doc_id", text: str = "text",
                       ) -> DataFrame:
     """Places where all words of a window stand, in any order, among ``span`` consecutive words, one of which is an
     occurrence of its rarest word: ``key``, ``mark``, ``at`` (of that word) and ``item_id``."""
-    wanted = rarest_first(windows.select("gram").distinct(), docs, text)
-    index = postings(docs, wanted.select("term").distinct(), span - 1, key, text)
+    index, wanted = searched(docs, windows, key, text, span - 1)
     starts = F.sequence(F.lit(1), F.greatest(F.size("near") - (span - 1), F.lit(1)))
     near = F.exists(starts, lambda s: F.size(F.array_except("gram", F.slice("near", s, span))) == 0)
     return index.join(small(wanted), "term").where(near).select("key", "mark", "at", "gram").join(
         small(windows), "gram").select("key", "mark", "at", "item_id").distinct()
 
 
-def hits_by_document(matches: DataFrame) -> DataFrame:
-    """``key``, ``mark``, ``n_hit`` (words under any match) and ``items`` (ids found, each once)."""
-    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))))
+def hits_by_document(index: DataFrame, matches: DataFrame) -> DataFrame:
+    """For each document: ``key``, ``mark``, ``n_words``, ``n_hit`` (words under any match) and ``items`` (ids found,
+    each once). Documents that are repeated give as many rows."""
+    rows = index.where(F.col("term") == DOCUMENT).select(
+        "key", "mark", F.col("at").alias("n_words"), F.lit(1).alias("one"))
+    found = matches.select("key", "mark", F.struct("start", (F.col("start") + F.col("size")).alias("stop")).alias("span"),
+                           "item_id")
+    # Arrays leave NULLs out, so a document without matches has empty ones.
+    each = rows.unionByName(found, allowMissingColumns=True).groupBy("key", "mark").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count("one").alias("n"),
+        F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item_id").alias("items"))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach")),
         lambda a, x: F.struct(
             (a["n"] + F.greatest(x["stop"] - F.greatest(x["start"], a["reach"]), F.lit(0))).cast("long").alias("n"),
             F.greatest(x["stop"], a["reach"]).alias("reach")), lambda a: a["n"])
-    return matches.groupBy("key", "mark").agg(spans.alias("spans"), F.collect_set("item_id").alias("items")).select(
-        "key", "mark", covered.alias("n_hit"), "items")
+    return each.select("key", "mark", "n_words", covered.alias("n_hit"), "items",
+                       F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy")
 
 
 def without_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
                     min_words: int = 1) -> DataFrame:
     """The rows of ``docs`` without any window of an item of ``min_words`` words at least."""
     windows = test_windows(items, window=window, min_words=min_words)
-    found = phrase_matches(docs, windows, key, text, window).select("key", "mark").distinct()
+    index, wanted = searched(docs, windows, key, text, window - 1)
+    found = phrase_matches(index, wanted, windows, window).select("key", "mark").distinct()
     rows = docs.withColumn("__mark", mark_of(F.col(text)))
     return rows.join(found, rows[key].eqNullSafe(found["key"]) & (rows["__mark"] == found["mark"]), "left_anti").select(
         *docs.columns)
@@ -134,13 +148,9 @@ def mark_of(text: Column) -> Column:
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its words, the words under matches and the items they belong to."""
-    found = hits_by_document(phrase_matches(docs, test_windows(items), key, text))
-    counted = docs.select(F.col(key), F.size(words_of(F.col(text))).cast("long").alias("n_words"),
-                          mark_of(F.col(text)).alias("__mark"))
+    windows = test_windows(items)
+    index, wanted = searched(docs, windows, key, text, WINDOW - 1)
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    listed = F.coalesce(F.array_join(ids, ","), F.lit(""))
-    both = counted.join(found, counted[key].eqNullSafe(found["key"]) & (counted["__mark"] == found["mark"]), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return both.select(
-        counted[key], "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return hits_by_document(index, phrase_matches(index, wanted, windows)).select(
+        F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
