@@ -34,7 +34,8 @@ def line_windows(lines: DataFrame) -> DataFrame:
     worded = F.expr(f"filter(transform(lines, (line, i) -> struct(i, line)), x -> x.line RLIKE r'{WORDED}')")
     spans = F.expr(f"transform(sequence(0, size(worded) - {WINDOW}), k -> slice(worded, k + 1, {WINDOW}))")
     return (lines.withColumn("worded", worded).where(F.size("worded") >= WINDOW)
-            .select("key", "mark", F.explode(spans).alias("w"))
+            # The outer form, as for the other one Spark adds a filter that computes the windows once more.
+            .select("key", "mark", F.explode_outer(spans).alias("w"))
             .select("key", "mark", F.expr("w.i").alias("at"), F.array_join("w.line", "\n").alias("body"))
             .select("key", "mark", "at", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2")))
 
