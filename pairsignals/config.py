@@ -12,6 +12,8 @@ LEVELS = ("1%", "5%", "10%")
 SPREADS = ("cross", "aligned")
 ALIGNS = ("rank", "date")
 SERIES = ("close", "walk")
+#: Smallest window with a defined t.
+MIN_WINDOW = 4
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,10 @@ class AnalysisConfig:
             raise ValueError(f"series must be one of {SERIES}: {self.series!r}")
         if self.min_days < 0 or self.ndays <= 0:
             raise ValueError("min_days must be >= 0 and ndays > 0")
-        if self.min_overlap < 4:
-            raise ValueError("min_overlap must be >= 4 (smallest window with a defined t)")
+        if self.window < MIN_WINDOW:
+            raise ValueError(f"the window has {self.window} bars; a unit-root t needs {MIN_WINDOW}")
+        if self.min_overlap < MIN_WINDOW:
+            raise ValueError(f"min_overlap must be >= {MIN_WINDOW}: a unit-root t needs as many bars")
         if self.universe_limit is not None and self.universe_limit < 0:
             raise ValueError("universe_limit must be >= 0")
         if self.pair_blocks is not None and self.pair_blocks < 1:

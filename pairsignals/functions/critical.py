@@ -31,7 +31,7 @@ def critical_value(level: str, m: Column) -> Column:
 def critical_value_sql(level: str, m: str) -> str:
     """The same polynomial as SQL text (for the oracle)."""
     b0, b1, b2, b3 = CRIT_COEFFS[level]
-    inv = f"(1.0 / ({m}))"
+    inv = f"(1.0 / nullif({m}, 0))"
     return f"({b0} + {inv} * ({b1} + {inv} * ({b2} + {inv} * ({b3}))))"
 
 

@@ -6,7 +6,9 @@ window), W4 (latest bar) and S7 (series scan).
 
 Every per-ticker step is an aggregate with map-side partial aggregation or a
 ``row_number`` top-k, which Spark turns into a partial ``WindowGroupLimit``
-before the shuffle, so a ticker with a huge history never moves whole.
+before the shuffle for trims of up to 1,000 bars
+(``spark.sql.optimizer.windowGroupLimitThreshold``), so a ticker with a huge
+history does not move whole.
 """
 
 from __future__ import annotations
@@ -117,10 +119,13 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
     prof = bars.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n_bars"),
         F.avg("volume").alias("mean_volume"),
+        F.count("close").alias("_closes"),
         *([F.sum(walk_step(walk_offset)).alias("_total"), F.count(walk_step(walk_offset)).alias("_steps")]
           if walk_offset is not None else []),
     )
-    ok = filter_min_volume(filter_min_history(prof, cfg.min_days), cfg.min_mean_volume)
+    # Counting closes makes this branch read the columns of the other one, so
+    # both take the bars from one exchange. The count itself decides nothing.
+    ok = filter_min_volume(filter_min_history(prof, cfg.min_days), cfg.min_mean_volume).where(F.col("_closes") >= 0)
     # Trim first, then keep eligible tickers: the join then sees only
     # ``trim`` rows per ticker.
     trimmed = trim_series(bars, cfg.trim)

@@ -10,21 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from pairsignals.config import AnalysisConfig
+from pairsignals.functions.critical import critical_value_py
 from pairsignals.operators import signals as sig
+from pairsignals.operators.kernels import PairFilter
 from pairsignals.operators.pairs import block_count
 from pairsignals.operators.series import analysis_window
 from pairsignals.operators.stats import (date_aligned_unordered, date_block_stats, date_moment_stats,
                                          rank_aligned_unordered, two_pass_stats, wide_stats)
-from pairsignals.sources.bars import walk_bars
 from pairsignals.sources.universe import first_n
 
 
-
-def series_for(bars: DataFrame, cfg: AnalysisConfig) -> DataFrame:
-    """The configured series as bars (full-history form of the running sum)."""
-    return walk_bars(bars, cfg.walk_offset) if cfg.series == "walk" else bars
-
-
 def window_for(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None = None) -> DataFrame:
     """Eligible, trimmed windows of the configured series."""
     cfg.validate()
@@ -34,8 +29,10 @@ def window_for(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None
     return analysis_window(bars, cfg, universe, walk_offset=walk)
 
 
-def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto") -> DataFrame:
-    """Statistics of every ordered pair of eligible series.
+def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto",
+                    keep: PairFilter | None = None) -> DataFrame:
+    """Statistics of every ordered pair of eligible series, but for those
+    that ``keep`` rules out (one-pass rank form only).
 
     ``method``: ``two_pass`` (the readable long form) or ``auto``: for rank
     alignment the one-pass block kernel (``wide``), for any window length;
@@ -56,7 +53,7 @@ def pair_statistics(window: DataFrame, cfg: AnalysisConfig, method: str = "auto"
     if method == "auto":
         method = "wide"
     if method == "wide":
-        return wide_stats(window, n, b, cfg.forward)
+        return wide_stats(window, n, b, cfg.forward, keep)
     if method == "two_pass":
         return two_pass_stats(rank_aligned_unordered(window, b), "i", cfg.forward)
     raise ValueError(f"unknown method {method!r}")
@@ -70,8 +67,13 @@ def pair_verdicts(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | No
 
 def tradeable_pairs(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None = None,
                     method: str = "auto") -> DataFrame:
-    """The job's result: tradeable pairs only."""
-    return sig.tradeable(pair_verdicts(bars, cfg, universe, method))
+    """The job's result: tradeable pairs only (P7, P8). The kernel already
+    leaves out pairs that cannot be, so they are never sent from Python."""
+    cfg.validate()
+    n = cfg.window
+    keep = PairFilter(n, critical_value_py(cfg.crit_level, n - 1), cfg.z_thresh, cfg.spread, cfg.forward)
+    stats = pair_statistics(window_for(bars, cfg, universe), cfg, method, keep)
+    return sig.tradeable(sig.verdicts(stats, cfg))
 
 
 def signals(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None = None,

@@ -78,9 +78,10 @@ def test_forward_order_differs_and_matches(spark):
 def test_window_of_four_is_smallest_with_t(spark):
     _, bars = _fixture(spark)
     four = _rows(pair_verdicts(bars, AnalysisConfig(min_days=30, min_mean_volume=0, ndays=4)))
-    three = _rows(pair_verdicts(bars, AnalysisConfig(min_days=30, min_mean_volume=0, ndays=3)))
     assert all(r["adf_t"] is not None for r in four.values())
-    assert all(r["adf_t"] is None and r["verdict"] == "not_cointegrated" for r in three.values())
+    for n in (1, 2, 3):  # no t is defined: refused when the query is built
+        with pytest.raises(ValueError):
+            pair_verdicts(bars, AnalysisConfig(min_days=30, min_mean_volume=0, ndays=n))
 
 
 def test_exact_linear_pair_does_not_fail(spark):
@@ -92,16 +93,56 @@ def test_exact_linear_pair_does_not_fail(spark):
     assert len(rows) == 6
 
 
-def test_constant_series_is_never_cointegrated_as_regressor(spark):
+FORMS = [("rank", "wide"), ("rank", "two_pass"), ("date", "auto"), ("date", "moments"), ("date", "two_pass")]
+
+
+@pytest.mark.parametrize("align,method", FORMS)
+def test_constant_series_are_never_cointegrated(spark, align, method):
+    """Also at prices whose mean over a window is not exact in binary."""
     rng = np.random.default_rng(2)
-    bars = make_bars(spark, {"K": [50.0] * N_BARS, "X": random_series(rng, N_BARS),
-                             "Y": random_series(rng, N_BARS)})
-    for method in ("wide", "two_pass"):
-        rows = _rows(pair_verdicts(bars, AnalysisConfig(min_days=30, min_mean_volume=0, ndays=20),
-                                   method=method))
-        assert rows[("X", "K")]["beta"] is None
-        assert rows[("X", "K")]["verdict"] == "not_cointegrated"
-        assert rows[("K", "X")]["beta"] == pytest.approx(0.0, abs=1e-12)
+    fixed = {"K0": 50.0, "K1": 0.1, "K2": 10.1, "K3": 7.77, "K4": 4.35, "K5": 33.3}
+    bars = make_bars(spark, {k: [v] * N_BARS for k, v in fixed.items()}
+                     | {f"X{i}": random_series(rng, N_BARS) for i in range(3)})
+    cfg = AnalysisConfig(min_days=30, min_mean_volume=0, ndays=27, align=align, min_overlap=10, z_thresh=0.0)
+    rows = _rows(pair_verdicts(bars, cfg, method=method))
+    assert len(rows) == 9 * 8
+    for (a, b), row in rows.items():
+        if b in fixed:
+            assert row["beta"] is None and row["adf_t"] is None
+        elif a in fixed:
+            assert row["beta"] == 0.0 and row["adf_t"] is None and row["z_score"] is None
+        if a in fixed or b in fixed:
+            assert row["verdict"] == "not_cointegrated"
+
+
+@pytest.mark.parametrize("spread", ["cross", "aligned"])
+@pytest.mark.parametrize("forward", [False, True])
+def test_kernel_filter_keeps_every_tradeable_pair(spark, spread, forward):
+    from pairsignals.plans.analysis import tradeable_pairs
+    rng = np.random.default_rng(21)
+    bars = make_bars(spark, {f"T{k}": random_series(rng, N_BARS, "noise" if k % 3 else "walk") for k in range(14)}
+                     | {"K": [10.1] * N_BARS})
+    for z in (0.0, 0.5, 1.5):
+        cfg = AnalysisConfig(min_days=30, min_mean_volume=0.0, ndays=30, z_thresh=z, spread=spread, forward=forward,
+                             pair_blocks=3)
+        want = {k: v for k, v in _rows(pair_verdicts(bars, cfg)).items() if v["verdict"] == "tradeable"}
+        assert _rows(tradeable_pairs(bars, cfg)) == want
+        assert want or z > 1
+
+
+def test_kernel_holds_a_bounded_number_of_pairs(monkeypatch):
+    """A large block pair comes out in frames of bounded size, each pair once."""
+    import pandas as pd
+    from pairsignals.operators import kernels
+    monkeypatch.setattr(kernels, "PAIRS_AT_ONCE", 500)
+    n = 120
+    rows = [{"_ga": 0, "_gb": 0, "_side": side, "ticker": f"T{k:03}", "mean": 0.0, "date0": None, "close0": 1.0, "q": 1.0,
+             "l": 0.0, "c_first": 0.0, "c_last": 0.0, "c": np.array([k, 1.0, -1.0])} for side in (0, 1) for k in range(n)]
+    frames = list(kernels.block_products()(iter([pd.DataFrame(rows)])))
+    assert max(map(len, frames)) <= 500
+    out = pd.concat(frames)
+    assert len(out) == n * (n - 1) // 2 and (out["a_ticker"] < out["b_ticker"]).all()
+    assert not out.duplicated(["a_ticker", "b_ticker"]).any()
 
 
 def test_nan_close_gives_not_cointegrated(spark):
@@ -182,9 +223,13 @@ def test_date_block_kernel_chunks_agree(monkeypatch, diagonal):
                 x = float(rng.normal())
                 rows.append((0, 0 if diagonal else 1, side, t, d, x, x + 7.0, 7.0))
     pdf = pd.DataFrame(rows, columns=["_ga", "_gb", "_side", "ticker", "day", "x", "v", "mu"])
-    whole = kernels.date_block_sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
+
+    def sums(pdf):  # the group may come in several batches
+        return pd.concat(list(kernels.date_block_sums(iter([pdf.iloc[:50], pdf.iloc[50:]]))))
+
+    whole = sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
     monkeypatch.setattr(kernels, "DATE_CHUNK_ROWS", 1)
-    chunked = kernels.date_block_sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
+    chunked = sums(pdf).sort_values(["a_ticker", "b_ticker"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(whole, chunked)
     # the sixth ticker shares dates only with the sixth of the other side
     # (itself in a diagonal block, which is no pair)
