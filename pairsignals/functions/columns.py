@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +41,3 @@ def round6_sql(expr: str) -> str:
          f"{float(REPORT_DIGITS - 1)}::DOUBLE - floor(log10({a}))))")
     return (f"CASE WHEN {a} > 0 AND {a} < 1e11 THEN floor(({expr}) * {s} + 0.5) / {s} "
             f"ELSE ({expr}) END")
-
-
-def all_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds)

@@ -6,8 +6,9 @@
     ... analyze  --store ... [--min-days 2000 --min-mean-volume 20000 --ndays 100 ...]
     ... nightly  --store ... --source ...            (refresh, then analyze)
 
-The store root holds three versioned tables: ``bars`` (partitioned by year,
-month, sorted by ticker), ``meta`` (update record) and ``signals``.
+The store root holds ``bars`` (partitioned by year and month, sorted by
+ticker) and two versioned tables, ``meta`` (update record) and ``signals``
+(sorted by stock, so a search by stock skips row groups).
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from pairsignals.config import AnalysisConfig
-from pairsignals.operators.store import VersionedTable, upsert, with_index_columns
+from pairsignals.operators.store import PartitionedTable, VersionedTable, upsert
 from pairsignals.plans import analysis, ingest
-from pairsignals.schemas import BAR_COLUMNS
+from pairsignals.schemas import BARS
 from pairsignals.sources.bars import read_bars
 from pairsignals.sources.universe import first_n, read_universe_tsv
 
@@ -28,13 +29,10 @@ from pairsignals.sources.universe import first_n, read_universe_tsv
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         root = root.rstrip("/")
-        self.bars = VersionedTable(spark, f"{root}/bars", partition_by=("year", "month"), sort_by=("ticker",))
+        self.bars = PartitionedTable(spark, f"{root}/bars", BARS)
         self.meta = VersionedTable(spark, f"{root}/meta")
-        self.signals = VersionedTable(spark, f"{root}/signals")
+        self.signals = VersionedTable(spark, f"{root}/signals", sort_by=("stock_a", "date"))
 
-    def stored_bars(self):
-        df = self.bars.read()
-        return None if df is None else df.select(*BAR_COLUMNS)
 
 
 def _universe(spark, args):
@@ -46,33 +44,34 @@ def _universe(spark, args):
 def full_load(spark, args) -> int:
     st = Store(spark, args.store)
     src = read_bars(spark, args.source, args.format)
-    loaded = ingest.load_bars(src, _universe(spark, args), args.start, args.end)
-    v = st.bars.write(with_index_columns(upsert(st.stored_bars(), loaded, ["ticker", "date"])))
-    st.meta.write(upsert(st.meta.read(), ingest.update_record(spark, _now(args)), ["key"]))
-    return v
+    loaded = ingest.load_bars(src, _universe(spark, args), args.start, _end(args))
+    st.bars.upsert(loaded)
+    return st.meta.write(upsert(st.meta.read(), ingest.update_record(spark, _now(args)), ["key"]))
 
 
 def refresh(spark, args) -> int:
     st = Store(spark, args.store)
-    stored, meta = st.stored_bars(), st.meta.read()
-    if stored is None or meta is None:
+    meta = st.meta.read()
+    if not st.bars.exists() or meta is None:
         raise SystemExit("no stored bars or update record: run full-load first")
     src = read_bars(spark, args.source, args.format)
-    merged = ingest.incremental_refresh(stored, src, meta, _universe(spark, args), args.overlap)
-    v = st.bars.write(with_index_columns(merged))
-    st.meta.write(upsert(meta, ingest.update_record(spark, _now(args)), ["key"]))
-    return v
+    st.bars.upsert(ingest.refresh_batch(src, meta, _universe(spark, args), args.overlap, _end(args)))
+    return st.meta.write(upsert(meta, ingest.update_record(spark, _now(args)), ["key"]))
 
 
 def analyze(spark, args) -> int:
     st = Store(spark, args.store)
-    bars = st.stored_bars()
+    bars = st.bars.read()
     if bars is None:
         raise SystemExit("no stored bars: run full-load first")
     cfg = AnalysisConfig(min_days=args.min_days, min_mean_volume=args.min_mean_volume, ndays=args.ndays,
                          begin_day=args.begin_day, z_thresh=args.z_thresh, crit_level=args.level,
                          spread=args.spread, align=args.align, min_overlap=args.min_overlap).validate()
-    return st.signals.write(analysis.signals(bars, cfg, _universe(spark, args)), files=args.files)
+    return st.signals.write(analysis.signals(bars, cfg, _universe(spark, args)))
+
+
+def _end(args) -> str:
+    return args.end or _now(args).date().isoformat()
 
 
 def _now(args) -> dt.datetime:
@@ -88,7 +87,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--universe")
     p.add_argument("--limit", type=int, default=None, help="first N tickers of the universe")
     p.add_argument("--start")
-    p.add_argument("--end")
+    p.add_argument("--end", help="last day to load; default: the day of --now")
     p.add_argument("--overlap", type=int, default=5)
     p.add_argument("--now", help="update time to record (ISO); default: now")
     p.add_argument("--min-days", type=int, default=2000)
@@ -100,7 +99,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--spread", default="cross")
     p.add_argument("--align", default="rank")
     p.add_argument("--min-overlap", type=int, default=10)
-    p.add_argument("--files", type=int, default=20, help="files of the signal table")
     return p
 
 

@@ -1,18 +1,22 @@
 """Keyed tables: upsert, index search, key/value put/get/delete.
 
 A bucket of the original key/value store becomes a table with a key column.
-Updates never overwrite the folder being read: every write goes to a new
-version folder under the table root and readers pick the newest complete one.
+Small tables are replaced as a whole, by a new version folder beside the old
+ones (``VersionedTable``); bars are kept by month, and an upsert replaces the
+months it touches (``PartitionedTable``).
 
 Upserts keep, per key, the row of the latest batch (then the largest
-sequence value) with ``max_by`` - an aggregate with map-side partial
+sequence value) with ``max`` - an aggregate with map-side partial
 aggregation - so a key with very many versions never moves as one group.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairsignals import schemas
 from pairsignals.functions.calendar import bar_document, date_parts, iso_date, record_key
@@ -26,7 +30,8 @@ def upsert(current: DataFrame | None, updates: DataFrame, keys: list[str],
            seq: Column | None = None) -> DataFrame:
     """Rows of ``current`` and ``updates`` merged by ``keys``; an update
     replaces the current row, and among several updates of one key the one
-    with the largest ``seq`` (any orderable column) wins."""
+    with the largest ``seq`` (any orderable column) wins, then the one with
+    the largest values, so the result never depends on the order of rows."""
     value_cols = [c for c in updates.columns if c not in keys and c != "_seq"]
     seq = seq if seq is not None else F.lit(0)
     new = updates.select(*keys, *value_cols, F.lit(1).alias("_batch"), seq.alias("_seq"))
@@ -35,13 +40,25 @@ def upsert(current: DataFrame | None, updates: DataFrame, keys: list[str],
         old = current.select(*keys, *value_cols, F.lit(0).alias("_batch"),
                              F.lit(None).cast(seq_type).alias("_seq"))
         new = old.unionByName(new)
-    winner = F.max_by(F.struct(*value_cols), F.struct("_batch", "_seq")).alias("_row")
+    winner = F.max(F.struct("_batch", "_seq", *value_cols)).alias("_row")
     return new.groupBy(*keys).agg(winner).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in value_cols])
 
 
-def upsert_bars(current: DataFrame | None, batch: DataFrame) -> DataFrame:
+def upsert_by_load(current: DataFrame | None, updates: DataFrame, keys: list[str], load: str = "load_id") -> DataFrame:
+    """As ``upsert``, but rows carry the number of their load, and the row of
+    the latest load wins wherever it stands: a late load with a smaller
+    number replaces nothing."""
+    rows = updates if current is None else current.select(*updates.columns).unionByName(updates)
+    value_cols = [c for c in updates.columns if c not in keys and c != load]
+    winner = F.max(F.struct(load, *value_cols)).alias("_row")
+    return rows.groupBy(*keys).agg(winner).select(*[F.col(c if c in keys else f"_row.{c}").alias(c)
+                                                    for c in updates.columns])
+
+
+def upsert_bars(current: DataFrame | None, batch: DataFrame, seq: Column | None = None) -> DataFrame:
     """S3: bars keyed by (ticker, date), the later batch wins."""
-    return upsert(current, batch.select(*schemas.BAR_COLUMNS), ["ticker", "date"])
+    return upsert(current, batch.select(*schemas.BAR_COLUMNS, *([] if seq is None else [seq.alias("_seq")])),
+                  ["ticker", "date"], None if seq is None else F.col("_seq"))
 
 
 # --------------------------------------------------------------------------
@@ -60,11 +77,6 @@ def bar_documents(bars: DataFrame) -> DataFrame:
     )
 
 
-def with_index_columns(bars: DataFrame) -> DataFrame:
-    """Bars plus year/month/day columns used as partition and index keys."""
-    return bars.select("*", *date_parts(F.col("date")))
-
-
 def index_search_eq(table: DataFrame, term: str, value) -> DataFrame:
     """Rows whose index column equals ``value``."""
     return table.where(F.col(term) == F.lit(value))
@@ -79,9 +91,10 @@ def index_search_range(table: DataFrame, term: str, low, high) -> DataFrame:
 # key/value buckets
 # --------------------------------------------------------------------------
 
-def kv_put(bucket: DataFrame | None, puts: DataFrame, seq: Column | None = None) -> DataFrame:
-    """Store (key, value) rows; the last put of a key wins."""
-    return upsert(bucket, puts.select("key", "value"), ["key"], seq)
+def kv_put(bucket: DataFrame | None, puts: DataFrame, seq: str) -> DataFrame:
+    """Store (key, value) rows; the last put of a key (by the column
+    ``seq``) wins."""
+    return upsert(bucket, puts.select("key", "value", F.col(seq).alias("_seq")), ["key"], F.col("_seq"))
 
 
 def kv_get(bucket: DataFrame, key: str, schema=None) -> DataFrame:
@@ -92,11 +105,6 @@ def kv_get(bucket: DataFrame, key: str, schema=None) -> DataFrame:
     return out
 
 
-def kv_get_many(bucket: DataFrame, keys: DataFrame) -> DataFrame:
-    """Values of many keys at once (semi join, no per-key round trips)."""
-    return bucket.join(keys.select("key"), "key", "left_semi")
-
-
 def kv_scan(bucket: DataFrame) -> DataFrame:
     """Every key and value."""
     return bucket.select("key", "value")
@@ -115,14 +123,16 @@ def kv_delete_confirm(after: DataFrame, keys: DataFrame) -> DataFrame:
                     .otherwise(F.lit("deleted")).alias("status")))
 
 
-def kv_delete_all(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deleted keys read from the old version, new empty version)."""
-    return bucket.select("key"), bucket.limit(0)
+def kv_delete_all(table: VersionedTable) -> DataFrame:
+    """Write an empty version; returns the keys that it no longer has."""
+    before = table.read()
+    after = table.read(kv_truncate(table))
+    return before.select("key").join(after.select("key"), "key", "left_anti")
 
 
-def kv_truncate(bucket: DataFrame) -> DataFrame:
-    """The empty new version."""
-    return bucket.limit(0)
+def kv_truncate(table: VersionedTable) -> int:
+    """Write an empty version and return its number."""
+    return table.write(table.read().limit(0))
 
 
 # --------------------------------------------------------------------------
@@ -135,14 +145,14 @@ class VersionedTable:
     ``write`` puts a complete new version next to the old ones, so a job may
     read the current version while writing the next. Works on any Hadoop
     file system (the path comes from the caller, e.g. the checkpoint folder).
+    For tables that are replaced as a whole.
     """
 
-    def __init__(self, spark: SparkSession, root: str, partition_by: tuple[str, ...] = (),
-                 sort_by: tuple[str, ...] = ()):
+    def __init__(self, spark: SparkSession, root: str, sort_by: tuple[str, ...] = (), keep: int = 3):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.partition_by = tuple(partition_by)
         self.sort_by = tuple(sort_by)
+        self.keep = keep  # complete versions that stay; readers of an older one must be done
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -182,20 +192,81 @@ class VersionedTable:
             reader = reader.schema(schema)
         return reader.parquet(self.path(version))
 
-    def write(self, df: DataFrame, files: int | None = None) -> int:
+    def write(self, df: DataFrame) -> int:
         """Write ``df`` as the next version and return its number. Numbers go
         past every folder, so a retry after a failed write never collides
-        with the partial folder it left."""
+        with the partial folder it left. Versions beyond ``keep`` go."""
         nxt = max(self._version_folders(), default=0) + 1
-        out = df
-        if files:
-            # repartition, not coalesce: coalesce would narrow the whole
-            # upstream stage (e.g. the pair kernel) to ``files`` tasks.
-            out = out.repartition(files)
-        if self.sort_by:
-            out = out.sortWithinPartitions(*self.sort_by)
-        writer = out.write.mode("errorifexists")
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(self.path(nxt))
+        out = df.sortWithinPartitions(*self.sort_by) if self.sort_by else df
+        out.write.mode("errorifexists").parquet(self.path(nxt))
+        fs, jvm = self._fs()
+        for old in self.versions()[:-self.keep]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
         return nxt
+
+
+class PartitionedTable:
+    """A Parquet folder partitioned by calendar columns of ``date``, of which
+    an upsert reads and writes only the partitions that its batch touches.
+
+    The merged partitions are first written beside the table, then replace
+    the old ones by dynamic partition overwrite. A run that is broken off in
+    between leaves old or new partitions, and is repeated: the same batch
+    gives the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: tuple[str, ...] = ("ticker", "date"),
+                 sort_by: tuple[str, ...] = ("ticker",)):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.keys, self.sort_by = list(keys), tuple(sort_by)
+
+    PARTS = ("year", "month")
+
+    def _path(self, *names: str):
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path("/".join([self.root, *names]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        path, fs = self._path("rows")
+        return fs.exists(path)
+
+    def read(self, with_parts: bool = False) -> DataFrame | None:
+        """All rows; with ``year`` and ``month`` to prune by if asked for."""
+        if not self.exists():
+            return None
+        full = T.StructType([*self.schema.fields, *(T.StructField(c, T.IntegerType()) for c in self.PARTS)])
+        rows = self.spark.read.schema(full).parquet(f"{self.root}/rows")
+        return rows if with_parts else rows.select(*self.schema.names)
+
+    def touched(self, batch: DataFrame) -> DataFrame | None:
+        """Stored rows of the partitions that ``batch`` falls into. Their
+        numbers come to the driver (a row for each month), so the scan is
+        pruned when it is planned."""
+        rows = self.read(with_parts=True)
+        if rows is None:
+            return None
+        months = [(r.year, r.month) for r in batch.select(*date_parts(F.col("date"))[:2]).distinct().collect()]
+        hit = F.lit(False)
+        for year, month in months:
+            hit = hit | (F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)))
+        return rows.where(hit).select(*self.schema.names)
+
+    def upsert(self, batch: DataFrame, merge=upsert) -> None:
+        """Merge ``batch`` into the partitions it touches; ``merge`` takes
+        the stored rows, the batch and the keys."""
+        merged = merge(self.touched(batch), batch.select(*self.schema.names), self.keys)
+        merged = merged.select(*self.schema.names, *date_parts(F.col("date"))[:2])
+        if not self.exists():
+            self._write(merged)
+            return
+        beside = f"merged-{uuid.uuid4().hex[:12]}"
+        merged.write.parquet(f"{self.root}/{beside}")
+        self._write(self.spark.read.schema(merged.schema).parquet(f"{self.root}/{beside}"))
+        path, fs = self._path(beside)
+        fs.delete(path, True)
+
+    def _write(self, rows: DataFrame) -> None:
+        # Rebalanced by month: few files for a month, yet a large month is split.
+        (rows.hint("rebalance", *self.PARTS).sortWithinPartitions(*self.PARTS, *self.sort_by).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(*self.PARTS).parquet(f"{self.root}/rows"))

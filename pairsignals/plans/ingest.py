@@ -37,7 +37,7 @@ def load_counts(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def load_report(loaded: DataFrame, universe: DataFrame, limit: int | None = 100) -> DataFrame:
+def load_report(loaded: DataFrame, universe: DataFrame, limit: int | None = None) -> DataFrame:
     """Every universe ticker (the first ``limit`` entries when given) with
     its row count (0 when nothing was loaded) and ``added`` / ``not_added``."""
     uni = first_n(universe, limit).select("ticker")
@@ -67,8 +67,10 @@ def update_record(spark, updated_at: dt.datetime | None = None, source: DataFram
 
 
 def last_update(meta: DataFrame) -> dt.date | None:
-    """Read the update time from the meta table (one row) as a date."""
-    row = meta.where(F.col("key") == F.lit(UPDATE_KEY)).agg(F.max("updated_at").cast("date").alias("d")).first()
+    """The day in the update record's document (one row)."""
+    doc = F.from_json("value", schemas.UPDATE_DOCUMENT)
+    day = F.make_date(doc["Year"], doc["Month"], doc["Day"])
+    row = meta.where(F.col("key") == F.lit(UPDATE_KEY)).agg(F.max(day).alias("d")).first()
     return row["d"] if row else None
 
 

@@ -26,43 +26,11 @@ BARS = T.StructType([
 
 BAR_COLUMNS = [f.name for f in BARS.fields]
 
-SIGNALS = T.StructType([
-    T.StructField("key", T.StringType(), False),
-    T.StructField("stock_a", T.StringType(), False),
-    T.StructField("stock_b", T.StringType(), False),
-    T.StructField("date", T.DateType(), True),
-    T.StructField("close_a", T.DoubleType(), True),
-    T.StructField("close_b", T.DoubleType(), True),
-    T.StructField("z_score", T.DoubleType(), True),
-    T.StructField("beta", T.DoubleType(), True),
-    T.StructField("signal_mean", T.DoubleType(), True),
-    T.StructField("signal_sd", T.DoubleType(), True),
-    T.StructField("year", T.IntegerType(), True),
-    T.StructField("month", T.IntegerType(), True),
-    T.StructField("day", T.IntegerType(), True),
-])
-
-META = T.StructType([
-    T.StructField("key", T.StringType(), False),
-    T.StructField("updated_at", T.TimestampType(), True),
-])
-
 KV = T.StructType([
     T.StructField("key", T.StringType(), False),
     T.StructField("value", T.StringType(), True),
 ])
 
-# JSON document of one bar, field names as stored.
-BAR_DOCUMENT = T.StructType([
-    T.StructField("OPEN", T.DoubleType()),
-    T.StructField("HIGH", T.DoubleType()),
-    T.StructField("LOW", T.DoubleType()),
-    T.StructField("CLOSE", T.DoubleType()),
-    T.StructField("VOLUME", T.DoubleType()),
-    T.StructField("DATE", T.StringType()),
-    T.StructField("TICKER", T.StringType()),
-])
-
 # JSON document of the update time.
 UPDATE_DOCUMENT = T.StructType([
     T.StructField("Year", T.IntegerType()),

@@ -19,25 +19,19 @@ WALK_DECIMAL = "decimal(24,10)"
 # The type of a sum of steps; carried sums are kept in it so adding the
 # in-year sum stays at scale 10 (no precision-loss rounding).
 WALK_SUM_DECIMAL = "decimal(34,10)"
-# Bits for l_linenumber and bound of |l_orderkey| in the packed line key.
-LINE_BITS = 16
-ORDERKEY_BOUND = 2 ** 47
 # Year bucket of a null date: below every real year, as Spark sorts a null
 # date first in ascending order (and last in descending order).
 NULL_YEAR = -(2 ** 31)
 
 
 def line_key() -> F.Column:
-    """(l_orderkey, l_linenumber) packed in one long with the same order, so
-    the per-bar ``min_by`` keeps a fixed-width buffer and Spark can use hash
-    aggregation (a struct key forces a sort aggregate). The packing keeps
-    the lexicographic order exactly when 0 <= l_linenumber < 2^16 and
-    |l_orderkey| < 2^47; any other key (or a null one) raises instead of
-    giving a wrong open."""
-    o, ln = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long")
-    ok = (ln >= 0) & (ln < F.lit(1 << LINE_BITS)) & (F.abs(o) < F.lit(ORDERKEY_BOUND))
-    return F.when(ok, o * F.lit(1 << LINE_BITS) + ln).otherwise(
-        F.raise_error(F.lit("l_orderkey/l_linenumber outside the packed line-key range")))
+    """(l_orderkey, l_linenumber) as one fixed-width number with the same
+    order, so the per-bar ``min_by`` keeps a fixed-width buffer and Spark can
+    use hash aggregation (a struct key forces a sort aggregate). Holds any
+    64-bit order key and any 32-bit line number."""
+    line_numbers = F.lit(2 ** 32).cast("decimal(10,0)")
+    return (F.col("l_orderkey").cast("decimal(19,0)") * line_numbers
+            + F.col("l_linenumber").cast("int").cast("decimal(10,0)"))
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:

@@ -108,15 +108,33 @@ def test_kv_operations(spark):
     assert {r["key"] for r in after.collect()} == {"k2", "k3", "k4"}
     status = {r["key"]: r["status"] for r in store.kv_delete_confirm(after, keys).collect()}
     assert status == {"k1": "deleted", "k9": "deleted"}
-    deleted, empty = store.kv_delete_all(put)
-    assert deleted.count() == 4 and empty.count() == 0
+    tbl = store.VersionedTable(spark, scratch_path(spark, "kv-test"))
+    tbl.write(put)
+    assert {r["key"] for r in store.kv_delete_all(tbl).collect()} == {"k1", "k2", "k3", "k4"}
+    assert tbl.read().count() == 0 and tbl.read(1).count() == 4
+    assert store.kv_delete_confirm(put, keys).where("status = 'failed'").first()["key"] == "k1"
+
+
+def test_ties_of_an_upsert_do_not_depend_on_row_order(spark):
+    bars = make_bars(spark, {"A": [1.0]})
+    twice = make_bars(spark, {"A": [5.0]}).union(make_bars(spark, {"A": [3.0]}))
+    for batch in (twice, twice.orderBy("close"), twice.orderBy(F.desc("close")).coalesce(1)):
+        assert [r["close"] for r in store.upsert_bars(bars, batch).collect()] == [5.0]
+    assert [r["close"] for r in store.upsert_bars(bars, twice, seq=-F.col("close")).collect()] == [3.0]
+
+
+def test_old_versions_go(spark):
+    tbl = store.VersionedTable(spark, scratch_path(spark, "versions"), keep=2)
+    for k in range(4):
+        tbl.write(spark.range(k))
+    assert tbl.versions() == [3, 4] and tbl.read().count() == 3
 
 
 def test_versioned_table_and_refresh(spark):
-    tbl = store.VersionedTable(spark, scratch_path(spark, "bars-test"), partition_by=("year",))
+    tbl = store.VersionedTable(spark, scratch_path(spark, "bars-test"))
     bars = make_bars(spark, {"A": [1.0, 2.0, 3.0, 4.0]})
-    v1 = tbl.write(store.with_index_columns(bars))
-    v2 = tbl.write(store.with_index_columns(bars.where(F.col("close") > 2)))
+    v1 = tbl.write(bars)
+    v2 = tbl.write(bars.where(F.col("close") > 2))
     assert (v1, v2) == (1, 2) and tbl.current_version() == 2
     assert tbl.read().count() == 2 and tbl.read(1).count() == 4
     meta = ingest.update_record(spark, dt.datetime(2001, 1, 3, 12, 30))
@@ -135,6 +153,17 @@ def test_refresh_stream_later_load_wins(spark):
     assert out == {1: 1.0, 2: 2.0, 3: 9.0}
 
 
+def test_refresh_stream_late_load_does_not_win(spark):
+    """Load 1 lands after load 2 has been merged."""
+    from pairsignals.streaming.refresh import LANDED, land, start_refresh_stream
+    landing, checkpoint = scratch_path(spark, "landing"), scratch_path(spark, "stream")
+    table = store.PartitionedTable(spark, scratch_path(spark, "late"), LANDED)
+    for number, closes in ((2, [9.0]), (1, [1.0, 2.0])):
+        land(make_bars(spark, {"A": closes}), landing, number)
+        start_refresh_stream(spark, landing, table, checkpoint).awaitTermination()
+    assert {r["date"].day: (r["close"], r["load_id"]) for r in table.read().collect()} == {1: (9.0, 2), 2: (2.0, 1)}
+
+
 def test_full_load_then_nightly_job(spark):
     from pairsignals.plans.nightly import full_load_job, nightly_job
     import numpy as np
@@ -143,7 +172,7 @@ def test_full_load_then_nightly_job(spark):
     series = {f"N{k}": random_series(rng, 30, "noise") for k in range(4)}
     src = make_bars(spark, series)
     uni = spark.createDataFrame([(k, t, t) for k, t in enumerate(sorted(series))], schemas.UNIVERSE)
-    bars_t = store.VersionedTable(spark, scratch_path(spark, "nb-bars"), sort_by=("ticker",))
+    bars_t = store.PartitionedTable(spark, scratch_path(spark, "nb-bars"), schemas.BARS)
     meta_t = store.VersionedTable(spark, scratch_path(spark, "nb-meta"))
     sig_t = store.VersionedTable(spark, scratch_path(spark, "nb-signals"))
     first = src.where(F.col("date") <= F.lit("2001-01-25").cast("date"))
@@ -197,9 +226,9 @@ def test_jobs_full_load_refresh_analyze(spark, tmp_path):
     common = ["--store", store_root, "--source", src_dir, "--universe", str(uni)]
     assert jobs.run(spark, ["full-load", *common, "--end", "2001-01-25", "--now", "2001-01-25T00:00"]) == 1
     st = jobs.Store(spark, store_root)
-    assert st.stored_bars().count() == 4 * 25
+    assert st.bars.read().count() == 4 * 25
     assert jobs.run(spark, ["refresh", *common, "--now", "2001-01-31T00:00"]) == 2
-    assert st.stored_bars().count() == 4 * 30
+    assert st.bars.read().count() == 4 * 30
     assert jobs.run(spark, ["analyze", "--store", store_root, "--min-days", "20", "--min-mean-volume", "0",
                             "--ndays", "20", "--z-thresh", "0"]) == 1
     want = pair_verdicts(make_bars(spark, series), AnalysisConfig(min_days=20, min_mean_volume=0, ndays=20,
@@ -261,14 +290,18 @@ def test_two_level_rank_and_walk_equal_one_window_forms(spark):
     assert sum(math.isnan(v) for v in fast.values()) == 3
 
 
-def test_packed_line_key_orders_like_the_pair_and_guards_its_range(spark):
-    from pyspark.sql import functions as F
-    from pairsignals.sources.bars import ORDERKEY_BOUND, line_key
-    keys = [(o, ln) for o in (-(ORDERKEY_BOUND - 1), -5, 0, 3, 4, ORDERKEY_BOUND - 1)
-            for ln in (0, 1, 7, 65535)]
+def test_line_key_orders_like_the_pair(spark):
+    from pairsignals.sources.bars import line_key
+    keys = [(o, ln) for o in (-2 ** 63, -5, 0, 3, 4, 2 ** 63 - 1) for ln in (-2 ** 31, -1, 0, 1, 7, 65536, 2 ** 31 - 1)]
     df = spark.createDataFrame(keys, "l_orderkey long, l_linenumber int")
     got = [(r["l_orderkey"], r["l_linenumber"]) for r in df.orderBy(line_key()).collect()]
     assert got == sorted(keys)
-    for bad in ((1, 65536), (1, -1), (ORDERKEY_BOUND, 1), (None, 1)):
-        with pytest.raises(Exception, match="packed line-key range"):
-            spark.createDataFrame([bad], "l_orderkey long, l_linenumber int").select(line_key()).collect()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+    from pairsignals.session import checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session)
