@@ -90,37 +90,55 @@ def pairs_all(tickers: DataFrame, b: int) -> DataFrame:
     return both_orders(up, [("a_ticker", "stock_a")], [("b_ticker", "stock_b")])
 
 
-def pairs_aligned_rank(window: DataFrame, b: int) -> DataFrame:
-    """Bars of both members at the same window position ``i``.
+def window_arrays(window: DataFrame) -> DataFrame:
+    """One row per ticker: its window as an array ``w`` of (i, date, v)."""
+    return window.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("i", "date", "v"))).alias("w"))
+
+
+def with_windows(pairs: DataFrame, window: DataFrame) -> DataFrame:
+    """``pairs`` (with ``stock_a, stock_b``) and both windows as arrays
+    ``wa``, ``wb``. Only the given pairs are formed, one row each: no rows of
+    pairs x bars are shuffled."""
+    w = window_arrays(window)
+    a, b = (w.select(F.col("ticker").alias(f"stock_{x}"), F.col("w").alias(f"w{x}")) for x in "ab")
+    return pairs.join(a, "stock_a").join(b, "stock_b")
+
+
+def pairs_aligned_rank(window: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Bars of both members of the given pairs at the same window
+    position ``i``.
 
     ``window`` is ``(ticker, i, date, v)``; output
-    ``(stock_a, stock_b, i, date_a, date_b, close_a, close_b)`` for both orders.
+    ``(stock_a, stock_b, i, date_a, date_b, close_a, close_b)``.
     """
-    up = unordered_pairs(window.select("ticker", "i", "date", "v"), b, on=("i",))
-    return both_orders(
-        up.withColumnRenamed("a_i", "i"),
-        [("a_ticker", "stock_a"), ("a_date", "date_a"), ("a_v", "close_a")],
-        [("b_ticker", "stock_b"), ("b_date", "date_b"), ("b_v", "close_b")],
-        shared=["i"],
-    )
+    both = with_windows(pairs.select("stock_a", "stock_b"), window)
+    return both.select("stock_a", "stock_b", F.inline(F.zip_with("wa", "wb", lambda a, b: F.struct(
+        a["i"].alias("i"), a["date"].alias("date_a"), b["date"].alias("date_b"),
+        a["v"].alias("close_a"), b["v"].alias("close_b"))))).where(F.col("close_a").isNotNull()
+                                                                   & F.col("close_b").isNotNull())
 
 
-def pairs_aligned_date(window: DataFrame, b: int, min_overlap: int) -> DataFrame:
-    """Bars of both members on the same date, for pairs sharing at least
-    ``min_overlap`` dates of their windows.
+def pairs_aligned_date(window: DataFrame, pairs: DataFrame, min_overlap: int) -> DataFrame:
+    """Bars of both members of the given pairs on the same date, for
+    pairs sharing at least ``min_overlap`` dates of their windows.
 
-    Output ``(stock_a, stock_b, date, close_a, close_b, n_overlap)`` for both orders.
+    Output ``(stock_a, stock_b, date, close_a, close_b, n_overlap)``.
     """
-    from pyspark.sql import Window
-
-    up = unordered_pairs(window.select("ticker", "date", "v"), b, on=("date",))
-    up = up.withColumnRenamed("a_date", "date")
-    w = Window.partitionBy("a_ticker", "b_ticker")
-    up = (up.withColumn("n_overlap", F.count(F.lit(1)).over(w))
-          .where(F.col("n_overlap") >= F.lit(min_overlap)))
-    return both_orders(
-        up,
-        [("a_ticker", "stock_a"), ("a_v", "close_a")],
-        [("b_ticker", "stock_b"), ("b_v", "close_b")],
-        shared=["date", "n_overlap"],
-    )
+    both = with_windows(pairs.select("stock_a", "stock_b"), window)
+    by_date = F.map_from_entries(F.transform("wb", lambda x: F.struct(x["date"], x["v"])))
+    both = both.withColumn("mb", by_date)
+    shared = F.filter("wa", lambda x: F.map_contains_key(F.col("mb"), x["date"]))
+    both = both.withColumn("shared", shared).withColumn("n_overlap", F.size("shared").cast("long"))
+    rows = F.transform("shared", lambda x: F.struct(
+        x["date"].alias("date"), x["v"].alias("close_a"), F.element_at("mb", x["date"]).alias("close_b")))
+    return both.where(F.col("n_overlap") >= F.lit(min_overlap)).select(
+        "stock_a", "stock_b", F.inline(rows), "n_overlap")
+
+
+def pair_residuals(window: DataFrame, stats: DataFrame) -> DataFrame:
+    """A4: residual of every window position of the pairs in ``stats`` (with
+    their ``alpha`` and ``beta``): ``(stock_a, stock_b, i, resid)``."""
+    both = with_windows(stats.select("stock_a", "stock_b", "alpha", "beta"), window)
+    rows = F.zip_with("wa", "wb", lambda a, b: F.struct(
+        a["i"].alias("i"), (a["v"] - F.col("alpha") - F.col("beta") * b["v"]).alias("resid")))
+    return both.select("stock_a", "stock_b", F.inline(rows))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairsignals import schemas
 from pairsignals.config import AnalysisConfig
 from pairsignals.functions.calendar import date_from_iso_parts, date_parts, iso_date, record_key
 from pairsignals.functions.columns import round6
@@ -24,8 +25,7 @@ from pairsignals.functions.critical import critical_value
 from pairsignals.operators import series as ser
 from pairsignals.operators import signals as sig
 from pairsignals.operators import store
-from pairsignals.operators.pairs import block_count, pairs_aligned_date, pairs_aligned_rank, pairs_all
-from pairsignals.operators.stats import rank_aligned_unordered, residual_rows
+from pairsignals.operators.pairs import block_count, pair_residuals, pairs_aligned_date, pairs_aligned_rank, pairs_all
 from pairsignals.plans import analysis, ingest
 from pairsignals.session import scratch_path
 from pairsignals.sources.bars import bars_from_lineitem, bars_in_range
@@ -41,13 +41,19 @@ DATE_ALIGNED = STATS.with_(align="date", min_overlap=10, crit_level="1%")
 WINDOW_OFFSET = STATS.with_(begin_day=10)
 RANGE_START, RANGE_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 LOAD_START = dt.date(2000, 1, 1)
-FIRST_N = 100
+REPORT_START = dt.date(2001, 10, 25)
+FIRST_N = 7
 AS_OF = dt.datetime(2001, 6, 30)
 OVERLAP_DAYS = 5
 ONE_TICKER = "7"
 ONE_KEY = "42"
 DELETE_EVENT_TYPE = "error"
+DELETE_BEFORE = dt.datetime(2024, 1, 15)
+# Suppliers of these nations play tickers that stand still at a price whose
+# mean over a window is not exact in binary.
+PEGGED = {0: 10.1, 1: 0.1, 2: 7.77, 3: 4.35}
 SEARCH_YEAR = 1999
+SEARCH_STOCK, SEARCH_SIGNAL_YEAR = "61", 2001
 SEARCH_MONTHS = (3, 5)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,9 +73,18 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     return universe_from_supplier(table(spark, sf, "supplier"))
 
 
-def bucket(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(F.col("event_id").cast("string").alias("key"),
-                                             F.col("props").alias("value"))
+def funded_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """A universe that is smaller than the bars: suppliers in credit."""
+    return universe_from_supplier(table(spark, sf, "supplier").where(F.col("s_acctbal") > 0))
+
+
+def bucket(spark: SparkSession, sf: str, key: str | None = None) -> DataFrame:
+    """Events as a key/value bucket; of one ``key`` only, if given (the key
+    reaches the scan as the number it is stored as)."""
+    ev = table(spark, sf, "events")
+    if key is not None:
+        ev = ev.where(F.col("event_id") == F.lit(int(key)))
+    return ev.select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("value"))
 
 
 # --------------------------------------------------------------------------
@@ -124,7 +139,7 @@ def q_series_latest(spark, sf):
 
 
 def q_series_scan(spark, sf):
-    return report(ser.series_scan(bars(spark, sf), universe(spark, sf)))
+    return report(ser.series_scan(bars(spark, sf), funded_universe(spark, sf)))
 
 
 # --------------------------------------------------------------------------
@@ -141,14 +156,14 @@ def q_pairs_all(spark, sf):
 
 def q_pairs_aligned_rank(spark, sf):
     w = analysis.window_for(bars(spark, sf), STATS)
-    out = pairs_aligned_rank(w, block_count(spark, STATS))
+    out = pairs_aligned_rank(w, _tradeable(spark, sf))
     return report(out.select("stock_a", "stock_b", F.col("i").cast("long").alias("i"),
                              "date_a", "date_b", "close_a", "close_b"))
 
 
 def q_pairs_aligned_date(spark, sf):
     w = analysis.window_for(bars(spark, sf), DATE_ALIGNED)
-    return report(pairs_aligned_date(w, block_count(spark, DATE_ALIGNED), DATE_ALIGNED.min_overlap))
+    return report(pairs_aligned_date(w, sig.tradeable(_verdicts(spark, sf, DATE_ALIGNED)), DATE_ALIGNED.min_overlap))
 
 
 # --------------------------------------------------------------------------
@@ -163,13 +178,26 @@ def _verdicts(spark, sf, cfg=STATS):
     return sig.verdicts(_stats(spark, sf, cfg), cfg)
 
 
+def _tradeable(spark, sf, cfg=STATS):
+    return analysis.tradeable_pairs(bars(spark, sf), cfg)
+
+
+def q_pair_verdicts_pegged(spark, sf):
+    """Verdicts where some series are constant: they are never a regressor of
+    a cointegrated pair, nor cointegrated with one."""
+    fixed = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.coalesce(
+        *[F.when(F.col("s_nationkey") == n, F.lit(price)) for n, price in PEGGED.items()]).alias("_price"))
+    b = bars(spark, sf).join(fixed, "ticker", "left").withColumn("close", F.coalesce("_price", "close")).drop("_price")
+    return report(sig.verdicts(analysis.pair_statistics(analysis.window_for(b, STATS), STATS), STATS))
+
+
 def q_pair_ols(spark, sf):
     return report(_stats(spark, sf).select("stock_a", "stock_b", "alpha", "beta"))
 
 
 def q_pair_residuals(spark, sf):
     w = analysis.window_for(bars(spark, sf), STATS)
-    out = residual_rows(rank_aligned_unordered(w, block_count(spark, STATS)), "i")
+    out = pair_residuals(w, _tradeable(spark, sf))
     return report(out.select("stock_a", "stock_b", F.col("i").cast("long").alias("i"), "resid"))
 
 
@@ -221,18 +249,18 @@ def q_pair_verdicts_date(spark, sf):
 
 
 def q_pairs_tradeable(spark, sf):
-    return report(sig.tradeable(_verdicts(spark, sf)))
+    return report(_tradeable(spark, sf))
 
 
 def q_pair_analysis(spark, sf):
     """What the per-pair routine returns for tradeable pairs."""
-    t = sig.tradeable(_verdicts(spark, sf))
+    t = _tradeable(spark, sf)
     return report(t.select("stock_a", "stock_b", "date", "close_a", "close_b", "z_score", "beta",
                            "signal_mean", "signal_sd"))
 
 
 def q_pair_analysis_walk(spark, sf):
-    t = sig.tradeable(_verdicts(spark, sf, WALK_CROSS))
+    t = _tradeable(spark, sf, WALK_CROSS)
     return report(t.select("stock_a", "stock_b", "date", "close_a", "close_b", "z_score", "beta",
                            "signal_mean", "signal_sd"))
 
@@ -242,17 +270,23 @@ def q_pair_analysis_walk(spark, sf):
 # --------------------------------------------------------------------------
 
 def q_signals_table(spark, sf):
-    return report(sig.signal_rows(sig.tradeable(_verdicts(spark, sf))))
+    return report(sig.signal_rows(_tradeable(spark, sf)))
 
 
 def q_signals_write_tradeable(spark, sf):
     """Write the tradeable pairs to a fresh signal table, read it back."""
-    tbl = store.VersionedTable(spark, scratch_path(spark, "signals"))
-    rows = report(sig.signal_rows(sig.tradeable(_verdicts(spark, sf))))
-    v = tbl.write(rows, files=20)
+    tbl = store.VersionedTable(spark, scratch_path(spark, "signals"), sort_by=("stock_a", "date"))
+    v = tbl.write(report(sig.signal_rows(_tradeable(spark, sf))))
     return tbl.read(v)
 
 
+def q_signals_search(spark, sf):
+    """Search of the written signal table by stock and year: both conditions
+    reach the scan of the table, which is sorted by stock."""
+    rows = q_signals_write_tradeable(spark, sf)
+    return store.index_search_eq(store.index_search_eq(rows, "stock_a", SEARCH_STOCK), "year", SEARCH_SIGNAL_YEAR)
+
+
 # --------------------------------------------------------------------------
 # key/value bucket and bar store
 # --------------------------------------------------------------------------
@@ -262,7 +296,7 @@ def q_kv_scan_all(spark, sf):
 
 
 def q_kv_get(spark, sf):
-    out = store.kv_get(bucket(spark, sf), ONE_KEY, T.StructType([T.StructField("k", T.LongType())]))
+    out = store.kv_get(bucket(spark, sf, ONE_KEY), ONE_KEY, T.StructType([T.StructField("k", T.LongType())]))
     return out.select("key", F.col("value.k").alias("k"))
 
 
@@ -270,16 +304,13 @@ def q_kv_upsert(spark, sf):
     """S10 applied as a log: each event puts its props under its user id, in
     time order (ties by event id); the last put of each user wins."""
     ev = table(spark, sf, "events")
-    first_half = ev.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp"))
-    second_half = ev.where(F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
+    late = F.coalesce(F.col("ts") >= F.lit(DELETE_BEFORE).cast("timestamp_ntz"), F.lit(False))
 
     def puts(df):
         return df.select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"),
                          F.struct("ts", "event_id").alias("_seq"))
 
-    p1, p2 = puts(first_half), puts(second_half)
-    b1 = store.upsert(None, p1, ["key"], seq=F.col("_seq"))
-    return store.upsert(b1, p2, ["key"], seq=F.col("_seq"))
+    return store.kv_put(store.kv_put(None, puts(ev.where(~late)), "_seq"), puts(ev.where(late)), "_seq")
 
 
 def _delete_keys(spark, sf):
@@ -293,19 +324,26 @@ def q_kv_delete(spark, sf):
 
 
 def q_kv_delete_confirm(spark, sf):
-    after = store.kv_delete(bucket(spark, sf), _delete_keys(spark, sf))
-    return store.kv_delete_confirm(after, _delete_keys(spark, sf))
+    """Of the keys asked for, only those of early events are deleted."""
+    early = table(spark, sf, "events").where(F.col("ts") < F.lit(DELETE_BEFORE).cast("timestamp_ntz")).select(
+        F.col("event_id").cast("string").alias("key"))
+    asked = _delete_keys(spark, sf)
+    after = store.kv_delete(bucket(spark, sf), asked.join(early, "key", "left_semi"))
+    return store.kv_delete_confirm(after, asked)
 
 
 def q_kv_delete_all(spark, sf):
-    deleted, _ = store.kv_delete_all(bucket(spark, sf))
-    return deleted
+    tbl = store.VersionedTable(spark, scratch_path(spark, "bucket"))
+    tbl.write(bucket(spark, sf))
+    return store.kv_delete_all(tbl)
 
 
 def q_kv_truncate(spark, sf):
-    b = bucket(spark, sf)
-    marks = (b.select(F.lit(1).alias("before"), F.lit(0).alias("after"))
-             .unionByName(store.kv_truncate(b).select(F.lit(0).alias("before"), F.lit(1).alias("after"))))
+    tbl = store.VersionedTable(spark, scratch_path(spark, "bucket"))
+    before = tbl.read(tbl.write(bucket(spark, sf)))
+    after = tbl.read(store.kv_truncate(tbl))
+    marks = (before.select(F.lit(1).alias("before"), F.lit(0).alias("after"))
+             .unionByName(after.select(F.lit(0).alias("before"), F.lit(1).alias("after"))))
     return marks.agg(F.coalesce(F.sum("before"), F.lit(0)).cast("long").alias("n_before"),
                      F.coalesce(F.sum("after"), F.lit(0)).cast("long").alias("n_after"))
 
@@ -319,12 +357,18 @@ def q_bars_documents(spark, sf):
 
 
 def q_index_search_eq(spark, sf):
-    return store.index_search_eq(_documents(spark, sf), "year_int", SEARCH_YEAR).select("key", "doc")
+    # The year as a range of dates, which the scan of the source can use.
+    year = bars_in_range(bars(spark, sf), dt.date(SEARCH_YEAR, 1, 1), dt.date(SEARCH_YEAR, 12, 31))
+    return store.index_search_eq(store.bar_documents(year), "year_int", SEARCH_YEAR).select("key", "doc")
 
 
 def q_index_search_range(spark, sf):
+    """The search reads the stored bars, whose months are partitions."""
     lo, hi = SEARCH_MONTHS
-    return store.index_search_range(_documents(spark, sf), "month_int", lo, hi).select("key", "doc")
+    tbl = store.PartitionedTable(spark, scratch_path(spark, "bars"), schemas.BARS)
+    tbl.upsert(bars(spark, sf))
+    months = store.index_search_range(tbl.read(with_parts=True), "month", lo, hi)
+    return store.bar_documents(months).select("key", "doc")
 
 
 def q_scalar_calendar_key(spark, sf):
@@ -343,18 +387,25 @@ def _initial_and_refresh(spark, sf):
     return src, initial, meta
 
 
+def _corrected(batch):
+    """A refresh whose closes differ from the stored ones (each is raised by
+    one), so that a merge that keeps the wrong row shows."""
+    return batch.withColumn("close", F.col("close") + F.lit(1.0))
+
+
 def q_bars_upsert(spark, sf):
     """S3: initial load up to the update day, then the refresh batch from
     five days before it; ``batch`` tells which load each stored row came from."""
     src, initial, meta = _initial_and_refresh(spark, sf)
-    batch = ingest.refresh_batch(src, meta, universe(spark, sf), OVERLAP_DAYS)
+    batch = _corrected(ingest.refresh_batch(src, meta, universe(spark, sf), OVERLAP_DAYS))
     merged = store.upsert(initial.withColumn("batch", F.lit(1)), batch.withColumn("batch", F.lit(2)),
                           ["ticker", "date"])
     return report(merged)
 
 
 def q_bars_load_one_ticker(spark, sf):
-    loaded = ingest.load_bars(bars(spark, sf), None, LOAD_START, None, ticker=ONE_TICKER)
+    lines = table(spark, sf, "lineitem").where(F.col("l_suppkey") == F.lit(int(ONE_TICKER)))
+    loaded = ingest.load_bars(bars_from_lineitem(lines), None, LOAD_START, None, ticker=ONE_TICKER)
     counts = ingest.load_counts(loaded)
     want = spark.range(1).select(F.lit(ONE_TICKER).alias("ticker"))
     return (want.join(counts, "ticker", "left")
@@ -362,19 +413,19 @@ def q_bars_load_one_ticker(spark, sf):
 
 
 def q_load_report(spark, sf):
-    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), LOAD_START, None)
-    return ingest.load_report(loaded, universe(spark, sf), None)
+    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), REPORT_START, None)
+    return ingest.load_report(loaded, universe(spark, sf))
 
 
 def q_full_load_counts(spark, sf):
-    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), LOAD_START, None)
+    loaded = ingest.load_bars(bars(spark, sf), funded_universe(spark, sf))
     return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
 
 
 def q_watermark_write(spark, sf):
     """The update record after a full load, stamped with the newest bar
     date of the load, written as a new meta version and read back."""
-    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), LOAD_START, None)
+    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf))
     rec = ingest.update_record(spark, source=loaded)
     tbl = store.VersionedTable(spark, scratch_path(spark, "meta"))
     v = tbl.write(store.upsert(None, rec, ["key"]))
@@ -391,7 +442,7 @@ def q_nightly_pipeline(spark, sf):
     """Refresh the stored bars, then analyse: the tradeable signal rows."""
     from pairsignals.plans.nightly import nightly
     src, initial, meta = _initial_and_refresh(spark, sf)
-    return report(nightly(spark, initial, src, meta, STATS, universe(spark, sf), OVERLAP_DAYS))
+    return report(nightly(spark, initial, _corrected(src), meta, STATS, universe(spark, sf), OVERLAP_DAYS))
 
 
 def q_incremental_refresh_stream(spark, sf):
@@ -400,7 +451,7 @@ def q_incremental_refresh_stream(spark, sf):
     from pairsignals.streaming.refresh import run_refresh_stream
     src, initial, meta = _initial_and_refresh(spark, sf)
     batch = ingest.refresh_batch(src, meta, universe(spark, sf), OVERLAP_DAYS)
-    return report(run_refresh_stream(spark, [initial, batch]))
+    return report(run_refresh_stream(spark, [initial, _corrected(batch)]))
 
 
 QUERIES: dict[str, Query] = {
@@ -430,11 +481,13 @@ QUERIES: dict[str, Query] = {
     "pair_verdicts_walk": q_pair_verdicts_walk,
     "pair_verdicts_walk_aligned": q_pair_verdicts_walk_aligned,
     "pair_verdicts_date": q_pair_verdicts_date,
+    "pair_verdicts_pegged": q_pair_verdicts_pegged,
     "pairs_tradeable": q_pairs_tradeable,
     "pair_analysis": q_pair_analysis,
     "pair_analysis_walk": q_pair_analysis_walk,
     "signals_table": q_signals_table,
     "signals_write_tradeable": q_signals_write_tradeable,
+    "signals_search": q_signals_search,
     "kv_scan_all": q_kv_scan_all,
     "kv_get": q_kv_get,
     "kv_upsert": q_kv_upsert,

@@ -21,6 +21,9 @@ def r6(expr: str, alias: str) -> str:
 UNIVERSE = "(SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier)"
 
 
+FUNDED = "(SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier WHERE s_acctbal > 0)"
+
+
 def bars_cte(walk: bool = False, offset: float = 1500.0) -> str:
     raw = """bars_raw AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
@@ -67,12 +70,18 @@ al AS (SELECT sa, sb, row_number() OVER (PARTITION BY sa, sb ORDER BY da DESC) -
 def stats_cte(cfg: AnalysisConfig) -> str:
     lag_order = "i DESC" if cfg.forward else "i"
     return f"""ols AS (SELECT sa, sb, count(*) AS n,
-               CASE WHEN regr_sxx(av, bv) > 0 THEN regr_slope(av, bv) END AS beta,
-               avg(av) AS ma, avg(bv) AS mb, var_pop(av) AS va, var_pop(bv) AS vb,
+               min(av) = max(av) AND NOT isnan(min(av)) AS fa,
+               CASE WHEN min(bv) = max(bv) AND NOT isnan(min(bv)) THEN NULL
+                    WHEN min(av) = max(av) AND NOT isnan(min(av)) THEN 0
+                    ELSE regr_slope(av, bv) END AS beta,
+               avg(av) AS ma, avg(bv) AS mb,
+               CASE WHEN min(av) = max(av) AND NOT isnan(min(av)) THEN 0 ELSE var_pop(av) END AS va,
+               CASE WHEN min(bv) = max(bv) AND NOT isnan(min(bv)) THEN 0 ELSE var_pop(bv) END AS vb,
                max(CASE WHEN i = 0 THEN da END) AS d0,
                max(CASE WHEN i = 0 THEN av END) AS a0, max(CASE WHEN i = 0 THEN bv END) AS b0
         FROM al GROUP BY sa, sb),
-res AS (SELECT al.sa, al.sb, al.i, al.av - (o.ma - o.beta * o.mb) - o.beta * al.bv AS r
+res AS (SELECT al.sa, al.sb, al.i,
+               CASE WHEN o.fa AND o.beta IS NOT NULL THEN 0 ELSE al.av - (o.ma - o.beta * o.mb) - o.beta * al.bv END AS r
         FROM al JOIN ols o ON al.sa = o.sa AND al.sb = o.sb),
 lg AS (SELECT sa, sb, i, r, lag(r) OVER (PARTITION BY sa, sb ORDER BY {lag_order}) AS x FROM res),
 adf AS (SELECT sa, sb, CAST(regr_count(r - x, x) AS BIGINT) AS m, regr_sxx(r - x, x) AS sxx,
@@ -169,18 +178,19 @@ def build() -> dict[str, str]:
     q["series_latest"] = (plain + "SELECT ticker, max(date) AS date, " + r6("arg_max(close, date)", "close")
                           + " FROM bars GROUP BY ticker")
     q["series_scan"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
-                        + f", date FROM bars WHERE ticker IN {UNIVERSE}")
+                        + f", date FROM bars WHERE ticker IN {FUNDED}")
     q["pairs_all"] = (pipeline(S, "win") + "SELECT a.ticker AS stock_a, b.ticker AS stock_b "
                       "FROM elig a JOIN elig b ON a.ticker <> b.ticker")
-    q["pairs_aligned_rank"] = (pipeline(S, "al") + "SELECT sa AS stock_a, sb AS stock_b, i, da AS date_a, "
-                               "db AS date_b, " + r6("av", "close_a") + ", " + r6("bv", "close_b") + " FROM al")
+    chosen = " WHERE (sa, sb) IN (SELECT (stock_a, stock_b) FROM ver WHERE verdict = 'tradeable')"
+    q["pairs_aligned_rank"] = (pipeline(S) + "SELECT sa AS stock_a, sb AS stock_b, i, da AS date_a, "
+                               "db AS date_b, " + r6("av", "close_a") + ", " + r6("bv", "close_b") + " FROM al" + chosen)
     D = C.DATE_ALIGNED
-    q["pairs_aligned_date"] = (pipeline(D, "al") + "SELECT sa AS stock_a, sb AS stock_b, da AS date, "
-                               + r6("av", "close_a") + ", " + r6("bv", "close_b") + ", n_overlap FROM al")
+    q["pairs_aligned_date"] = (pipeline(D) + "SELECT sa AS stock_a, sb AS stock_b, da AS date, "
+                               + r6("av", "close_a") + ", " + r6("bv", "close_b") + ", n_overlap FROM al" + chosen)
     q["pair_ols"] = pipeline(S, "st") + "SELECT stock_a, stock_b, " + r6("alpha", "alpha") + ", " \
         + r6("beta", "beta") + " FROM st"
-    q["pair_residuals"] = (pipeline(S, "res") + "SELECT sa AS stock_a, sb AS stock_b, i, "
-                           + r6("r", "resid") + " FROM res")
+    q["pair_residuals"] = (pipeline(S) + "SELECT sa AS stock_a, sb AS stock_b, i, "
+                           + r6("r", "resid") + " FROM res" + chosen)
     q["pair_adf_t"] = pipeline(S, "st") + "SELECT stock_a, stock_b, adf_m, " + r6("adf_t", "adf_t") + " FROM st"
     q["adf_critical_values"] = (pipeline(D, "st") + "SELECT stock_a, stock_b, adf_m, "
                                 + r6(critical_value_sql("1%", "adf_m"), "crit_1pct") + ", "
@@ -200,12 +210,18 @@ def build() -> dict[str, str]:
     q["pair_verdicts_walk"] = pipeline(C.WALK_CROSS) + f"SELECT {VERDICT_SELECT} FROM ver"
     q["pair_verdicts_walk_aligned"] = pipeline(W) + f"SELECT {VERDICT_SELECT} FROM ver"
     q["pair_verdicts_date"] = pipeline(D) + f"SELECT {VERDICT_SELECT} FROM ver"
+    price = " ".join(f"WHEN {n} THEN {p}" for n, p in C.PEGGED.items())
+    q["pair_verdicts_pegged"] = pipeline(S).replace("bars AS (SELECT * FROM bars_raw)", f"""bars AS (
+  SELECT b.ticker, date, open, high, low, coalesce(CASE s_nationkey {price} END, close) AS close, volume
+  FROM bars_raw b LEFT JOIN supplier ON b.ticker = CAST(s_suppkey AS VARCHAR))""") + f"SELECT {VERDICT_SELECT} FROM ver"
     q["pairs_tradeable"] = pipeline(S) + f"SELECT {VERDICT_SELECT} FROM ver WHERE verdict = 'tradeable'"
     q["pair_analysis"] = pipeline(S) + f"SELECT {ANALYSIS_SELECT} FROM ver WHERE verdict = 'tradeable'"
     q["pair_analysis_walk"] = (pipeline(C.WALK_CROSS)
                                + f"SELECT {ANALYSIS_SELECT} FROM ver WHERE verdict = 'tradeable'")
     q["signals_table"] = pipeline(S) + f"SELECT {SIGNAL_SELECT} FROM ver WHERE verdict = 'tradeable'"
     q["signals_write_tradeable"] = q["signals_table"]
+    q["signals_search"] = (f"SELECT * FROM ({q['signals_table']}) WHERE stock_a = '{C.SEARCH_STOCK}' "
+                           f"AND year = {C.SEARCH_SIGNAL_YEAR}")
     q["kv_scan_all"] = "SELECT CAST(event_id AS VARCHAR) AS key, props AS value FROM events"
     q["kv_get"] = (f"SELECT CAST(event_id AS VARCHAR) AS key, CAST(props->>'k' AS BIGINT) AS k FROM events "
                    f"WHERE CAST(event_id AS VARCHAR) = '{C.ONE_KEY}'")
@@ -214,8 +230,9 @@ def build() -> dict[str, str]:
     dele = f"(SELECT event_id FROM events WHERE event_type = '{C.DELETE_EVENT_TYPE}')"
     q["kv_delete"] = ("SELECT CAST(event_id AS VARCHAR) AS key, props AS value FROM events "
                       f"WHERE event_id NOT IN {dele}")
-    q["kv_delete_confirm"] = (f"SELECT DISTINCT CAST(event_id AS VARCHAR) AS key, 'deleted' AS status "
-                              f"FROM events WHERE event_type = '{C.DELETE_EVENT_TYPE}'")
+    q["kv_delete_confirm"] = ("SELECT CAST(event_id AS VARCHAR) AS key, CASE WHEN coalesce(bool_or(ts < TIMESTAMP "
+                              f"'{C.DELETE_BEFORE.isoformat(sep=' ')}'), false) THEN 'deleted' ELSE 'failed' END AS status "
+                              f"FROM events WHERE event_type = '{C.DELETE_EVENT_TYPE}' GROUP BY event_id")
     q["kv_delete_all"] = "SELECT CAST(event_id AS VARCHAR) AS key FROM events"
     q["kv_truncate"] = "SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM events"
     q["bars_documents"] = plain.rstrip() + ",\n" + DOCS_CTE + "\nSELECT * FROM docs"
@@ -231,28 +248,32 @@ def build() -> dict[str, str]:
                                 "CAST(day(date) AS INTEGER)) AS date_rebuilt, "
                                 f"CAST(date - INTERVAL {C.OVERLAP_DAYS} DAY AS DATE) AS date_minus_overlap "
                                 "FROM bars")
-    q["bars_upsert"] = (plain + f"SELECT {BAR_SELECT}, CASE WHEN date >= {_d(refresh_from)} THEN 2 ELSE 1 END "
-                        f"AS batch FROM bars WHERE ticker IN {UNIVERSE}")
-    q["bars_upsert"] = q["bars_upsert"].replace(" ELSE 1 END AS batch", " ELSE 1 END::INTEGER AS batch")
+    late = f"date >= {_d(refresh_from)}"
+    raised = f"SELECT * REPLACE (close + CASE WHEN {late} THEN 1 ELSE 0 END AS close) FROM bars"
+    q["bars_upsert"] = (plain + f"SELECT {BAR_SELECT}, CASE WHEN {late} THEN 2 ELSE 1 END::INTEGER AS batch "
+                        f"FROM ({raised}) WHERE ticker IN {UNIVERSE}")
     q["bars_load_one_ticker"] = (plain + f"SELECT '{C.ONE_TICKER}' AS ticker, "
                                  f"(SELECT count(*) FROM bars WHERE ticker = '{C.ONE_TICKER}' "
                                  f"AND date >= {_d(C.LOAD_START)}) AS n_rows")
-    loaded = f"(SELECT * FROM bars WHERE date >= {_d(C.LOAD_START)} AND ticker IN {UNIVERSE})"
+    loaded = f"(SELECT * FROM bars WHERE date >= {_d(C.REPORT_START)} AND ticker IN {UNIVERSE})"
     q["load_report"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
                         "CASE WHEN coalesce(c.n, 0) > 0 THEN 'added' ELSE 'not_added' END AS status "
                         "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier) u "
                         f"LEFT JOIN (SELECT ticker, count(*) AS n FROM {loaded} GROUP BY ticker) c "
                         "ON u.ticker = c.ticker")
-    q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM {loaded} GROUP BY ticker"
+    q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {FUNDED} GROUP BY ticker"
     q["watermark_write"] = (plain + "SELECT 'update' AS key, CAST(max(date) AS TIMESTAMP) AS updated_at, "
                             "to_json(struct_pack(Year := CAST(year(max(date)) AS INTEGER), "
                             "Month := CAST(month(max(date)) AS INTEGER), Day := CAST(day(max(date)) AS INTEGER), "
                             "Hour := 0, Minute := 0)) AS value "
-                            f"FROM {loaded}")
+                            f"FROM bars WHERE ticker IN {UNIVERSE}")
     q["incremental_refresh"] = (plain + f"SELECT {BAR_SELECT} FROM bars WHERE date >= {_d(refresh_from)} "
                                 f"AND ticker IN {UNIVERSE}")
-    q["nightly_pipeline"] = q["signals_table"]
-    q["incremental_refresh_stream"] = plain + f"SELECT {BAR_SELECT} FROM bars WHERE ticker IN {UNIVERSE}"
+    # The stored closes before the refresh, the corrected ones from its first day on.
+    q["nightly_pipeline"] = q["signals_table"].replace(
+        "bars AS (SELECT * FROM bars_raw)",
+        f"bars AS ({raised.replace('FROM bars', 'FROM bars_raw')} WHERE ticker IN {UNIVERSE})")
+    q["incremental_refresh_stream"] = plain + f"SELECT {BAR_SELECT} FROM ({raised}) WHERE ticker IN {UNIVERSE}"
     return q
 
 
