@@ -24,12 +24,12 @@ rows of the first passes:
 Keys are hashes: 48 bits for anchors, which only choose candidates, 96 bits
 for stretches and windows.
 
-Documents are dealt to batches of bounded size, which all passes read from
-one shuffle. A pass sends each different key of a batch once, with its
-smallest document there, so a string that a third of all documents hold costs
-one entry for a batch, and entries are dealt evenly by their hash. They
-travel sorted, in byte planes of binary columns, which Spark's shuffle
-compresses well.
+Documents that are read together form a batch of bounded size, one row with
+its texts compressed; all passes read the batches from one shuffle. A pass
+sends each different key of a batch once, with its smallest document there,
+so a string that a third of all documents hold costs one entry for a batch,
+and entries are dealt evenly by their hash. They travel sorted, in byte
+planes of binary columns, which Spark's shuffle compresses well.
 
 A NULL text is an empty one; texts shorter than ``THRESHOLD`` bytes lose
 nothing. Rows that repeat a key do not remove from each other; a NULL key
@@ -38,9 +38,11 @@ counts as the smallest. Each row gets its own result.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import inspect
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +54,12 @@ from pairsignals.llm.common import ship
 THRESHOLD = 50
 #: Bytes of an anchor: longer ones choose fewer windows for the last pass, shorter ones make fewer rows in the first.
 ANCHOR = 28
-#: Text bytes of a batch, and of what is merged in one task of a pass, about. They size tasks, not results.
-BATCH_BYTES, MERGE_BYTES = 8 << 20, 64 << 20
-#: Bytes hashed at once; longer texts are cut into overlapping pieces. Positions must fit 24 bits.
-CHUNK = 1 << 21
+#: Text bytes of a batch at most (one text at least), and of what is merged in one task of a pass, about. They size
+#: tasks, not results.
+BATCH_BYTES, MERGE_BYTES = 2 << 20, 8 << 20
+#: Bytes hashed at once, few enough for a processor's cache; longer texts are cut into overlapping pieces. Positions
+#: must fit 24 bits.
+CHUNK = 1 << 17
 
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -109,7 +113,8 @@ class Chunk:
         begins = ends - [len(p[2]) for p in pieces]
         n = len(self.data)
         at = slice(0, n - ANCHOR + 1)
-        key = self.hashes(0).of(at, slice(ANCHOR, n + 1))
+        self.first = Hashes(self.data, 0)
+        key = self.first.of(at, slice(ANCHOR, n + 1))
         # The hash's upper 40 bits decide; the position below them makes it the leftmost of equals.
         least = (key & ~_LOW) | np.arange(len(key), dtype=_U)
         span, want = 1, THRESHOLD - ANCHOR + 1
@@ -129,16 +134,16 @@ class Chunk:
         self.row = np.array([p[0] for p in pieces], np.int64)[piece]
         self.shift = (np.array([p[1] for p in pieces], np.int64) - begins)[piece]
 
-    def hashes(self, which: int) -> Hashes:
-        return Hashes(self.data, which)
-
     def pick(self, keep: np.ndarray) -> None:
         self.lo, self.hi, self.anchor, self.row, self.shift = (
             x[keep] for x in (self.lo, self.hi, self.anchor, self.row, self.shift))
 
     def keys(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96-bit keys of stretches, in two parts."""
-        return self.hashes(0).of(start, stop), self.hashes(1).of(start, stop) >> _U(32)
+        if not len(start):
+            return np.empty(0, _U), np.empty(0, _U)
+        first = self.first or Hashes(self.data, 0)
+        return first.of(start, stop), Hashes(self.data, 1).of(start, stop) >> _U(32)
 
 
 def chunks(texts: list[bytes]) -> Iterator[Chunk]:
@@ -173,6 +178,7 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
 #: with their smallest document, anchors with one stretch and a flag (of several stretches).
 ANCHORS, STRETCHES, SEVERAL, WINDOWS = 1, 2, 3, 4
 WIDTHS = {ANCHORS: (6, 1), STRETCHES: (8, 4, 8), SEVERAL: (6, 8, 1), WINDOWS: (8, 4, 8)}
+BATCHES = "batch long, keys binary, null_keys binary, sizes binary, texts binary"
 ENTRIES = "bucket int, batch long, kind int, a binary, b binary, c binary"
 REPLIES = "batch long, kind int, a binary, b binary, c binary"
 
@@ -182,6 +188,23 @@ def packed(kind: int, columns: tuple[np.ndarray, ...]) -> list[bytes]:
     return blobs + [b""] * (3 - len(blobs))
 
 
+def frugal(run: Callable) -> Callable:
+    """Hand freed memory back after each call: workers are kept, and share their executor's memory."""
+    def call(*tables: pa.Table) -> pa.Table:
+        made = run(*tables)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        return made
+
+    # Spark tells by the number of parameters what it passes.
+    if len(inspect.signature(run).parameters) == 1:
+        return lambda table: call(table)
+    return lambda documents, replies: call(documents, replies)
+
+
 def rows_of(table: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns of all entries of a kind, and the batch of each."""
     names, kinds = ("a", "b", "c"), table.column("kind").to_pylist()
@@ -250,26 +273,71 @@ def contained(values: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 # The passes. Each function gets one batch of documents, with what earlier passes replied to it.
 
+def gathered(target: int):
+    """Texts that are read together as rows of ``BATCHES``, of ``target`` bytes each, about. A batch is numbered by a
+    hash of what it holds, so one that is made again after a loss has the same number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        squeeze = zstandard.ZstdCompressor(3).compress
+        rows, size = [], 0
+
+        def close() -> pa.RecordBatch:
+            texts = squeeze(b"".join(r[2] for r in rows))
+            parts = [np.array([r[0] for r in rows], "<i8").tobytes(), np.array([r[1] for r in rows], "u1").tobytes(),
+                     np.array([len(r[2]) for r in rows], "<i8").tobytes()]
+            number = np.frombuffer(hashlib.blake2b(b"".join([*parts, texts]), digest_size=8).digest(), "<i8")
+            return pa.RecordBatch.from_arrays(
+                [pa.array(number), *(pa.array([squeeze(x)], pa.binary()) for x in parts), pa.array([texts], pa.binary())],
+                names=["batch", "keys", "null_keys", "sizes", "texts"])
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if rows and size + len(row[2]) > target:
+                    yield close()
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[2])
+        if rows:
+            yield close()
+
+    return run
+
+
 class Batch:
+    """Rows of one number (several if tasks have read the same texts), with what earlier passes replied."""
+
     def __init__(self, documents: pa.Table, replies: pa.Table | None):
+        import zstandard
+        open_ = zstandard.ZstdDecompressor().decompress
         self.number = documents.column("batch")[0].as_py()
-        self.keys = documents.column("key").to_numpy().astype(np.int64).view(_U) ^ _SIGN  # ordered as unsigned
-        self.texts = documents.column("text").to_pylist()
-        self.chunks = list(chunks(self.texts))
+        self.ids, self.null_ids, sizes, whole = (
+            b"".join(open_(x) for x in documents.column(c).to_pylist()) for c in ("keys", "null_keys", "sizes", "texts"))
+        self.ids = np.frombuffer(self.ids, "<i8")
+        self.null_ids = np.frombuffer(self.null_ids, "u1") > 0
+        self.keys = self.ids.view(_U) ^ _SIGN  # ordered as unsigned
+        ends = np.cumsum(np.frombuffer(sizes, "<i8"))
+        self.texts = [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        self.chunks = []
         if replies is not None:
             self.shared = np.sort(rows_of(replies, ANCHORS)[0][0])
+        for c in chunks(self.texts):
+            if replies is not None:
+                self.candidates(c)
+            c.first = None  # sums are made anew where they are needed again: they are many times the text
+            self.chunks.append(c)
+        if replies is not None:
             self.several = np.sort(rows_of(replies, SEVERAL)[0][0])
             self.replied = {}
             for kind in (STRETCHES, WINDOWS):
                 a, b, doc = rows_of(replies, kind)[0]
                 self.replied[kind] = least_documents(a, b, doc)
 
-    def candidates(self) -> None:
+    def candidates(self, c: Chunk) -> None:
         """Keep runs whose anchor stands in several documents, and key their stretches."""
-        for c in self.chunks:
-            c.pick(contained(c.anchor, self.shared))
-            c.a, c.b = c.keys(c.lo, c.hi + (THRESHOLD - 1))
-            c.doc = self.keys[c.row]
+        c.pick(contained(c.anchor, self.shared))
+        c.a, c.b = c.keys(c.lo, c.hi + (THRESHOLD - 1))
+        c.doc = self.keys[c.row]
 
     def every(self, name: str) -> np.ndarray:
         parts = [getattr(c, name) for c in self.chunks]
@@ -284,17 +352,27 @@ class Batch:
 
     def settle(self) -> None:
         """Part runs into ``gone`` (an earlier document has the stretch) and ``asked`` (windows decide)."""
-        self.candidates()
         known = self.known(STRETCHES, self.every("a"), self.every("b"), self.every("doc"))
         for c in self.chunks:
             at, _ = look_up(known[:2], c.a, c.b)
             c.gone = c.doc > known[2][at] if len(c.doc) else np.zeros(0, bool)
             c.asked = ~c.gone & contained(c.anchor, self.several)
-            size = (c.hi - c.lo)[c.asked]
-            c.w_run = np.repeat(np.flatnonzero(c.asked), size)
-            c.w_at = c.lo[c.w_run] + np.arange(len(c.w_run)) - np.repeat(np.cumsum(size) - size, size)
-            c.w_doc = c.doc[c.w_run]
-            c.w_a, c.w_b = c.keys(c.w_at, c.w_at + THRESHOLD) if len(c.w_at) else (np.empty(0, _U),) * 2
+
+    def windows(self, c: Chunk) -> tuple[np.ndarray, ...]:
+        """Run, place and key of each window that is asked for. They are many times the text, so a chunk's are made
+        where they are needed and not kept."""
+        size = (c.hi - c.lo)[c.asked]
+        run = np.repeat(np.flatnonzero(c.asked), size)
+        at = c.lo[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        return run, at, *c.keys(at, at + THRESHOLD)
+
+    def least_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each window's key once, with its smallest document in the batch."""
+        parts = [(np.empty(0, _U),) * 3]
+        for c in self.chunks:
+            run, _, a, b = self.windows(c)
+            parts.append(least_documents(a, b, c.doc[run]))
+        return least_documents(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def batch_of_entries(rows: list[tuple], schema: str = ENTRIES) -> pa.Table:
@@ -323,7 +401,6 @@ def send_stretches(buckets: int):
         if not documents.num_rows:
             return batch_of_entries([])
         batch = Batch(documents, replies)
-        batch.candidates()
         a, anchor = batch.every("a"), batch.every("anchor")
         out = list(dealt(STRETCHES, least_documents(a, batch.every("b"), batch.every("doc")), batch.number, buckets))
         order = np.lexsort((a, anchor))
@@ -341,8 +418,7 @@ def send_windows(buckets: int):
             return batch_of_entries([])
         batch = Batch(documents, replies)
         batch.settle()
-        least = least_documents(batch.every("w_a"), batch.every("w_b"), batch.every("w_doc"))
-        return batch_of_entries(list(dealt(WINDOWS, least, batch.number, buckets)))
+        return batch_of_entries(list(dealt(WINDOWS, batch.least_windows(), batch.number, buckets)))
     return run
 
 
@@ -386,15 +462,17 @@ def merge(entries: pa.Table) -> pa.Table:
 def removed_spans(batch: Batch) -> list[list[tuple[int, int]]]:
     """Maximal removed runs of each text."""
     batch.settle()
-    known = batch.known(WINDOWS, batch.every("w_a"), batch.every("w_b"), batch.every("w_doc"))
+    known = batch.known(WINDOWS, *batch.least_windows())
     found: list[list[tuple[int, int]]] = [[] for _ in batch.texts]
     for c in batch.chunks:
-        at, _ = look_up(known[:2], c.w_a, c.w_b)
-        hit = c.w_doc > known[2][at] if len(c.w_a) else np.zeros(0, bool)
-        row = np.concatenate([c.row[c.gone], c.row[c.w_run[hit]]])
-        shift = np.concatenate([c.shift[c.gone], c.shift[c.w_run[hit]]])
-        start = np.concatenate([c.lo[c.gone], c.w_at[hit]]) + shift
-        stop = np.concatenate([c.hi[c.gone] + (THRESHOLD - 1), c.w_at[hit] + THRESHOLD]) + shift
+        run, place, a, b = batch.windows(c)
+        at, _ = look_up(known[:2], a, b)
+        hit = c.doc[run] > known[2][at] if len(a) else np.zeros(0, bool)
+        run, place = run[hit], place[hit]
+        row = np.concatenate([c.row[c.gone], c.row[run]])
+        shift = np.concatenate([c.shift[c.gone], c.shift[run]])
+        start = np.concatenate([c.lo[c.gone], place]) + shift
+        stop = np.concatenate([c.hi[c.gone] + (THRESHOLD - 1), place + THRESHOLD]) + shift
         order = np.lexsort((start, row))
         for r, x, y in zip(row[order].tolist(), start[order].tolist(), stop[order].tolist()):
             spans = found[r]
@@ -405,18 +483,24 @@ def removed_spans(batch: Batch) -> list[list[tuple[int, int]]]:
     return found
 
 
+REMOVED = "key long, null_key boolean, n_bytes long, starts array<long>, stops array<long>, kept binary"
+
+
 def remove(documents: pa.Table, replies: pa.Table) -> pa.Table:
-    spans = removed_spans(Batch(documents, replies)) if documents.num_rows else []
-    texts = documents.column("text").to_pylist()
+    longs, names = pa.list_(pa.int64()), [f.split(" ")[0] for f in REMOVED.split(", ")]
+    if not documents.num_rows:
+        types = [pa.int64(), pa.bool_(), pa.int64(), longs, longs, pa.binary()]
+        return pa.table([pa.array([], t) for t in types], names=names)
+    batch = Batch(documents, replies)
+    spans = removed_spans(batch)
     kept = []
-    for text, cut in zip(texts, spans):
+    for text, cut in zip(batch.texts, spans):
         ends = [0, *(y for _, y in cut)]
         kept.append(b"".join(text[e:x] for e, x in zip(ends, [*(x for x, _ in cut), len(text)])))
-    longs = pa.list_(pa.int64())
     return pa.table([
-        documents.column("key"), documents.column("null_key"), pa.array(map(len, texts), pa.int64()),
+        pa.array(batch.ids), pa.array(batch.null_ids), pa.array(map(len, batch.texts), pa.int64()),
         pa.array([[x for x, _ in s] for s in spans], longs), pa.array([[y for _, y in s] for s in spans], longs),
-        pa.array(kept, pa.binary())], names=["key", "null_key", "n_bytes", "starts", "stops", "kept"])
+        pa.array(kept, pa.binary())], names=names)
 
 
 def without_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -430,20 +514,21 @@ def without_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "te
     size = long_.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = (max(tasks, math.ceil(size / b)) for b in (BATCH_BYTES, MERGE_BYTES))
-    documents = long_.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches))).repartition(batches, "batch")
+    target = min(BATCH_BYTES, max(1 << 16, size // tasks))
+    documents = long_.mapInArrow(gathered(target), BATCHES).repartition(batches, "batch")
 
     def replies(entries: DataFrame) -> DataFrame:
-        return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, REPLIES)
+        return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(frugal(merge), REPLIES)
 
     def ask(told: DataFrame, run) -> DataFrame:
         told = told.repartition(batches, "batch")
-        return documents.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, ENTRIES)
+        return documents.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(frugal(run), ENTRIES)
 
-    told = replies(documents.groupBy("batch").applyInArrow(send_anchors(buckets), ENTRIES))
+    told = replies(documents.groupBy("batch").applyInArrow(frugal(send_anchors(buckets)), ENTRIES))
     told = told.union(replies(ask(told, send_stretches(buckets))))
     told = told.union(replies(ask(told, send_windows(buckets))))
     done = documents.groupBy("batch").cogroup(told.repartition(batches, "batch").groupBy("batch")).applyInArrow(
-        remove, "key long, null_key boolean, n_bytes long, starts array<long>, stops array<long>, kept binary")
+        frugal(remove), REMOVED)
     short = rows.where(F.octet_length("text") < THRESHOLD).select(
         "key", "null_key", F.octet_length("text").cast("long").alias("n_bytes"),
         F.expr("cast(array() AS array<long>)").alias("starts"), F.expr("cast(array() AS array<long>)").alias("stops"),
