@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontaminate, op2_license_scan, op3_simhash, op4_html_text, op5_token_files, op6_line_dedup,
         op7_quality_rules, op8_url_filter, op9_byte_bpe, op10_suffix_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op6_line_dedup": line_dedup.SQL}

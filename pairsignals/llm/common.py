@@ -8,6 +8,7 @@ their own output row.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -58,6 +59,15 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table up to which it is broadcast (a row is at most a few hundred bytes).
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, once for each Spark context: its
     source goes as an archive to the shared folder and from there to them."""
@@ -81,7 +91,21 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
               ) -> DataFrame:
     """``mapInArrow`` by a function that may use this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def give_back() -> None:
+    """Hand freed memory back: Python workers are kept, and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

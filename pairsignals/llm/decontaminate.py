@@ -25,11 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsignals.llm.common import WORD, ascii_lower, written
+from pairsignals.llm.common import WORD, ascii_lower, small, written
 
 WINDOW = 10
-#: Rows of a table made from test items up to which it is broadcast (a row is at most a few hundred bytes).
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,11 +44,6 @@ def test_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
         "item_id", F.slice("words", F.col("at"), window).alias("gram")).distinct()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def rarest_first(grams: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Windows that can occur: ``gram``, its rarest ``term``, that term's ``offset`` and, rarest first,
     the ``order`` in which offsets are compared. It is written once: counting needs the whole corpus."""
@@ -154,3 +147,35 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     return hits_by_document(index, phrase_matches(index, wanted, windows)).select(
         F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+#: DuckDB SQL for ``op1_decontaminate``.
+SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, list_slice(w, s, s + 9) AS gram
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM items WHERE len(w) > 0)
+), grams AS (
+  SELECT doc_id, s, n, list_slice(w, s, s + n - 1) AS gram
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s
+        FROM docs, (SELECT DISTINCT len(gram) AS n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, s, n, item_id FROM grams JOIN windows USING (gram)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -21,9 +21,13 @@ rows of the first passes:
 3. The windows themselves, only of runs whose anchor has several different
    stretches, and only in the smallest document of each stretch.
 
-Keys are hashes: 48 bits for anchors, which only choose candidates, 96 bits
+Keys are hashes: 48 bits for anchors, which only choose candidates, 95 bits
 for stretches and windows.
 
+Before the passes, texts that are equal as a whole are found by their hashes
+(128 bits): a copy of a document with a smaller key is removed entirely and
+takes no part in them.
+
 Documents that are read together form a batch of bounded size, one row with
 its texts compressed; all passes read the batches from one shuffle. A pass
 sends each different key of a batch once, with its smallest document there,
@@ -38,7 +42,6 @@ counts as the smallest. Each row gets its own result.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import inspect
 import math
@@ -49,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsignals.llm.common import ship
+from pairsignals.llm.common import give_back, ship, small, written
 
 THRESHOLD = 50
 #: Bytes of an anchor: longer ones choose fewer windows for the last pass, shorter ones make fewer rows in the first.
@@ -57,6 +60,8 @@ ANCHOR = 28
 #: Text bytes of a batch at most (one text at least), and of what is merged in one task of a pass, about. They size
 #: tasks, not results.
 BATCH_BYTES, MERGE_BYTES = 2 << 20, 8 << 20
+#: Texts with copies up to which their table (three numbers a row) is broadcast; more are joined by shuffle.
+COPIES = 2_000_000
 #: Bytes hashed at once, few enough for a processor's cache; longer texts are cut into overlapping pieces. Positions
 #: must fit 24 bits.
 CHUNK = 1 << 17
@@ -139,11 +144,11 @@ class Chunk:
             x[keep] for x in (self.lo, self.hi, self.anchor, self.row, self.shift))
 
     def keys(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit keys of stretches, in two parts."""
+        """95-bit keys of stretches, in two parts; the lowest bit is left free for a flag."""
         if not len(start):
             return np.empty(0, _U), np.empty(0, _U)
         first = self.first or Hashes(self.data, 0)
-        return first.of(start, stop), Hashes(self.data, 1).of(start, stop) >> _U(32)
+        return first.of(start, stop), (Hashes(self.data, 1).of(start, stop) >> _U(33)) << _U(1)
 
 
 def chunks(texts: list[bytes]) -> Iterator[Chunk]:
@@ -175,28 +180,27 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
 
 
 #: Kinds of entries and the bytes of their columns: anchors with a flag (of several documents), stretches or windows
-#: with their smallest document, anchors with one stretch and a flag (of several stretches).
+#: (two parts of the key, flagged if the batch has several documents with it) with their smallest document, anchors
+#: with one stretch and a flag (of several stretches).
 ANCHORS, STRETCHES, SEVERAL, WINDOWS = 1, 2, 3, 4
-WIDTHS = {ANCHORS: (6, 1), STRETCHES: (8, 4, 8), SEVERAL: (6, 8, 1), WINDOWS: (8, 4, 8)}
+WIDTHS = {ANCHORS: (6, 1), STRETCHES: (8, 4, 8), SEVERAL: (6, 6, 1), WINDOWS: (8, 4, 8)}
+#: Of replies. Anchors are cut to 32 bits: one that is taken for another costs a look at some more windows.
+TOLD = {ANCHORS: (4,), STRETCHES: (8, 4, 8), SEVERAL: (4,), WINDOWS: (8, 4, 8)}
 BATCHES = "batch long, keys binary, null_keys binary, sizes binary, texts binary"
 ENTRIES = "bucket int, batch long, kind int, a binary, b binary, c binary"
 REPLIES = "batch long, kind int, a binary, b binary, c binary"
 
 
-def packed(kind: int, columns: tuple[np.ndarray, ...]) -> list[bytes]:
-    blobs = [planes(c, w) for c, w in zip(columns, WIDTHS[kind])]
+def packed(widths: tuple[int, ...], columns: tuple[np.ndarray, ...]) -> list[bytes]:
+    blobs = [planes(c, w) for c, w in zip(columns, widths)]
     return blobs + [b""] * (3 - len(blobs))
 
 
 def frugal(run: Callable) -> Callable:
-    """Hand freed memory back after each call: workers are kept, and share their executor's memory."""
+    """``run``, handing freed memory back after each call."""
     def call(*tables: pa.Table) -> pa.Table:
         made = run(*tables)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
         return made
 
     # Spark tells by the number of parameters what it passes.
@@ -205,12 +209,12 @@ def frugal(run: Callable) -> Callable:
     return lambda documents, replies: call(documents, replies)
 
 
-def rows_of(table: pa.Table, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+def rows_of(table: pa.Table, kind: int, widths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """Columns of all entries of a kind, and the batch of each."""
     names, kinds = ("a", "b", "c"), table.column("kind").to_pylist()
     picked = [i for i, k in enumerate(kinds) if k == kind]
     columns = []
-    for name, width in zip(names, WIDTHS[kind]):
+    for name, width in zip(names, widths):
         column = table.column(name)
         parts = [unplanes(column[i].as_py(), width) for i in picked]
         columns.append(np.concatenate(parts) if parts else np.empty(0, _U))
@@ -225,7 +229,7 @@ def dealt(kind: int, columns: tuple[np.ndarray, ...], batch: int, buckets: int)
     edges = np.searchsorted((top * _U(buckets)) >> _U(32), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
         part = slice(edges[b], edges[b + 1])
-        yield (int(b), batch, kind, *packed(kind, tuple(c[part] for c in columns)))
+        yield (int(b), batch, kind, *packed(WIDTHS[kind], tuple(c[part] for c in columns)))
 
 
 def first_of(columns: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -238,11 +242,16 @@ def first_of(columns: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def least_documents(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key (a, b) once, in order, with its smallest document."""
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
-    new = first_of((a, b))
-    return a[new], b[new], doc[new]
+    """Each key (a, b) once, in order, flagged if it has several documents, with its smallest one."""
+    key = b & ~_U(1)
+    order = np.lexsort((doc, key, a))
+    a, b, doc, key = a[order], b[order], doc[order], key[order]
+    new = np.flatnonzero(first_of((a, key)))
+    if not len(new):
+        return a, b, doc
+    last = np.append(new[1:], len(a)) - 1
+    several = np.bitwise_or.reduceat(b & _U(1), new) | (doc[new] != doc[last]).astype(_U)
+    return a[new], key[new] | several, doc[new]
 
 
 def look_up(keys: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +260,12 @@ def look_up(keys: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple
         return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
     at = np.searchsorted(keys[0], a)
     found = np.zeros(len(a), bool)
+    other = keys[1] & ~_U(1)
     # Keys of one first part stand next to each other; more than one is rare.
     for _ in range(len(keys[0])):
         inside = np.minimum(at, len(keys[0]) - 1)
         same = ~found & (at < len(keys[0])) & (keys[0][inside] == a)
-        found |= same & (keys[1][inside] == b)
+        found |= same & (other[inside] == b)
         step = same & ~found
         if not step.any():
             break
@@ -320,22 +330,19 @@ class Batch:
         self.texts = [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         self.chunks = []
         if replies is not None:
-            self.shared = np.sort(rows_of(replies, ANCHORS)[0][0])
+            self.shared = np.sort(rows_of(replies, ANCHORS, TOLD[ANCHORS])[0][0])
         for c in chunks(self.texts):
             if replies is not None:
                 self.candidates(c)
             c.first = None  # sums are made anew where they are needed again: they are many times the text
             self.chunks.append(c)
         if replies is not None:
-            self.several = np.sort(rows_of(replies, SEVERAL)[0][0])
-            self.replied = {}
-            for kind in (STRETCHES, WINDOWS):
-                a, b, doc = rows_of(replies, kind)[0]
-                self.replied[kind] = least_documents(a, b, doc)
+            self.several = np.sort(rows_of(replies, SEVERAL, TOLD[SEVERAL])[0][0])
+            self.told = {k: least_documents(*rows_of(replies, k, TOLD[k])[0]) for k in (STRETCHES, WINDOWS)}
 
     def candidates(self, c: Chunk) -> None:
         """Keep runs whose anchor stands in several documents, and key their stretches."""
-        c.pick(contained(c.anchor, self.shared))
+        c.pick(contained(c.anchor >> _U(16), self.shared))
         c.a, c.b = c.keys(c.lo, c.hi + (THRESHOLD - 1))
         c.doc = self.keys[c.row]
 
@@ -343,20 +350,16 @@ class Batch:
         parts = [getattr(c, name) for c in self.chunks]
         return np.concatenate(parts) if parts else np.empty(0, _U)
 
-    def known(self, kind: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Smallest documents of this batch's keys, here and elsewhere."""
-        a, b, least = least_documents(a, b, doc)
-        at, found = look_up(self.replied[kind][:2], a, b)
-        least[found] = np.minimum(least[found], self.replied[kind][2][at[found]])
-        return a, b, least
+    def earlier(self, kind: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which keys have a smaller document than ``doc``. Every key of which that can be so has been replied."""
+        at, found = look_up(self.told[kind][:2], a, b)
+        return found & (self.told[kind][2][at] < doc) if found.any() else found
 
     def settle(self) -> None:
         """Part runs into ``gone`` (an earlier document has the stretch) and ``asked`` (windows decide)."""
-        known = self.known(STRETCHES, self.every("a"), self.every("b"), self.every("doc"))
         for c in self.chunks:
-            at, _ = look_up(known[:2], c.a, c.b)
-            c.gone = c.doc > known[2][at] if len(c.doc) else np.zeros(0, bool)
-            c.asked = ~c.gone & contained(c.anchor, self.several)
+            c.gone = self.earlier(STRETCHES, c.a, c.b, c.doc)
+            c.asked = ~c.gone & contained(c.anchor >> _U(16), self.several)
 
     def windows(self, c: Chunk) -> tuple[np.ndarray, ...]:
         """Run, place and key of each window that is asked for. They are many times the text, so a chunk's are made
@@ -367,7 +370,7 @@ class Batch:
         return run, at, *c.keys(at, at + THRESHOLD)
 
     def least_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each window's key once, with its smallest document in the batch."""
+        """Each window's key once, flagged if several documents of the batch have it, with the smallest."""
         parts = [(np.empty(0, _U),) * 3]
         for c in self.chunks:
             run, _, a, b = self.windows(c)
@@ -407,7 +410,7 @@ def send_stretches(buckets: int):
         a, anchor = a[order], anchor[order]
         new = np.flatnonzero(first_of((anchor,)))
         last = np.append(new[1:], len(anchor)) - 1 if len(new) else new
-        out += dealt(SEVERAL, (anchor[new], a[new], (a[new] != a[last]).astype(_U)), batch.number, buckets)
+        out += dealt(SEVERAL, (anchor[new], a[new] >> _U(16), (a[new] != a[last]).astype(_U)), batch.number, buckets)
         return batch_of_entries(out)
     return run
 
@@ -431,10 +434,10 @@ def merge(entries: pa.Table) -> pa.Table:
         batches, columns = batches[order], [c[order] for c in columns]
         edges = np.append(np.flatnonzero(first_of((batches,))), len(batches))
         for x, y in zip(edges[:-1], edges[1:]):
-            out.append((int(batches[x]), kind, *packed(kind, tuple(c[x:y] for c in columns))))
+            out.append((int(batches[x]), kind, *packed(TOLD[kind], tuple(c[x:y] for c in columns))))
 
     for kind in (ANCHORS, SEVERAL):
-        (key, *rest), batches = rows_of(entries, kind)
+        (key, *rest), batches = rows_of(entries, kind, WIDTHS[kind])
         if not len(key):
             continue
         order = np.lexsort((rest[0], key))
@@ -445,16 +448,17 @@ def merge(entries: pa.Table) -> pa.Table:
         flag |= size > 1 if kind == ANCHORS else rest[0][order][new] != rest[0][order][new + size - 1]
         told = np.zeros(len(key), bool)
         told[order] = np.repeat(flag, size)
-        reply(kind, [key[told], *(np.zeros(told.sum(), _U) for _ in rest)], batches[told])
+        reply(kind, [key[told] >> _U(16)], batches[told])
     for kind in (STRETCHES, WINDOWS):
-        (a, b, doc), batches = rows_of(entries, kind)
+        (a, b, doc), batches = rows_of(entries, kind, WIDTHS[kind])
         if not len(a):
             continue
+        flag, b = b & _U(1), b & ~_U(1)
         order = np.lexsort((doc, b, a))
         new = np.flatnonzero(first_of((a[order], b[order])))
         least = np.empty(len(a), _U)
         least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(a))))
-        told = doc > least
+        told = (doc > least) | (flag > 0)  # the batch has a later document with the key
         reply(kind, [a[told], b[told], least[told]], batches[told])
     return batch_of_entries(out, REPLIES)
 
@@ -462,12 +466,10 @@ def merge(entries: pa.Table) -> pa.Table:
 def removed_spans(batch: Batch) -> list[list[tuple[int, int]]]:
     """Maximal removed runs of each text."""
     batch.settle()
-    known = batch.known(WINDOWS, *batch.least_windows())
     found: list[list[tuple[int, int]]] = [[] for _ in batch.texts]
     for c in batch.chunks:
         run, place, a, b = batch.windows(c)
-        at, _ = look_up(known[:2], a, b)
-        hit = c.doc[run] > known[2][at] if len(a) else np.zeros(0, bool)
+        hit = batch.earlier(WINDOWS, a, b, c.doc[run])
         run, place = run[hit], place[hit]
         row = np.concatenate([c.row[c.gone], c.row[run]])
         shift = np.concatenate([c.shift[c.gone], c.shift[run]])
@@ -509,8 +511,13 @@ def without_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "te
     ship(spark)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("key"),
-                     F.col(key).isNull().alias("null_key"), body.alias("text"))
-    long_ = rows.where(F.octet_length("text") >= THRESHOLD)
+                     F.col(key).isNull().alias("null_key"), body.alias("text"), F.xxhash64(body).alias("h1"),
+                     F.xxhash64(F.lit(1), body).alias("h2")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    repeated = written(rows.where(F.col("n_bytes") >= THRESHOLD).groupBy("h1", "h2").agg(
+        F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last"), "copies")
+    rows = rows.join(small(repeated, COPIES), ["h1", "h2"], "left")
+    whole = (F.col("n_bytes") >= THRESHOLD) & F.coalesce(F.col("first") < F.col("key"), F.lit(False))
+    long_ = rows.where((F.col("n_bytes") >= THRESHOLD) & ~whole).select("key", "null_key", "text")
     size = long_.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = (max(tasks, math.ceil(size / b)) for b in (BATCH_BYTES, MERGE_BYTES))
@@ -529,11 +536,13 @@ def without_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "te
     told = told.union(replies(ask(told, send_windows(buckets))))
     done = documents.groupBy("batch").cogroup(told.repartition(batches, "batch").groupBy("batch")).applyInArrow(
         frugal(remove), REMOVED)
-    short = rows.where(F.octet_length("text") < THRESHOLD).select(
-        "key", "null_key", F.octet_length("text").cast("long").alias("n_bytes"),
-        F.expr("cast(array() AS array<long>)").alias("starts"), F.expr("cast(array() AS array<long>)").alias("stops"),
-        F.col("text").alias("kept"))
-    return done.union(short).select(F.when(~F.col("null_key"), F.col("key")).alias(key), "n_bytes", "starts", "stops", "kept")
+    # Copies are one removed run; short texts have none.
+    ends = [F.when(whole, F.array(c.cast("long"))).otherwise(F.expr("cast(array() AS array<long>)"))
+            for c in (F.lit(0), F.col("n_bytes"))]
+    rest = rows.where((F.col("n_bytes") < THRESHOLD) | whole).select(
+        "key", "null_key", "n_bytes", ends[0].alias("starts"), ends[1].alias("stops"),
+        F.when(whole, F.lit(b"")).otherwise(F.col("text")).alias("kept"))
+    return done.union(rest).select(F.when(~F.col("null_key"), F.col("key")).alias(key), "n_bytes", "starts", "stops", "kept")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
