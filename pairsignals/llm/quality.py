@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsignals.llm.common import map_arrow, slices, written
+from pairsignals.llm.common import map_arrow, slices, small, written
 
 #: Common words of English, German, French and Spanish (fixed values).
 COMMON = {
@@ -47,7 +47,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Words of a repeated window.
 WINDOW = 5
 
-MIN_WORDS, MIN_CHARS = 100, 150
+MIN_WORDS, MIN_CHARS = 120, 150
 #: Greatest distance (0 to 1) from the language's reference that is kept.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.31, 0.29
 
@@ -162,8 +162,8 @@ def with_verdicts(df: DataFrame, columns: list[str], text: str = "text", lang: s
     before the first document is judged.
     """
     features = written(measured(df, columns, text, lang), "quality")
-    refs = references(features)
-    # One row for each language; should "lang" be free text, Spark joins by shuffle instead.
+    # One row for each language; should "lang" be free text, the join is a shuffle.
+    refs = small(written(references(features), "references"))
     f, r = F.col(FEATURES), F.col("__reference")
     both = features.join(refs, f["lang"].eqNullSafe(r["lang"]), "left").select(*columns, FEATURES, F.struct(
         distance(shares(f["classes"], f["n_chars"]), shares(r["ref_classes"], r["ref_chars"])).alias("class_distance"),
