@@ -1,12 +1,9 @@
-import os
-import sys
+"""Tables of real rows and edge cases, as fixtures that the tests import."""
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SMALL = "/root/testdata/sf0.001"
 A = "the quick brown fox jumps over the lazy dog and runs on to the river bank where it stops to drink"
 LINES = "first line of many\nsecond line of many\nthird line of many\nfourth line of many"

@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from corpus_tables import tables  # noqa: F401
 
 from pairsignals.llm import (byte_bpe, catalog, decontaminate, html_text, huffman, licenses, quality, simhash,
                              suffix_dedup, token_files, url_filter)

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import pyarrow.parquet as pq
+from corpus_tables import tables  # noqa: F401
 
 from pairsignals.llm import quality
 

@@ -5,10 +5,12 @@ import math
 import brute
 import pyarrow.parquet as pq
 import pytest
+from corpus_tables import SMALL, no_rows, tables  # noqa: F401
 
 from pairsignals.llm import catalog
 
 
+
 def plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else int(value)
@@ -66,3 +68,16 @@ def test_empty_tables_give_no_rows(spark, no_rows, name):
     import corpus_pipeline
     query = {**catalog.QUERIES, "pipeline": corpus_pipeline.run}[name]
     assert query(spark, no_rows).collect() == []
+
+
+@pytest.mark.parametrize("key", sorted(catalog.ORACLE_SQL))
+def test_query_equals_its_sql(spark, key):
+    import duckdb
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMALL}/{name}.parquet')")
+    want = con.execute(catalog.ORACLE_SQL[key])
+    columns = [d[0] for d in want.description]
+    got = catalog.QUERIES[key](spark, SMALL)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
