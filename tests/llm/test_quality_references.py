@@ -1,0 +1,57 @@
+"""Quality verdicts that other documents of the corpus cannot move."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairsignals.llm import quality
+
+HELD_OUT = "/root/testdata/sf0.1"  # the references are fitted on sf0.01
+FITTED = "/root/testdata/sf0.01"
+
+
+def labelled(spark, folder, good):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    return docs.join(spark.read.parquet(f"{folder}/labels.parquet").where(F.col("quality") == good), "doc_id", "left_semi")
+
+
+def junk(rng, n):
+    """Words of letters, none of them common."""
+    return " ".join("".join(rng.choice("bcdfghklmnrstuw") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def verdicts(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {r.doc_id: r for r in quality.judged(df).collect()}
+
+
+@pytest.fixture(scope="module")
+def good(spark):
+    return [tuple(r) for r in labelled(spark, HELD_OUT, 1).where(
+        "lang IN ('en', 'de') AND size(split(text, ' ')) BETWEEN 200 AND 900").orderBy("doc_id").limit(60).collect()]
+
+
+def test_references_are_those_of_the_labelled_rows(spark):
+    found = quality.references(quality.measured(labelled(spark, FITTED, 1), ["doc_id"])).collect()
+    assert {r.lang: (r.classes, r.commons) for r in found} == quality.REFERENCES
+
+
+@pytest.mark.parametrize("n,words", [(30, 500), (600, 500), (1, 400_000)])  # a third, nearly all, one giant document
+def test_a_junk_source_moves_no_verdict(spark, good, n, words):
+    rng = random.Random(n)
+    bad = [(1_000_000 + i, junk(rng, words), lang) for i in range(n) for lang in ("en", "de")]
+    bad = [(2 * k + (lang == "de"), t, lang) for k, t, lang in bad]
+    alone, mixed = verdicts(spark, good), verdicts(spark, good + bad)
+    assert all(mixed[k] == r and r.kept for k, r in alone.items())
+    assert not any(mixed[k].kept for k, _, _ in bad)
+
+
+def test_languages_of_one_document(spark, good):
+    rng = random.Random(1)
+    signs = " ".join("".join(rng.choice("#$%&*0123456789") for _ in range(6)) for _ in range(200))
+    chinese = " ".join("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.randint(4, 9))) for _ in range(200))
+    got = verdicts(spark, [(1, signs, "xx"), (2, signs, None), (3, junk(rng, 300), None), (4, good[0][1], None),
+                           (5, good[0][1], "yy"), (6, chinese, "zh"), (7, None, None), (8, junk(rng, 300), "fr")])
+    assert [got[i].kept for i in range(1, 9)] == [False, False, False, True, True, True, False, False]
+    assert got[5].word_distance is None and got[4].word_distance < 0.29
