@@ -2,9 +2,9 @@
 
 Each document's histograms of character classes and of common words are held
 against those of its language, by Jensen-Shannon distance. The references are
-fixed (``REFERENCES``): no document that is judged can move them. A short
-document says too little about either histogram, and passes unless it has
-enough characters or words (``MIN_CHARS``, ``MIN_WORDS``).
+fixed (``REFERENCES``): no document that is judged can move them. The allowed
+word distance grows as a text gets shorter (``allowed_word_distance``); the
+class histogram is judged from ``MIN_CHARS`` characters on.
 
 A language without a reference is held against the least distant one, with
 all letters as one class, and its common words are not judged: the list has
@@ -53,8 +53,10 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
 MIN_WORDS, MIN_CHARS = 120, 150
-#: Greatest distance (0 to 1) from the language's reference that is kept.
+#: Greatest distance (0 to 1) from the language's reference that is kept; for words, from ``MIN_WORDS`` words on.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.31, 0.29
+#: What a text of n words, fewer than ``MIN_WORDS``, may be more distant: this by 1/sqrt(n) - 1/sqrt(MIN_WORDS).
+SHORT_SLACK = 1.0
 
 #: Both histograms of each language, in the order of ``CLASSES`` and of ``WORDS`` with the other words last: sums over
 #: the documents of sf0.01 that ``labels`` calls good (en 223, de 37, fr 47, es 34), as ``references`` makes them.
@@ -204,6 +206,13 @@ def distances(f: Column) -> tuple[Column, Column]:
     return of_class, of_words
 
 
+def allowed_word_distance(n_words: Column, at_length: float = MAX_WORD_DISTANCE) -> Column:
+    """Few words make a histogram that differs by chance, by about 1/sqrt(n). No common word at all (a distance of
+    0.36 to 0.37) fails from about 36 words on; below, only odd shares of those that are found do."""
+    n = F.greatest(n_words, F.lit(1))
+    return at_length + SHORT_SLACK * F.greatest(1 / F.sqrt(n) - MIN_WORDS ** -0.5, F.lit(0.0))
+
+
 def with_verdicts(df: DataFrame, columns: list[str], text: str = "text", lang: str = "lang",
                   max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
                   ) -> DataFrame:
@@ -219,7 +228,7 @@ def with_verdicts(df: DataFrame, columns: list[str], text: str = "text", lang: s
     failed = (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
     # A distance that says nothing (NULL) fails no row, whatever the other one says.
     odd = (F.coalesce((f["word_chars"] >= MIN_CHARS) & (d["class_distance"] > max_class_distance), F.lit(False))
-           | F.coalesce((f["n_words"] >= MIN_WORDS) & (d["word_distance"] > max_word_distance), F.lit(False)))
+           | F.coalesce(d["word_distance"] > allowed_word_distance(f["n_words"], max_word_distance), F.lit(False)))
     return both.select(*columns, F.struct(
         f["lang"].alias("lang"), *(f[c].alias(c) for c in COUNTS),
         F.round(d["class_distance"], 6).alias("class_distance"), F.round(d["word_distance"], 6).alias("word_distance"),

@@ -1,4 +1,4 @@
-"""Quality verdicts that other documents of the corpus cannot move."""
+"""Quality verdicts that other documents of the corpus cannot move, and those of short documents."""
 
 import random
 
@@ -55,3 +55,15 @@ def test_languages_of_one_document(spark, good):
                            (5, good[0][1], "yy"), (6, chinese, "zh"), (7, None, None), (8, junk(rng, 300), "fr")])
     assert [got[i].kept for i in range(1, 9)] == [False, False, False, True, True, True, False, False]
     assert got[5].word_distance is None and got[4].word_distance < 0.29
+
+
+def test_short_documents_are_judged(spark):
+    rows = quality.judged(labelled(spark, HELD_OUT, 0)).where("n_words BETWEEN 10 AND 119").collect()
+    fine = quality.judged(labelled(spark, HELD_OUT, 1)).where("n_words BETWEEN 10 AND 119").collect()
+    assert len(rows) > 50 and sum(r.kept for r in rows) <= 0.15 * len(rows)
+    assert sum(r.kept for r in fine) >= 0.95 * len(fine)
+
+
+@pytest.mark.parametrize("n", [40, 60, 100, 119])
+def test_no_common_word_in_forty(spark, n):
+    assert not verdicts(spark, [(1, junk(random.Random(n), n), "en")])[1].kept
