@@ -417,6 +417,19 @@ def q_load_report(spark, sf):
     return ingest.load_report(loaded, universe(spark, sf))
 
 
+def listed_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """A universe that is larger than the bars: suppliers, then a ticker named after each nation, which has no bars."""
+    nations = table(spark, sf, "nation").select(
+        (F.lit(1 << 40) + F.col("n_nationkey")).alias("pos"), F.col("n_name").alias("ticker"), F.col("n_name").alias("name"))
+    return universe(spark, sf).unionByName(nations)
+
+
+def q_load_report_whole(spark, sf):
+    """S5 of a load of all bars, without a start date; ``not_added`` are entries without any bar."""
+    listed = listed_universe(spark, sf)
+    return ingest.load_report(ingest.load_bars(bars(spark, sf), listed), listed)
+
+
 def q_full_load_counts(spark, sf):
     loaded = ingest.load_bars(bars(spark, sf), funded_universe(spark, sf))
     return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
@@ -502,6 +515,7 @@ QUERIES: dict[str, Query] = {
     "bars_upsert": q_bars_upsert,
     "bars_load_one_ticker": q_bars_load_one_ticker,
     "load_report": q_load_report,
+    "load_report_whole": q_load_report_whole,
     "full_load_counts": q_full_load_counts,
     "watermark_write": q_watermark_write,
     "incremental_refresh": q_incremental_refresh,

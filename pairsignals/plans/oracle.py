@@ -261,6 +261,12 @@ def build() -> dict[str, str]:
                         "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier) u "
                         f"LEFT JOIN (SELECT ticker, count(*) AS n FROM {loaded} GROUP BY ticker) c "
                         "ON u.ticker = c.ticker")
+    q["load_report_whole"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
+                              "CASE WHEN coalesce(c.n, 0) > 0 THEN 'added' ELSE 'not_added' END AS status "
+                              "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier "
+                              "UNION ALL SELECT n_name FROM nation) u "
+                              "LEFT JOIN (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) c "
+                              "ON u.ticker = c.ticker")
     q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {FUNDED} GROUP BY ticker"
     q["watermark_write"] = (plain + "SELECT 'update' AS key, CAST(max(date) AS TIMESTAMP) AS updated_at, "
                             "to_json(struct_pack(Year := CAST(year(max(date)) AS INTEGER), "

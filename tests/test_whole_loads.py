@@ -1,0 +1,28 @@
+"""Queries that load all bars, counted without the engine."""
+
+from collections import Counter
+
+import pyarrow.parquet as pq
+from conftest import SF_SMALL
+
+from pairsignals.plans.catalog import QUERIES
+
+
+def table(name):
+    return pq.read_table(f"{SF_SMALL}/{name}.parquet").to_pydict()
+
+
+def counted():
+    """Bars of each ticker: its days with a line item."""
+    lines = table("lineitem")
+    days = {(str(k), d) for k, d in zip(lines["l_suppkey"], lines["l_shipdate"])}
+    return Counter(k for k, _ in days)
+
+
+def test_load_report_of_the_whole_table(spark):
+    bars = counted()
+    want = {str(k): (bars[str(k)], "added" if bars[str(k)] else "not_added") for k in table("supplier")["s_suppkey"]}
+    want |= {n: (0, "not_added") for n in table("nation")["n_name"]}
+    rows = QUERIES["load_report_whole"](spark, SF_SMALL).collect()
+    assert len(rows) == len(want) and {r.ticker: (r.n_rows, r.status) for r in rows} == want
+    assert sum(r.n_rows for r in rows) == sum(bars.values())
