@@ -46,9 +46,16 @@ HINTS = frozenset(
     "pagination pager tags".split())
 MAIN_HINTS = frozenset("article post entry content story main body text".split())
 
+#: Of them, those of other vocabularies than HTML: only they are empty when their tag ends with "/>".
+FOREIGN = "svg math".split()
+
+#: Attributes of a tag, to its ">"; quoted values may hold one, unless a quote is never closed.
+_REST = r"(?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>" + "|".join(SILENT) + r")\b[^>]*+(?:/>|>.*?(?:</(?P=silent)\s*>|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(?:" + "|".join(FOREIGN) + r")(?=[\s/>])" + _REST + r"(?<=/)>"
+    r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>]|\Z)" + _REST + r"(?:>.*?(?:</(?P=silent)\s*>|\Z)|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>" + _REST + r")(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
