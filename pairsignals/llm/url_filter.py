@@ -25,8 +25,10 @@ from pairsignals.llm.common import ascii_lower, written
 
 #: Share of a rank that follows links, the other part returns to the seeds.
 DAMPING = 0.85
-#: Rounds end when ranks change by less than this in sum, or after ``ROUNDS``.
-TOLERANCE, ROUNDS = 1e-6, 40
+#: Rounds end when no host's trust or distrust changes by more than this share of itself. A host that is reached for
+#: the first time changes by all of it, so every host that links reach gets its ranks, however far it is; from the last
+#: one on, log(TOLERANCE) / log(DAMPING), about 85, more rounds do.
+TOLERANCE = 1e-6
 #: Share of distrust above which a host is blocked.
 THRESHOLD = 0.5
 #: Absolute links in html: the host and what follows.
@@ -73,7 +75,7 @@ def shares_by(edges: DataFrame, end: str) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
-              rounds: int = ROUNDS) -> DataFrame:
+              ) -> DataFrame:
     """``host``, ``trust`` and ``distrust`` of every host that either reaches.
 
     ``seeds`` has ``host``, ``trust`` and ``distrust`` (each sums to 1, or to
@@ -87,7 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     base = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"),
                         (F.col("distrust") * (1 - damping)).alias("distrust"))
     ranks = base
-    for _ in range(rounds):
+    while True:
         sent = ranks.join(links, "host").groupBy(F.col("to").alias("host")).agg(
             F.sum(F.when(F.col("kind") == "trust", F.col("trust") * F.col("w")).otherwise(0.0) * damping).alias("trust"),
             F.sum(F.when(F.col("kind") == "distrust", F.col("distrust") * F.col("w")).otherwise(0.0) * damping).alias(
@@ -95,8 +97,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         after = written(base.union(sent).groupBy("host").agg(
             F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
         old = ranks.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
-        moved = after.join(old, "host", "left").agg(F.sum(
-            F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))))
+        moved = after.join(old, "host", "left").agg(F.max(F.greatest(*[
+            F.when(F.col(now) > 0, F.abs(F.col(now) - F.coalesce(before, F.lit(0.0))) / F.col(now)).otherwise(0.0)
+            for now, before in (("trust", "t"), ("distrust", "d"))])))
         ranks, change = after, moved.first()[0]
         if not change or change < tolerance:
             break
