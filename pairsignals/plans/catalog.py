@@ -142,6 +142,10 @@ def q_series_scan(spark, sf):
     return report(ser.series_scan(bars(spark, sf), funded_universe(spark, sf)))
 
 
+def q_series_scan_whole(spark, sf):
+    return report(ser.series_scan(bars(spark, sf), universe(spark, sf)))
+
+
 # --------------------------------------------------------------------------
 # pairs
 # --------------------------------------------------------------------------
@@ -435,6 +439,11 @@ def q_full_load_counts(spark, sf):
     return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
 
 
+def q_full_load_counts_whole(spark, sf):
+    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf))
+    return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
+
+
 def q_watermark_write(spark, sf):
     """The update record after a full load, stamped with the newest bar
     date of the load, written as a new meta version and read back."""
@@ -479,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "analysis_window": q_analysis_window,
     "series_latest": q_series_latest,
     "series_scan": q_series_scan,
+    "series_scan_whole": q_series_scan_whole,
     "pairs_all": q_pairs_all,
     "pairs_aligned_rank": q_pairs_aligned_rank,
     "pairs_aligned_date": q_pairs_aligned_date,
@@ -517,6 +527,7 @@ QUERIES: dict[str, Query] = {
     "load_report": q_load_report,
     "load_report_whole": q_load_report_whole,
     "full_load_counts": q_full_load_counts,
+    "full_load_counts_whole": q_full_load_counts_whole,
     "watermark_write": q_watermark_write,
     "incremental_refresh": q_incremental_refresh,
     "nightly_pipeline": q_nightly_pipeline,

@@ -268,6 +268,10 @@ def build() -> dict[str, str]:
                               "LEFT JOIN (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) c "
                               "ON u.ticker = c.ticker")
     q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {FUNDED} GROUP BY ticker"
+    q["series_scan_whole"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
+                              + f", date FROM bars WHERE ticker IN {UNIVERSE}")
+    q["full_load_counts_whole"] = (plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {UNIVERSE} "
+                                   "GROUP BY ticker")
     q["watermark_write"] = (plain + "SELECT 'update' AS key, CAST(max(date) AS TIMESTAMP) AS updated_at, "
                             "to_json(struct_pack(Year := CAST(year(max(date)) AS INTEGER), "
                             "Month := CAST(month(max(date)) AS INTEGER), Day := CAST(day(max(date)) AS INTEGER), "

@@ -26,3 +26,11 @@ def test_load_report_of_the_whole_table(spark):
     rows = QUERIES["load_report_whole"](spark, SF_SMALL).collect()
     assert len(rows) == len(want) and {r.ticker: (r.n_rows, r.status) for r in rows} == want
     assert sum(r.n_rows for r in rows) == sum(bars.values())
+
+
+def test_scan_and_counts_of_the_whole_universe(spark):
+    bars = counted()
+    rows = QUERIES["full_load_counts_whole"](spark, SF_SMALL).collect()
+    assert {r.ticker: r.n_rows for r in rows} == bars
+    scan = QUERIES["series_scan_whole"](spark, SF_SMALL).collect()
+    assert Counter(r.ticker for r in scan) == bars
