@@ -1,13 +1,12 @@
-"""Suffix-array dedup by a depth-limited radix sort.
+"""Removal of repeated windows by content anchors and hash groups.
 
-Suffixes are ordered by their first ``THRESHOLD`` bytes only, in passes over
-most significant digits; after each pass suffixes that stand alone are left
-out, and after the last one equal groups are exactly the repeated windows of
+This stands in place of a depth-limited radix sort of suffixes: no suffix is
+ordered. Windows are grouped in passes; after each pass those that stand alone
+are left out, and after the last one equal groups are the repeated windows of
 ``THRESHOLD`` bytes. A window of a document is removed if its group has a
 document with a smaller key.
 
-To sort every suffix by every byte would move a corpus many times over. The
-digits are therefore not the 1st, 2nd, ... bytes of a suffix, but parts of
+What a pass groups by is not the 1st, 2nd, ... byte of a suffix, but parts of
 its window that the content chooses, so that neighbouring suffixes share the
 rows of the first passes:
 
