@@ -10,11 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsignals.llm import byte_bpe, decontaminate, html_text, licenses, line_dedup, quality, simhash, suffix_dedup, token_files, url_filter
+from pairsignals.llm import (
+    byte_bpe, decontaminate, html_text, licenses, line_dedup, merkle, minhash, quality, simhash, suffix_dedup, token_align,
+    token_files, url_filter)
 from pairsignals.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 #: Rules of the url query (host, path, verdict), as given.
@@ -67,9 +70,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.without_repeated_windows(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), *ALIGNED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_license_scan, op3_simhash, op4_html_text, op5_token_files, op6_line_dedup,
-        op7_quality_rules, op8_url_filter, op9_byte_bpe, op10_suffix_dedup)}
+        op7_quality_rules, op8_url_filter, op9_byte_bpe, op10_suffix_dedup, op11_merkle_manifest, op12_minhash,
+        op13_token_align)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op6_line_dedup": line_dedup.SQL}

@@ -1,13 +1,16 @@
 """Plain versions of the corpus queries, for small tables held in memory."""
 
 import base64
+import bisect
 import hashlib
 import re
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import public_tokenizers
+import sentencepiece
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -158,3 +161,99 @@ def op10(docs, n=50):
         spans = len(re.findall(b"\x01+", bytes(gone)))
         out.append((k, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def op11(docs):
+    """Rows of (doc_id, source, lang, n_chars, text)."""
+    def h(*parts):
+        return sha("".join(parts))
+
+    def leaf(row):
+        return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i:i + 2]) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    langs = {}
+    for k, source, lang, n, text in docs:
+        changed = k is not None and n is not None and zlib.crc32(str(k).encode()) % 7 == 0
+        langs.setdefault(lang, []).append(
+            ((k is not None, k or 0), leaf((k, source, lang, n, text)), leaf((k, source, lang, n + changed if changed else n, text)), k))
+    names = sorted(langs, key=lambda x: (x is not None, (x or "").encode()))
+    trees = [levels([leaf for _, leaf, _, _ in sorted(langs[x])]) for x in names]
+    top = levels([t[-1][0] for t in trees])
+    out = []
+    for g, name in enumerate(names):
+        for i, (_, kept, now, k) in enumerate(sorted(langs[name])):
+            siblings = []
+            for tree, at in ((trees[g], i), (top, g)):
+                for nodes in tree[:-1]:
+                    other = nodes[at ^ 1:(at ^ 1) + 1]
+                    siblings += other
+                    now = h(*other, now) if at % 2 else h(now, *other)
+                    at //= 2
+            out.append((k, kept, trees[g][-1][0], top[-1][0], h(*siblings), now, now == top[-1][0]))
+    return out
+
+
+def op12(docs, percent=80):
+    sets = []
+    for _, text in docs:
+        w = PLAIN.findall((text or "").translate(UPPER))
+        sets.append(frozenset(tuple(w[i:i + 2]) for i in range(max(1, len(w) - 1))) if w else frozenset())
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= percent * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(docs):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    out = []
+    for i, (k, _) in enumerate(docs):
+        component = least.get(find(i)) if sets[i] else k
+        out.append((k, len(sets[i]), component, k == component))
+    return out
+
+
+def op13(docs):
+    a_of = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_of.encode_special_tokens = True
+    b_of = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    back = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    held, every = [], Counter()
+    for k, text in docs:
+        cut, sizes = [], (0, 0)
+        if text:
+            a, b = a_of.encode(" " + text, add_special_tokens=False), b_of.encode(text, num_threads=1)
+            parts = ([bytes(back[c] for c in t) for t in a.tokens],
+                     [bytes([int(b_of.id_to_piece(i)[3:5], 16)]) if b_of.is_byte(i) else
+                      b_of.id_to_piece(i).replace("\u2581", " ").encode() for i in b])
+            if all(b"".join(p) == (" " + text).encode() for p in parts):
+                ends = [list(accumulate(map(len, p))) for p in parts]
+                common, found = sorted(set(ends[0]) & set(ends[1])), defaultdict(lambda: ([], []))
+                for side, ids in enumerate((a.ids, b)):
+                    for i, e in zip(ids, ends[side]):
+                        found[bisect.bisect_left(common, e)][side].append(i)
+                cut, sizes = [found[i] for i in sorted(found)], (len(a.ids), len(b))
+        links = Counter((x, y) for p, q in cut for x in p for y in q)
+        every.update(links.keys())
+        held.append((k, sizes, cut, links))
+    best = {}
+    for (x, _), n in every.items():
+        best[x] = max(n, best.get(x, 0))
+    return [(k, *sizes, len(cut), sum(links.values()), sum(m for p, m in links.items() if every[p] == best[p[0]]),
+             sum(m * every[p] for p, m in links.items()),
+             sha(";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in cut)) if cut else "")
+            for k, sizes, cut, links in held]

@@ -18,6 +18,8 @@ EDGES = [
     (10_018, "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) AND BSD-3-Clause\nCC BY-NC 4.0"),
     (10_019, "SPDX-License-Identifier: AND ("), (10_020, A + " " + A), (10_021, "a" * 500), (10_022, "a" * 300),
     (10_023, (A + "\n") * 40), (10_023, "another text under the same key, " + A), (10_024, "| ".join(["abc def"] * 80)),
+    (10_029, "x  y\n\nz \n q\t\tw \r\n e\u0085f \u2581g"), (10_030, "x  y\n\nz \n q\t\tw \r\n e\u0085f, don't 'quoted', 3.14, x²."),
+    (10_031, "你" * 400 + "好,。 \U0001F468\u200d\U0001F469, " + "=" * 300), (10_032, "\nfirst end\nsecond, third.\n"),
     (10_025, "!?#*$%& " * 60), (10_026, "81"), (10_027, "in 81 ways"), (10_028, "x" * 5000 + " " + A * 200),
 ]
 ITEMS = [(900, "81"), (901, None), (902, ""), (903, " ".join(A.split()[3:14])), (903, " ".join(A.split()[:9])),

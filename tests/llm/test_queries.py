@@ -34,6 +34,9 @@ COLUMNS = {
     "op8_url_filter": ("page_id", "host", "path", "rule"),
     "op9_byte_bpe": ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
     "op10_suffix_dedup": ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"),
+    "op11_merkle_manifest": ("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"),
+    "op12_minhash": ("doc_id", "n_shingles", "component_id", "kept"),
+    "op13_token_align": ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"),
 }
 
 
@@ -45,6 +48,8 @@ def test_query_equals_plain_version(spark, tables, name):
         want = plain_version(docs, read(tables, "benchmark", "item_id", "text"))
     elif name.startswith("op8_"):
         want = [r[:4] for r in plain_version(read(tables, "pages", "page_id", "url"), catalog.URL_RULES)]
+    elif name.startswith("op11_"):
+        want = plain_version(read(tables, "documents", "doc_id", "source", "lang", "n_chars", "text"))
     else:
         want = plain_version(docs)
     assert rows(catalog.QUERIES[name](spark, tables), COLUMNS[name]) == sorted(want, key=str)
