@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsignals.llm.byte_bpe import Memo
-from pairsignals.llm.common import LOWER_BYTES, map_texts, ship, written
+from pairsignals.llm.common import LOWER_BYTES, map_texts, ship, small, written
 from pairsignals.llm.components import components
 
 SHINGLE = 2
@@ -155,16 +155,11 @@ def canopies(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``class`` and ``set`` (binary: sorted hashes) for the texts whose mark
-    is in ``wanted``, one row for each."""
+    """``class`` and ``set`` (binary: sorted hashes) of the classes in
+    ``wanted`` (``mark`` of one of its texts, ``class``), one row for each."""
     marked = df.select(mark_of(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text"))
-    texts = marked.join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
-
-    def one(data: bytes) -> tuple:
-        found = shingler(shingle)(data)
-        return class_of(found), found.tobytes()
-
-    return map_texts(texts, {}, "text", one, {"class": "binary", "set": "binary"})
+    texts = marked.join(small(wanted), "mark").dropDuplicates(["class"])
+    return map_texts(texts, {"class": "long"}, "text", lambda data: (shingler(shingle)(data).tobytes(),), {"set": "binary"})
 
 
 def common(some: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -205,12 +200,12 @@ def joined_up(links: np.ndarray) -> np.ndarray:
     return at
 
 
-LINKS = "u binary, v binary, head binary"
+LINKS = "u long, v long, head long"
 
 
-def found_links(head: bytes, u: list[bytes], v: list[bytes], names: list[bytes]) -> pa.Table:
+def found_links(head: int, u: list[int], v: list[int], names: list[int]) -> pa.Table:
     """Links, and the classes (as ``u``, without ``v``) that stay to be compared."""
-    kind = pa.binary()
+    kind = pa.int64()
     return pa.table([pa.array(u + names, kind), pa.array(v + [None] * len(names), kind),
                      pa.array([head] * (len(u) + len(names)), kind)], names=["u", "v", "head"])
 
@@ -281,8 +276,10 @@ def links_of(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int =
     def every(n: str) -> Column:
         return F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))
 
-    sized = pairs.join(sizes.select("class", "n_shingles"), "class")
-    members = written(sized.join(parts(sized, "chunks"), "head"), "minhash-canopies")
+    sized = written(pairs.join(sizes.select("class", "n_shingles"), "class"), "minhash-sized")
+    large = small(parts(sized, "chunks").where("chunks > 1"))
+    members = written(sized.join(large, "head", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))),
+                      "minhash-canopies")
     # The head meets every chunk, any other class its own.
     dealt = members.select("head", "class", F.explode(F.when(
         F.col("class") == F.col("head"), every("chunks")).otherwise(F.array(part_of("chunks")))).alias("chunk"))
@@ -290,7 +287,7 @@ def links_of(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int =
     # A canopy of several chunks: its far classes, in parts of their own, meet all of its chunks.
     far = inner.where("v IS NULL").select("head", F.col("u").alias("class"), F.lit(True).alias("is_far")).distinct()
     wide = members.where("chunks > 1").join(far, ["head", "class"], "left").withColumn("far", F.col("is_far").isNotNull())
-    wide = wide.join(parts(wide.where("far"), "lefts"), "head")
+    wide = wide.join(small(parts(wide.where("far"), "lefts")), "head")
     left = wide.where("far").select("head", "class", F.lit(True).alias("left"),
                                     part_of("lefts").alias("left_part"), F.explode(every("chunks")).alias("right_part"))
     right = wide.select("head", "class", F.lit(False).alias("left"),
@@ -305,19 +302,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """Of every row: ``key``, ``n_shingles``, ``component_id`` (smallest key
     reachable) and ``kept`` (it is this one)."""
     rows = written(described(df, key, text, shingle), "minhash")
-    classes = rows.where("class IS NOT NULL").select("class", "mark", "n_shingles", "bands").dropDuplicates(["class"])
+    # A class is numbered: its number is what buckets, canopies and links hold.
+    classes = rows.where("class IS NOT NULL").groupBy(F.col("class").alias("name")).agg(
+        F.min("key").alias("first"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "minhash-classes")
     pairs = written(canopies(classes), "minhash-pairs")
-    sizes = rows.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("mark").alias("mark"), F.first("n_shingles").alias("n_shingles"))
-    sizes = written(sizes.join(pairs, "class", "left_semi"), "minhash-classes")
-    sets = written(sets_of(df, sizes.select("mark"), text, shingle), "minhash-sets")
-    links = links_of(pairs, sizes, sets, percent, chunk_classes, chunk_shingles)
-    hung = components(links)
-    least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("first")).join(
-        hung, F.col("class") == hung["u"], "left").select("class", "first", F.coalesce("v", "class").alias("root"))
-    ids = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = least.join(ids, "root").select(F.col("class").alias("__class"), "component_id")
-    found = rows.join(named, F.col("class") == F.col("__class"), "left")
+    wanted = written(classes.select("class", "mark", "n_shingles").join(pairs, "class", "left_semi"), "minhash-wanted")
+    sets = written(sets_of(df, wanted.select("mark", "class"), text, shingle), "minhash-sets")
+    hung = components(links_of(pairs, wanted, sets, percent, chunk_classes, chunk_shingles))
+    roots = classes.join(hung, F.col("class") == hung["u"], "left").select(
+        "name", "first", F.coalesce("v", "class").alias("root"))
+    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(ids, "root").select("name", "component_id")
+    found = rows.join(named, F.col("class") == F.col("name"), "left")
     component = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
                         F.col("key").eqNullSafe(component).alias("kept"))
