@@ -23,6 +23,7 @@ no blocks.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,6 +66,7 @@ class Encoder:
         # Letters are looked up at once only in a tokenizer of this kind.
         self.known = self.PATTERN.replace("\\", "\\\\") in open(path, encoding="utf-8").read()
         self.kind = np.dtype("<u2") if max(end_id, self.tokenizer.get_vocab_size()) < 1 << 16 else np.dtype("<u4")
+        self.letter = {2: "H", 4: "I"}[self.kind.itemsize]
         self.end = np.array([end_id], self.kind).tobytes()
         chars = byte_characters()
         self.table = {b: chars[b] for b in range(256)}
@@ -72,7 +74,7 @@ class Encoder:
         self.words, self.pieces = Memo(self._word, WORDS), Memo(self._piece, PIECES)
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def _piece(self, piece: str) -> bytes:
         return self._ids([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
@@ -155,30 +157,41 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, key: str = "d
     lengths = code_lengths(dense)
     rows = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(rows, "id int, length int").coalesce(1).write.parquet(f"{path}/code")
-    packed = packed_documents(encoded, lengths, kind)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = packed.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(
+    packed = packed_documents(encoded, lengths, kind, key_bounds(encoded, n))
+    ordered = packed.repartitionById(n, F.col("part")).drop("part").sortWithinPartitions(
         F.col("key").asc_nulls_first(), "n", "bits")
     blocks_of(ordered).write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
-def packed_documents(encoded: DataFrame, lengths: np.ndarray, kind: str) -> DataFrame:
-    """The bit stream of each document, and the bit offset of every
-    ``STRIDE``-th id."""
+def key_bounds(encoded: DataFrame, n: int) -> np.ndarray:
+    """Keys that deal the documents into ``n`` ranges of about equal numbers,
+    from a sketch of the key column alone: documents are packed once, when
+    their range is known."""
+    found = encoded.approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    return np.array([int(x) for x in found], np.int64)
+
+
+def packed_documents(encoded: DataFrame, lengths: np.ndarray, kind: str, bounds: np.ndarray) -> DataFrame:
+    """The bit stream of each document, the bit offset of every
+    ``STRIDE``-th id, and the range (``part``) that its key lies in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for part in slices(batches, 1024):
             ids, counts = joined(part.column(1), kind)
             data, at, within = code.encode(ids, counts)
             raw, first = data.tobytes(), np.cumsum(counts) - counts
-            marks = [within[f:f + c:STRIDE].astype("<u4").tobytes() for f, c in zip(first, counts)]
+            marks = [within[f:f + c:STRIDE].astype("<u8").tobytes() for f, c in zip(first, counts)]
+            keys = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            dealt = np.where(part.column(0).is_null().to_numpy(zero_copy_only=False), 0,
+                             np.searchsorted(bounds, keys, side="right"))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()),
+                [pa.array(dealt, pa.int32()), part.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()),
                  pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                names=["key", "n", "marks", "bits"])
+                names=["part", "key", "n", "marks", "bits"])
 
-    return map_arrow(encoded, run, "key long, n long, marks binary, bits binary")
+    return map_arrow(encoded, run, "part int, key long, n long, marks binary, bits binary")
 
 
 def blocks_of(ordered: DataFrame) -> DataFrame:
@@ -192,7 +205,7 @@ def blocks_of(ordered: DataFrame) -> DataFrame:
         def close():
             at, marks = 0, []
             for _, _, m, b in rows:
-                marks.append(np.frombuffer(m, "<u4").astype("<u8") + 8 * at)
+                marks.append(np.frombuffer(m, "<u8") + np.uint64(8 * at))
                 at += len(b)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()),
