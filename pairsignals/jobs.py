@@ -7,8 +7,10 @@
     ... nightly  --store ... --source ...            (refresh, then analyze)
 
 The store root holds ``bars`` (partitioned by year and month, sorted by
-ticker) and two versioned tables, ``meta`` (update record) and ``signals``
-(sorted by stock, so a search by stock skips row groups).
+ticker, with summaries by ticker and month) and three versioned tables,
+``meta`` (update and analysis records), ``series`` (eligible series of the last
+analyses) and ``signals`` (sorted by stock, so a search by stock skips row
+groups).
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from pairsignals.config import AnalysisConfig
-from pairsignals.operators.store import PartitionedTable, VersionedTable, upsert
-from pairsignals.plans import analysis, ingest
+from pairsignals.operators.store import VersionedTable, upsert
+from pairsignals.operators.summaries import SummarizedBars
+from pairsignals.plans import ingest
+from pairsignals.plans.nightly import analysis_job
 from pairsignals.schemas import BARS
 from pairsignals.sources.bars import read_bars
 from pairsignals.sources.universe import first_n, read_universe_tsv
@@ -29,10 +33,10 @@ from pairsignals.sources.universe import first_n, read_universe_tsv
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         root = root.rstrip("/")
-        self.bars = PartitionedTable(spark, f"{root}/bars", BARS)
+        self.bars = SummarizedBars(spark, f"{root}/bars", BARS)
         self.meta = VersionedTable(spark, f"{root}/meta")
         self.signals = VersionedTable(spark, f"{root}/signals", sort_by=("stock_a", "date"))
-
+        self.series = VersionedTable(spark, f"{root}/series", sort_by=("blk", "ticker"))
 
 
 def _universe(spark, args):
@@ -45,7 +49,8 @@ def full_load(spark, args) -> int:
     st = Store(spark, args.store)
     src = read_bars(spark, args.source, args.format)
     loaded = ingest.load_bars(src, _universe(spark, args), args.start, _end(args))
-    st.bars.upsert(loaded)
+    seen = st.bars.upsert(loaded)
+    print(f"loaded {seen['rows']} bars from {seen['first']} to {seen['last']}")
     return st.meta.write(upsert(st.meta.read(), ingest.update_record(spark, _now(args)), ["key"]))
 
 
@@ -61,13 +66,12 @@ def refresh(spark, args) -> int:
 
 def analyze(spark, args) -> int:
     st = Store(spark, args.store)
-    bars = st.bars.read()
-    if bars is None:
+    if not st.bars.exists():
         raise SystemExit("no stored bars: run full-load first")
     cfg = AnalysisConfig(min_days=args.min_days, min_mean_volume=args.min_mean_volume, ndays=args.ndays,
                          begin_day=args.begin_day, z_thresh=args.z_thresh, crit_level=args.level,
                          spread=args.spread, align=args.align, min_overlap=args.min_overlap).validate()
-    return st.signals.write(analysis.signals(bars, cfg, _universe(spark, args)))
+    return analysis_job(spark, st.bars, st.meta, st.signals, st.series, cfg, _universe(spark, args), _now(args))
 
 
 def _end(args) -> str:

@@ -13,7 +13,7 @@ history does not move whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsignals.config import AnalysisConfig
@@ -140,6 +140,11 @@ def analysis_window(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
         suffix = F.coalesce(F.sum(step).over(newer), F.lit(0).cast(WALK_DECIMAL))
         # NULL when no step up to this bar is non-NULL, like the running sum
         v = F.when(F.col("_steps") - F.count(step).over(newer) > 0, F.col("_total") - suffix).cast("double")
+    return sliced(trimmed, v, cfg)
+
+
+def sliced(trimmed: DataFrame, v: Column, cfg: AnalysisConfig) -> DataFrame:
+    """The analysis window of trimmed series (with ``rk``), ``v`` its value."""
     # A NULL value counts as NaN (no number), as numpy reads a missing
     # value, so every statistics form propagates it the same way.
     v = F.coalesce(v, F.lit(float("nan")))

@@ -13,8 +13,10 @@ aggregation - so a key with very many versions never moves as one group.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,6 +207,14 @@ class VersionedTable:
         return nxt
 
 
+def in_months(months: list[tuple[int | None, int | None]]) -> Column:
+    """Rows of the given (year, month) partitions."""
+    hit = F.lit(False)
+    for year, month in months:
+        hit = hit | (F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)))
+    return hit
+
+
 class PartitionedTable:
     """A Parquet folder partitioned by calendar columns of ``date``, of which
     an upsert reads and writes only the partitions that its batch touches.
@@ -247,25 +257,41 @@ class PartitionedTable:
         if rows is None:
             return None
         months = [(r.year, r.month) for r in batch.select(*date_parts(F.col("date"))[:2]).distinct().collect()]
-        hit = F.lit(False)
-        for year, month in months:
-            hit = hit | (F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)))
-        return rows.where(hit).select(*self.schema.names)
+        return rows.where(in_months(months)).select(*self.schema.names)
 
-    def upsert(self, batch: DataFrame, merge=upsert) -> None:
+    def upsert(self, batch: DataFrame, merge=upsert) -> dict:
         """Merge ``batch`` into the partitions it touches; ``merge`` takes
-        the stored rows, the batch and the keys."""
-        merged = merge(self.touched(batch), batch.select(*self.schema.names), self.keys)
-        merged = merged.select(*self.schema.names, *date_parts(F.col("date"))[:2])
+        the stored rows, the batch and the keys. Returns what the write itself
+        observed of the batch: its ``rows``, and their ``first`` and ``last``
+        date."""
+        seen = Observation()
+        batch = batch.select(*self.schema.names).observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"))
         if not self.exists():
-            self._write(merged)
-            return
-        beside = f"merged-{uuid.uuid4().hex[:12]}"
-        merged.write.parquet(f"{self.root}/{beside}")
-        self._write(self.spark.read.schema(merged.schema).parquet(f"{self.root}/{beside}"))
+            merged = merge(None, batch, self.keys)
+            self._write(merged.select(*self.schema.names, *date_parts(F.col("date"))[:2]))
+            self._replaced(self.read(with_parts=True))
+            return seen.get
+        # The batch is written first: its months are read from it, then it is merged.
+        with self._beside(batch, "batch") as landed:
+            merged = merge(self.touched(landed), landed, self.keys)
+            with self._beside(merged.select(*self.schema.names, *date_parts(F.col("date"))[:2]), "merged") as rows:
+                self._write(rows)
+                self._replaced(rows)
+        return seen.get
+
+    @contextmanager
+    def _beside(self, df: DataFrame, name: str) -> Iterator[DataFrame]:
+        """``df`` as a table beside this one while it is in use."""
+        beside = f"{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.root}/{beside}")
+        yield self.spark.read.schema(df.schema).parquet(f"{self.root}/{beside}")
         path, fs = self._path(beside)
         fs.delete(path, True)
 
+    def _replaced(self, rows: DataFrame) -> None:
+        """Called with all rows of the partitions that were replaced."""
+
     def _write(self, rows: DataFrame) -> None:
         # Rebalanced by month: few files for a month, yet a large month is split.
         (rows.hint("rebalance", *self.PARTS).sortWithinPartitions(*self.PARTS, *self.sort_by).write.mode("overwrite")

@@ -8,6 +8,7 @@ equi-join of the per-ticker rows, and projections.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pairsignals.config import AnalysisConfig
 from pairsignals.functions.critical import critical_value_py
@@ -16,7 +17,10 @@ from pairsignals.operators.kernels import PairFilter
 from pairsignals.operators.pairs import block_count
 from pairsignals.operators.series import analysis_window
 from pairsignals.operators.stats import (date_aligned_unordered, date_block_stats, date_moment_stats,
-                                         rank_aligned_unordered, two_pass_stats, wide_stats)
+                                         rank_aligned_unordered, stored_wide_series, two_pass_stats,
+                                         wide_pair_stats, wide_stats)
+from pairsignals.operators.stored import StoredSeries, changed_tickers
+from pairsignals.operators.summaries import SummarizedBars
 from pairsignals.sources.universe import first_n
 
 
@@ -70,10 +74,70 @@ def tradeable_pairs(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame |
     """The job's result: tradeable pairs only (P7, P8). The kernel already
     leaves out pairs that cannot be, so they are never sent from Python."""
     cfg.validate()
+    return tradeable_of_window(window_for(bars, cfg, universe), cfg, method)
+
+
+def tradeable_of_window(window: DataFrame, cfg: AnalysisConfig, method: str = "auto") -> DataFrame:
+    """Tradeable pairs of windows that are formed already."""
+    return sig.tradeable(sig.verdicts(pair_statistics(window, cfg, method, pair_filter(cfg)), cfg))
+
+
+def pair_filter(cfg: AnalysisConfig) -> PairFilter:
+    """What the kernel may leave out where only tradeable pairs are asked for."""
     n = cfg.window
-    keep = PairFilter(n, critical_value_py(cfg.crit_level, n - 1), cfg.z_thresh, cfg.spread, cfg.forward)
-    stats = pair_statistics(window_for(bars, cfg, universe), cfg, method, keep)
-    return sig.tradeable(sig.verdicts(stats, cfg))
+    return PairFilter(n, critical_value_py(cfg.crit_level, n - 1), cfg.z_thresh, cfg.spread, cfg.forward)
+
+
+# --------------------------------------------------------------------------
+# from the bar store and from stored series
+# --------------------------------------------------------------------------
+
+def store_series(bars: SummarizedBars, *cfgs: AnalysisConfig, universe: DataFrame | None = None,
+                 path: str | None = None) -> StoredSeries:
+    """The eligible series of stored bars, once for all of ``cfgs``: the
+    filters read summaries, the windows read the months they need."""
+    low = StoredSeries.loosest_of(*cfgs)
+    ok = bars.eligible(low, universe)
+    return StoredSeries.store(bars.spark, bars.newest(ok, low.trim), ok, low, path)
+
+
+def stored_verdicts(series: StoredSeries, cfg: AnalysisConfig, keep: PairFilter | None = None) -> DataFrame:
+    """Every ordered pair's verdict (but for pairs that ``keep`` rules out)
+    from stored series."""
+    if cfg.align == "date":
+        return sig.verdicts(pair_statistics(series.window(cfg), cfg), cfg)
+    wide = stored_wide_series(series.select(cfg), cfg.window)
+    return sig.verdicts(wide_pair_stats(wide, cfg.window, block_count(wide.sparkSession, cfg), cfg.forward, keep), cfg)
+
+
+def stored_tradeable(series: StoredSeries, cfg: AnalysisConfig) -> DataFrame:
+    """Tradeable pairs (P7, P8) from stored series."""
+    return sig.tradeable(stored_verdicts(series, cfg, pair_filter(cfg)))
+
+
+def stored_signals(series: StoredSeries, cfg: AnalysisConfig) -> DataFrame:
+    return sig.signal_rows(stored_tradeable(series, cfg))
+
+
+def refreshed_signals(series: StoredSeries, before: StoredSeries, signals_before: DataFrame, cfg: AnalysisConfig,
+                      ) -> DataFrame:
+    """The signals of ``series``, given those of ``before`` under the same
+    ``cfg``: signals of pairs whose windows both stayed are kept, and only
+    pairs with a changed window are computed. Equal to ``stored_signals``.
+
+    Rank alignment; by date, all pairs are computed."""
+    if cfg.align == "date":
+        return stored_signals(series, cfg)
+    now = series.select(cfg)
+    new, gone = changed_tickers(before.select(cfg), now)
+    for side in ("stock_a", "stock_b"):
+        signals_before = signals_before.join(gone.select(F.col("ticker").alias(side)), side, "left_anti")
+    marked = now.join(new.withColumn("changed", F.lit(True)), "ticker", "left").withColumn(
+        "changed", F.coalesce("changed", F.lit(False)))
+    wide = stored_wide_series(marked, cfg.window)
+    stats = wide_pair_stats(wide, cfg.window, block_count(wide.sparkSession, cfg), cfg.forward, pair_filter(cfg))
+    made = sig.signal_rows(sig.tradeable(sig.verdicts(stats, cfg)))
+    return signals_before.select(*made.columns).unionByName(made)
 
 
 def signals(bars: DataFrame, cfg: AnalysisConfig, universe: DataFrame | None = None,

@@ -25,6 +25,7 @@ from pairsignals.functions.critical import critical_value
 from pairsignals.operators import series as ser
 from pairsignals.operators import signals as sig
 from pairsignals.operators import store
+from pairsignals.operators.summaries import SummarizedBars
 from pairsignals.operators.pairs import block_count, pair_residuals, pairs_aligned_date, pairs_aligned_rank, pairs_all
 from pairsignals.plans import analysis, ingest
 from pairsignals.session import scratch_path
@@ -39,9 +40,11 @@ WALK_CROSS = STATS.with_(series="walk", z_thresh=0.5)
 WALK_ALIGNED = STATS.with_(series="walk", spread="aligned", crit_level="10%")
 DATE_ALIGNED = STATS.with_(align="date", min_overlap=10, crit_level="1%")
 WINDOW_OFFSET = STATS.with_(begin_day=10)
+# A second analysis over the series stored for the first.
+SHARED = STATS.with_(spread="aligned", ndays=80, begin_day=5, min_mean_volume=26.0, crit_level="1%")
+# Suppliers whose newest bars are corrected between two analyses.
+CORRECTED_NATIONS = (3, 11)
 RANGE_START, RANGE_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
-LOAD_START = dt.date(2000, 1, 1)
-REPORT_START = dt.date(2001, 10, 25)
 FIRST_N = 7
 AS_OF = dt.datetime(2001, 6, 30)
 OVERLAP_DAYS = 5
@@ -73,11 +76,6 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     return universe_from_supplier(table(spark, sf, "supplier"))
 
 
-def funded_universe(spark: SparkSession, sf: str) -> DataFrame:
-    """A universe that is smaller than the bars: suppliers in credit."""
-    return universe_from_supplier(table(spark, sf, "supplier").where(F.col("s_acctbal") > 0))
-
-
 def bucket(spark: SparkSession, sf: str, key: str | None = None) -> DataFrame:
     """Events as a key/value bucket; of one ``key`` only, if given (the key
     reaches the scan as the number it is stored as)."""
@@ -139,10 +137,6 @@ def q_series_latest(spark, sf):
 
 
 def q_series_scan(spark, sf):
-    return report(ser.series_scan(bars(spark, sf), funded_universe(spark, sf)))
-
-
-def q_series_scan_whole(spark, sf):
     return report(ser.series_scan(bars(spark, sf), universe(spark, sf)))
 
 
@@ -409,18 +403,13 @@ def q_bars_upsert(spark, sf):
 
 def q_bars_load_one_ticker(spark, sf):
     lines = table(spark, sf, "lineitem").where(F.col("l_suppkey") == F.lit(int(ONE_TICKER)))
-    loaded = ingest.load_bars(bars_from_lineitem(lines), None, LOAD_START, None, ticker=ONE_TICKER)
+    loaded = ingest.load_bars(bars_from_lineitem(lines), ticker=ONE_TICKER)
     counts = ingest.load_counts(loaded)
     want = spark.range(1).select(F.lit(ONE_TICKER).alias("ticker"))
     return (want.join(counts, "ticker", "left")
             .select("ticker", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows")))
 
 
-def q_load_report(spark, sf):
-    loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf), REPORT_START, None)
-    return ingest.load_report(loaded, universe(spark, sf))
-
-
 def listed_universe(spark: SparkSession, sf: str) -> DataFrame:
     """A universe that is larger than the bars: suppliers, then a ticker named after each nation, which has no bars."""
     nations = table(spark, sf, "nation").select(
@@ -428,18 +417,13 @@ def listed_universe(spark: SparkSession, sf: str) -> DataFrame:
     return universe(spark, sf).unionByName(nations)
 
 
-def q_load_report_whole(spark, sf):
+def q_load_report(spark, sf):
     """S5 of a load of all bars, without a start date; ``not_added`` are entries without any bar."""
     listed = listed_universe(spark, sf)
     return ingest.load_report(ingest.load_bars(bars(spark, sf), listed), listed)
 
 
 def q_full_load_counts(spark, sf):
-    loaded = ingest.load_bars(bars(spark, sf), funded_universe(spark, sf))
-    return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
-
-
-def q_full_load_counts_whole(spark, sf):
     loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf))
     return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
 
@@ -476,7 +460,57 @@ def q_incremental_refresh_stream(spark, sf):
     return report(run_refresh_stream(spark, [initial, _corrected(batch)]))
 
 
+def _stored_bars(spark, sf):
+    """The bar store with its summaries, after the initial load and the
+    (corrected) refresh."""
+    src, initial, meta = _initial_and_refresh(spark, sf)
+    stored = SummarizedBars(spark, scratch_path(spark, "bars"), schemas.BARS)
+    stored.upsert(initial)
+    stored.upsert(_corrected(ingest.refresh_batch(src, meta, universe(spark, sf), OVERLAP_DAYS)))
+    return stored
+
+
+def q_stored_profile(spark, sf):
+    """A1 + A2 of the stored bars, from the summaries that the upserts keep."""
+    return report(_stored_bars(spark, sf).profile())
+
+
+def q_stored_window(spark, sf):
+    """P3-P6 of the stored bars: filters on summaries, windows from the months they need."""
+    w = _stored_bars(spark, sf).window(WINDOW_OFFSET)
+    return report(w.select("ticker", F.col("i").cast("long").alias("i"), "date", F.col("v").alias("close"), "volume"))
+
+
+def q_stored_series_signals(spark, sf):
+    """Two analyses (spreads, levels and windows differ) over one table of
+    eligible series, which is removed when both are written."""
+    with analysis.store_series(_stored_bars(spark, sf), STATS, SHARED) as series:
+        made = [analysis.stored_signals(series, c).withColumn("analysis", F.lit(n))
+                for n, c in (("cross", STATS), ("aligned", SHARED))]
+        tbl = store.VersionedTable(spark, scratch_path(spark, "signals"), sort_by=("stock_a", "date"))
+        return report(tbl.read(tbl.write(made[0].unionByName(made[1]))))
+
+
+def q_signals_refreshed(spark, sf):
+    """Signals after a night in which the newest days of some tickers were
+    corrected: pairs of unchanged windows keep theirs."""
+    stored = SummarizedBars(spark, scratch_path(spark, "bars"), schemas.BARS)
+    src = bars(spark, sf)
+    stored.upsert(ingest.load_bars(src, universe(spark, sf)))
+    before = analysis.store_series(stored, STATS)
+    tbl = store.VersionedTable(spark, scratch_path(spark, "signals"), sort_by=("stock_a", "date"))
+    signals = tbl.read(tbl.write(analysis.stored_signals(before, STATS)))
+    some = table(spark, sf, "supplier").where(F.col("s_nationkey").isin(list(CORRECTED_NATIONS))).select(
+        F.col("s_suppkey").cast("string").alias("ticker"))
+    stored.upsert(_corrected(ingest.refresh_batch(src, ingest.update_record(spark, AS_OF), some, OVERLAP_DAYS)))
+    return report(analysis.refreshed_signals(analysis.store_series(stored, STATS), before, signals, STATS))
+
+
 QUERIES: dict[str, Query] = {
+    "stored_profile": q_stored_profile,
+    "stored_window": q_stored_window,
+    "stored_series_signals": q_stored_series_signals,
+    "signals_refreshed": q_signals_refreshed,
     "universe_scan": q_universe_scan,
     "universe_first_n": q_universe_first_n,
     "bars_scan_range": q_bars_scan_range,
@@ -488,7 +522,7 @@ QUERIES: dict[str, Query] = {
     "analysis_window": q_analysis_window,
     "series_latest": q_series_latest,
     "series_scan": q_series_scan,
-    "series_scan_whole": q_series_scan_whole,
+    "series_scan_whole": q_series_scan,
     "pairs_all": q_pairs_all,
     "pairs_aligned_rank": q_pairs_aligned_rank,
     "pairs_aligned_date": q_pairs_aligned_date,
@@ -525,9 +559,9 @@ QUERIES: dict[str, Query] = {
     "bars_upsert": q_bars_upsert,
     "bars_load_one_ticker": q_bars_load_one_ticker,
     "load_report": q_load_report,
-    "load_report_whole": q_load_report_whole,
+    "load_report_whole": q_load_report,
     "full_load_counts": q_full_load_counts,
-    "full_load_counts_whole": q_full_load_counts_whole,
+    "full_load_counts_whole": q_full_load_counts,
     "watermark_write": q_watermark_write,
     "incremental_refresh": q_incremental_refresh,
     "nightly_pipeline": q_nightly_pipeline,

@@ -9,11 +9,14 @@ DataFrame produced upstream), an upsert and one table write.
 from __future__ import annotations
 
 import datetime as dt
+import json
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairsignals import schemas
+from pairsignals.config import AnalysisConfig
 from pairsignals.operators.store import upsert_bars
 from pairsignals.sources.bars import bars_in_range
 from pairsignals.sources.universe import first_n
@@ -41,8 +44,12 @@ def load_report(loaded: DataFrame, universe: DataFrame, limit: int | None = None
     """Every universe ticker (the first ``limit`` entries when given) with
     its row count (0 when nothing was loaded) and ``added`` / ``not_added``."""
     uni = first_n(universe, limit).select("ticker")
-    counts = load_counts(loaded.join(uni, "ticker", "left_semi"))
-    return (uni.join(counts, "ticker", "left")
+    return report_of_counts(load_counts(loaded.join(uni, "ticker", "left_semi")), uni)
+
+
+def report_of_counts(counts: DataFrame, uni: DataFrame) -> DataFrame:
+    """S5 from rows loaded per ticker (``n_rows``)."""
+    return (uni.select("ticker").join(counts, "ticker", "left")
             .select("ticker", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
             .withColumn("status", F.when(F.col("n_rows") > 0, F.lit(ADDED)).otherwise(F.lit(NOT_ADDED))))
 
@@ -66,6 +73,22 @@ def update_record(spark, updated_at: dt.datetime | None = None, source: DataFram
     return base.select(F.lit(UPDATE_KEY).alias("key"), ts, doc.alias("value"))
 
 
+ANALYSIS_KEY = "analysis"
+
+
+def analysis_record(spark, cfg: AnalysisConfig, series_version: int, signals_version: int, at: dt.datetime) -> DataFrame:
+    """Meta row of an analysis: its parameters, and the versions of the
+    series it read and of the signals it wrote."""
+    doc = json.dumps({"config": asdict(cfg), "series": series_version, "signals": signals_version}, sort_keys=True)
+    return spark.range(1).select(F.lit(ANALYSIS_KEY).alias("key"), F.lit(at).cast("timestamp").alias("updated_at"),
+                                 F.lit(doc).alias("value"))
+
+
+def last_analysis(meta: DataFrame | None) -> dict | None:
+    row = meta.where(F.col("key") == F.lit(ANALYSIS_KEY)).select("value").first() if meta is not None else None
+    return json.loads(row["value"]) if row else None
+
+
 def last_update(meta: DataFrame) -> dt.date | None:
     """The day in the update record's document (one row)."""
     doc = F.from_json("value", schemas.UPDATE_DOCUMENT)

@@ -21,9 +21,6 @@ def r6(expr: str, alias: str) -> str:
 UNIVERSE = "(SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier)"
 
 
-FUNDED = "(SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier WHERE s_acctbal > 0)"
-
-
 def bars_cte(walk: bool = False, offset: float = 1500.0) -> str:
     raw = """bars_raw AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
@@ -177,8 +174,6 @@ def build() -> dict[str, str]:
                             + r6("v", "close") + ", " + r6("volume", "volume") + " FROM win")
     q["series_latest"] = (plain + "SELECT ticker, max(date) AS date, " + r6("arg_max(close, date)", "close")
                           + " FROM bars GROUP BY ticker")
-    q["series_scan"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
-                        + f", date FROM bars WHERE ticker IN {FUNDED}")
     q["pairs_all"] = (pipeline(S, "win") + "SELECT a.ticker AS stock_a, b.ticker AS stock_b "
                       "FROM elig a JOIN elig b ON a.ticker <> b.ticker")
     chosen = " WHERE (sa, sb) IN (SELECT (stock_a, stock_b) FROM ver WHERE verdict = 'tradeable')"
@@ -189,8 +184,15 @@ def build() -> dict[str, str]:
                                + r6("av", "close_a") + ", " + r6("bv", "close_b") + ", n_overlap FROM al" + chosen)
     q["pair_ols"] = pipeline(S, "st") + "SELECT stock_a, stock_b, " + r6("alpha", "alpha") + ", " \
         + r6("beta", "beta") + " FROM st"
-    q["pair_residuals"] = (pipeline(S) + "SELECT sa AS stock_a, sb AS stock_b, i, "
-                           + r6("r", "resid") + " FROM res" + chosen)
+    # Chosen pairs first, then their residuals: no plan may form those of all pairs.
+    kept = pipeline(S)
+    for name in ("al", "ols", "ver"):
+        kept = kept.replace(f"{name} AS (SELECT", f"{name} AS MATERIALIZED (SELECT", 1)
+    resid = ("CASE WHEN o.fa AND o.beta IS NOT NULL THEN 0 ELSE al.av - (o.ma - o.beta * o.mb) - o.beta * al.bv END")
+    q["pair_residuals"] = (kept + "SELECT t.stock_a, t.stock_b, al.i, " + r6(resid, "resid")
+                           + " FROM (SELECT stock_a, stock_b FROM ver WHERE verdict = 'tradeable') t"
+                             " JOIN ols o ON o.sa = t.stock_a AND o.sb = t.stock_b"
+                             " JOIN al ON al.sa = t.stock_a AND al.sb = t.stock_b")
     q["pair_adf_t"] = pipeline(S, "st") + "SELECT stock_a, stock_b, adf_m, " + r6("adf_t", "adf_t") + " FROM st"
     q["adf_critical_values"] = (pipeline(D, "st") + "SELECT stock_a, stock_b, adf_m, "
                                 + r6(critical_value_sql("1%", "adf_m"), "crit_1pct") + ", "
@@ -253,24 +255,16 @@ def build() -> dict[str, str]:
     q["bars_upsert"] = (plain + f"SELECT {BAR_SELECT}, CASE WHEN {late} THEN 2 ELSE 1 END::INTEGER AS batch "
                         f"FROM ({raised}) WHERE ticker IN {UNIVERSE}")
     q["bars_load_one_ticker"] = (plain + f"SELECT '{C.ONE_TICKER}' AS ticker, "
-                                 f"(SELECT count(*) FROM bars WHERE ticker = '{C.ONE_TICKER}' "
-                                 f"AND date >= {_d(C.LOAD_START)}) AS n_rows")
-    loaded = f"(SELECT * FROM bars WHERE date >= {_d(C.REPORT_START)} AND ticker IN {UNIVERSE})"
-    q["load_report"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
-                        "CASE WHEN coalesce(c.n, 0) > 0 THEN 'added' ELSE 'not_added' END AS status "
-                        "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier) u "
-                        f"LEFT JOIN (SELECT ticker, count(*) AS n FROM {loaded} GROUP BY ticker) c "
-                        "ON u.ticker = c.ticker")
-    q["load_report_whole"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
+                                 f"(SELECT count(*) FROM bars WHERE ticker = '{C.ONE_TICKER}') AS n_rows")
+    q["load_report"] = q["load_report_whole"] = (plain + "SELECT u.ticker, coalesce(c.n, 0) AS n_rows, "
                               "CASE WHEN coalesce(c.n, 0) > 0 THEN 'added' ELSE 'not_added' END AS status "
                               "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS ticker FROM supplier "
                               "UNION ALL SELECT n_name FROM nation) u "
                               "LEFT JOIN (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) c "
                               "ON u.ticker = c.ticker")
-    q["full_load_counts"] = plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {FUNDED} GROUP BY ticker"
-    q["series_scan_whole"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
+    q["series_scan"] = q["series_scan_whole"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
                               + f", date FROM bars WHERE ticker IN {UNIVERSE}")
-    q["full_load_counts_whole"] = (plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {UNIVERSE} "
+    q["full_load_counts"] = q["full_load_counts_whole"] = (plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {UNIVERSE} "
                                    "GROUP BY ticker")
     q["watermark_write"] = (plain + "SELECT 'update' AS key, CAST(max(date) AS TIMESTAMP) AS updated_at, "
                             "to_json(struct_pack(Year := CAST(year(max(date)) AS INTEGER), "
@@ -283,6 +277,18 @@ def build() -> dict[str, str]:
     q["nightly_pipeline"] = q["signals_table"].replace(
         "bars AS (SELECT * FROM bars_raw)",
         f"bars AS ({raised.replace('FROM bars', 'FROM bars_raw')} WHERE ticker IN {UNIVERSE})")
+    in_store = f"bars AS ({raised.replace('FROM bars', 'FROM bars_raw')} WHERE ticker IN {UNIVERSE})"
+    whole = "bars AS (SELECT * FROM bars_raw)"
+    q["stored_profile"] = q["series_profile"].replace("FROM bars GROUP", f"FROM bars WHERE ticker IN {UNIVERSE} GROUP")
+    q["stored_window"] = q["analysis_window"].replace(whole, in_store)
+    q["stored_series_signals"] = " UNION ALL ".join(
+        f"SELECT *, '{name}' AS analysis FROM ({pipeline(c).replace(whole, in_store)} SELECT {SIGNAL_SELECT} "
+        "FROM ver WHERE verdict = 'tradeable')" for name, c in (("cross", S), ("aligned", C.SHARED)))
+    some = ("(SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey IN "
+            f"({', '.join(map(str, C.CORRECTED_NATIONS))}))")
+    q["signals_refreshed"] = q["signals_table"].replace(
+        whole, f"bars AS (SELECT * REPLACE (close + CASE WHEN {late} AND ticker IN {some} THEN 1 ELSE 0 END AS close) "
+               f"FROM bars_raw WHERE ticker IN {UNIVERSE})")
     q["incremental_refresh_stream"] = plain + f"SELECT {BAR_SELECT} FROM ({raised}) WHERE ticker IN {UNIVERSE}"
     return q
 

@@ -1,0 +1,225 @@
+"""Monthly summaries, pruned windows, stored series and the nightly job over them."""
+
+import datetime as dt
+
+import numpy as np
+import pytest
+from conftest import make_bars, random_series
+from pyspark.sql import functions as F
+
+from pairsignals import schemas
+from pairsignals.config import AnalysisConfig
+from pairsignals.operators import series as ser
+from pairsignals.operators import stats
+from pairsignals.operators.store import VersionedTable
+from pairsignals.operators.stored import StoredSeries
+from pairsignals.operators.summaries import SummarizedBars
+from pairsignals.plans import analysis, ingest
+from pairsignals.plans.nightly import analysis_job, full_load_job, nightly_job
+from pairsignals.session import scratch_path
+
+CFG = AnalysisConfig(min_days=150, min_mean_volume=0.0, ndays=60, z_thresh=1.0, pair_blocks=5)
+
+
+def bar_table(spark, *loads):
+    table = SummarizedBars(spark, scratch_path(spark, "summarized"), schemas.BARS)
+    for load in loads:
+        table.upsert(load)
+    return table
+
+
+def market(spark, n=14, days=200, seed=5, **more):
+    rng = np.random.default_rng(seed)
+    return make_bars(spark, {f"T{k}": random_series(rng, days, "walk" if k % 2 else "noise") for k in range(n)} | more)
+
+
+def rows(df):
+    return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+
+
+def ran(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def scans(plan, column):
+    """Scans of the table that has this column: ``close`` of bars, ``n_bars`` of summaries, ``w`` of series."""
+    return [line for line in plan.splitlines() if "FileScan" in line and f"{column}#" in line.split("] Batched")[0]]
+
+
+def odd_bars(spark):
+    """NaN and NULL volumes, no volume at all, years without bars."""
+    day = dt.date(2001, 1, 31)
+    some = [("N", day, 1.0), ("N", day + dt.timedelta(1), float("nan")), ("M", day, None), ("M", day + dt.timedelta(1), 4.0),
+            ("Z", day, None), ("D", day, 2.0), ("G", dt.date(1990, 5, 5), 6.0), ("G", day, 3.0),
+            ("G", dt.date(1997, 2, 28), 0.25), ("G", dt.date(1997, 3, 1), 0.5)]
+    return spark.createDataFrame([(t, d, 1.0, 1.0, 1.0, float(i), v) for i, (t, d, v) in enumerate(some)], schemas.BARS)
+
+
+def test_summaries_give_the_profile(spark):
+    table = bar_table(spark, odd_bars(spark), make_bars(spark, {"N": [1.0] * 70, "Q": [2.0]}, volume=lambda t, k: 7.0 + k))
+    want = ser.series_profile(table.read())
+    assert rows(table.profile()) == rows(want)
+    # An upsert that corrects bars changes their months and no other.
+    table.upsert(make_bars(spark, {"N": [5.0] * 3, "G": [1.0]}, volume=1.0, start=dt.date(2001, 3, 30)))
+    assert rows(table.profile()) == rows(ser.series_profile(table.read()))
+    assert rows(table.profile(spark.createDataFrame([("G",)], "ticker string"))) == rows(
+        ser.series_profile(table.read().where("ticker = 'G'")))
+
+
+def test_an_upsert_rewrites_the_summaries_of_its_months_only(spark):
+    table = bar_table(spark, make_bars(spark, {"A": [1.0] * 120}))
+    before = {(r.year, r.month): r.f for r in table.months().select(
+        "year", "month", F.input_file_name().alias("f")).distinct().collect()}
+    table.upsert(make_bars(spark, {"B": [1.0]}, start=dt.date(2001, 2, 14)))
+    after = {(r.year, r.month): r.f for r in table.months().select(
+        "year", "month", F.input_file_name().alias("f")).distinct().collect()}
+    assert set(before) == set(after)
+    assert [m for m in before if before[m] != after[m]] == [(2001, 2)]
+
+
+def test_summaries_are_made_for_bars_stored_without_them(spark):
+    from pairsignals.operators.store import PartitionedTable
+    root = scratch_path(spark, "older")
+    PartitionedTable(spark, root, schemas.BARS).upsert(make_bars(spark, {"A": [1.0] * 40}))
+    assert rows(SummarizedBars(spark, root, schemas.BARS).profile()) == [("A", 40, 100.0)]
+
+
+def test_the_write_tells_what_it_loaded(spark):
+    table = SummarizedBars(spark, scratch_path(spark, "seen"), schemas.BARS)
+    first = make_bars(spark, {"A": [1.0] * 40, "B": [1.0] * 3})
+    assert table.upsert(first) == {"rows": 43, "first": dt.date(2001, 1, 1), "last": dt.date(2001, 2, 9)}
+    later = make_bars(spark, {"A": [2.0]}, start=dt.date(2001, 1, 9))
+    assert table.upsert(later) == {"rows": 1, "first": dt.date(2001, 1, 9), "last": dt.date(2001, 1, 9)}
+    assert table.read().count() == 43
+
+
+def test_pruned_windows_are_whole_also_over_gaps(spark):
+    rng = np.random.default_rng(1)
+    table = bar_table(spark, make_bars(spark, {"A": random_series(rng, 200), "B": random_series(rng, 180)}),
+                      # G: 12 bars now, the others five years ago.
+                      make_bars(spark, {"G": random_series(rng, 60)}, start=dt.date(1996, 3, 20)),
+                      make_bars(spark, {"G": random_series(rng, 12)}, start=dt.date(2001, 6, 25)))
+    cfg = AnalysisConfig(min_days=50, min_mean_volume=0.0, ndays=40, begin_day=3)
+    got = table.window(cfg)
+    assert rows(got) == rows(ser.analysis_window(table.read(), cfg)) and got.count() == 3 * 37
+    scan, = scans(ran(got), "close")
+    assert "1996" in scan.split("PartitionFilters")[1].split("]")[0]
+    near = table.window(cfg.with_(min_days=100))
+    assert rows(near) == rows(ser.analysis_window(table.read(), cfg.with_(min_days=100)))
+    scan, = scans(ran(near), "close")
+    filters = scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "1996" not in filters and "2001" in filters
+
+
+def test_eligibility_scans_no_bar_history(spark):
+    table = bar_table(spark, market(spark, 6))
+    plan = ran(table.eligible(CFG))
+    assert scans(plan, "n_bars") and not scans(plan, "close"), plan
+
+
+def test_two_analyses_share_stored_series(spark):
+    table = bar_table(spark, market(spark, K=[5.0] * 200, S=[1.0] * 100))
+    other = CFG.with_(spread="aligned", ndays=40, begin_day=5, crit_level="10%", min_days=160)
+    by_date = CFG.with_(align="date", min_overlap=20)
+    with analysis.store_series(table, CFG, other, by_date) as series:
+        for cfg in (CFG, other, by_date):
+            for got, want in ((series.window(cfg), analysis.window_for(table.read(), cfg)),
+                              (analysis.stored_verdicts(series, cfg), analysis.pair_verdicts(table.read(), cfg)),
+                              (analysis.stored_signals(series, cfg), analysis.signals(table.read(), cfg))):
+                plan = ran(got)
+                assert rows(got) == rows(want)
+                # Only the stored series are read, and by the rank form shuffled once: to the block pairs.
+                assert len(scans(plan, "w")) == 1 and plan.count("FileScan") == 1, plan
+                if cfg.align == "rank":
+                    assert plan.count("Exchange") <= 1, plan
+        for cfg in (CFG.with_(ndays=70), CFG.with_(min_days=100), CFG.with_(min_mean_volume=-1.0), CFG.with_(series="walk")):
+            with pytest.raises(ValueError):
+                series.select(cfg)
+        path = series.path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
+def test_thresholds_of_stored_series_are_strict_and_never_pass_nan(spark):
+    table = bar_table(spark, make_bars(spark, {"A": [1.0] * 30, "B": [2.0] * 31, "C": [3.0] * 40, "D": [3.0] * 40},
+                                       volume=lambda t, k: float("nan") if (t, k) == ("D", 2) else 10.0 if t == "C" else 11.0))
+    low = AnalysisConfig(min_days=20, min_mean_volume=5.0, ndays=10)
+    with analysis.store_series(table, low) as series:
+        assert {r.ticker for r in series.rows.collect()} == {"A", "B", "C"}
+        assert {r.ticker for r in series.select(low.with_(min_days=30)).collect()} == {"B", "C"}
+        assert {r.ticker for r in series.select(low.with_(min_mean_volume=10.0)).collect()} == {"A", "B"}
+
+
+def corrections(spark):
+    rng = np.random.default_rng(8)
+    return make_bars(spark, {"T3": [900.0, 1100.0], "T8": [1000.0] * 3, "NEW": random_series(rng, 170)},
+                     start=dt.date(2001, 7, 10))
+
+
+def test_refreshed_signals_equal_a_full_run(spark):
+    table = bar_table(spark, market(spark))
+    before = analysis.store_series(table, CFG)
+    path = scratch_path(spark, "signals-before")
+    analysis.stored_signals(before, CFG).write.parquet(path)
+    kept = spark.read.parquet(path)
+    table.upsert(corrections(spark))
+    after = analysis.store_series(table, CFG)
+    got = analysis.refreshed_signals(after, before, kept, CFG)
+    want = analysis.signals(table.read(), CFG)
+    assert rows(got) == rows(want) and 0 < want.count() < 200
+    # Fewer tickers are eligible now: their pairs go, no window is computed.
+    fewer = StoredSeries(after.rows.where("ticker <> 'T1' AND ticker <> 'NEW'"), after.loosest)
+    left = analysis.refreshed_signals(fewer, after, spark.createDataFrame(want.collect(), want.schema), CFG)
+    assert rows(left) == rows(want.where("NOT 'T1' IN (stock_a, stock_b) AND NOT 'NEW' IN (stock_a, stock_b)"))
+
+
+def test_unchanged_block_pairs_are_not_formed(spark):
+    series = analysis.store_series(bar_table(spark, market(spark, 40)), CFG)
+    b = 8
+
+    def fanned(changed):
+        marked = series.select(CFG).withColumn("changed", F.col("ticker").isin(changed))
+        return stats._fan_out(marked, b, ["ticker", "changed"], stats.changed_blocks(marked, b)).collect()
+
+    some = fanned(["T7"])
+    home, = {r._ga for r in some if r.changed and r._ga == r._gb}
+    assert {home in (r._ga, r._gb) for r in some} == {True}
+    assert len(some) < 2 * 40 + 2 * b and fanned([]) == []
+    assert len({(r._ga, r._gb) for r in some}) <= b
+
+
+def tables(spark):
+    names = ("nb-meta", "nb-signals", "nb-series")
+    return bar_table(spark), *(VersionedTable(spark, scratch_path(spark, n)) for n in names)
+
+
+def test_nightly_job_over_summaries_and_series(spark, monkeypatch):
+    bars_t, meta_t, signals_t, series_t = tables(spark)
+    src = market(spark)
+    uni = spark.createDataFrame([(k, f"T{k}", "x") for k in range(15)] + [(15, "NONE", "x")],
+                                "pos long, ticker string, name string")
+    report = full_load_job(spark, bars_t, meta_t, src, uni, now=dt.datetime(2001, 7, 19))
+    assert {r.ticker: (r.n_rows, r.status) for r in report.collect()} == {
+        f"T{k}": (200, "added") for k in range(14)} | {t: (0, "not_added") for t in ("T14", "NONE")}
+    assert not scans(ran(report), "close")
+    first = analysis_job(spark, bars_t, meta_t, signals_t, series_t, CFG, uni, dt.datetime(2001, 7, 19))
+    assert rows(signals_t.read(first)) == rows(analysis.signals(bars_t.read(), CFG, uni))
+    formed = []
+    true_refreshed = analysis.refreshed_signals
+    monkeypatch.setattr(analysis, "refreshed_signals", lambda *a: formed.append(a) or true_refreshed(*a))
+    batch = src.where("ticker IN ('T3', 'T8')").withColumn("close", F.col("close") + 25.0 * F.rand(3))
+    batch = batch.cache()
+    second = nightly_job(spark, bars_t, meta_t, signals_t, batch, CFG, uni, now=dt.datetime(2001, 7, 20), series_table=series_t)
+    assert len(formed) == 1 and second == first + 1
+    want = rows(analysis.signals(bars_t.read(), CFG, uni))
+    assert rows(signals_t.read(second)) == want != rows(signals_t.read(first))
+    meta = {r.key: r.value for r in meta_t.read().collect()}
+    assert set(meta) == {"update", "analysis"} and ingest.last_update(meta_t.read()) == dt.date(2001, 7, 20)
+    # Other parameters: a full run. The same night again: the same rows.
+    other = CFG.with_(z_thresh=0.5)
+    assert rows(signals_t.read(analysis_job(spark, bars_t, meta_t, signals_t, series_t, other, uni))) == rows(
+        analysis.signals(bars_t.read(), other, uni))
+    assert len(formed) == 1
+    again = nightly_job(spark, bars_t, meta_t, signals_t, batch, CFG, uni, now=dt.datetime(2001, 7, 20), series_table=series_t)
+    assert rows(signals_t.read(again)) == want
