@@ -29,6 +29,7 @@ from pairsignals.operators.summaries import SummarizedBars
 from pairsignals.operators.pairs import block_count, pair_residuals, pairs_aligned_date, pairs_aligned_rank, pairs_all
 from pairsignals.plans import analysis, ingest
 from pairsignals.session import scratch_path
+from pairsignals.sources.bar_files import load_bar_files, with_reasons
 from pairsignals.sources.bars import bars_from_lineitem, bars_in_range
 from pairsignals.sources.tables import table
 from pairsignals.sources.universe import first_n, universe_from_supplier
@@ -44,6 +45,8 @@ WINDOW_OFFSET = STATS.with_(begin_day=10)
 SHARED = STATS.with_(spread="aligned", ndays=80, begin_day=5, min_mean_volume=26.0, crit_level="1%")
 # Suppliers whose newest bars are corrected between two analyses.
 CORRECTED_NATIONS = (3, 11)
+# Suppliers whose bar files are broken.
+BROKEN_NATION = 5
 RANGE_START, RANGE_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 FIRST_N = 7
 AS_OF = dt.datetime(2001, 6, 30)
@@ -423,6 +426,27 @@ def q_load_report(spark, sf):
     return ingest.load_report(ingest.load_bars(bars(spark, sf), listed), listed)
 
 
+def q_load_report_files(spark, sf):
+    """S4 + S5 from a file for each ticker. In the files of one nation's
+    suppliers, the last line has no number as its close."""
+    broken = table(spark, sf, "supplier").where(F.col("s_nationkey") == F.lit(BROKEN_NATION)).select(
+        F.col("s_suppkey").cast("string").alias("ticker"), F.lit(True).alias("_broken"))
+    b = bars(spark, sf)
+    last = b.groupBy("ticker").agg(F.max("date").alias("_last")).join(broken, "ticker", "left")
+    close = F.when(F.col("_broken") & (F.col("date") == F.col("_last")), F.lit("n/a")).otherwise(F.col("close").cast("string"))
+    lines = b.join(last, "ticker").select("ticker", "date", F.concat_ws(",", iso_date(F.col("date")), "open", "high", "low",
+                                                                      close, "volume").alias("line"))
+    root = scratch_path(spark, "ticker-files")
+    lines.repartition("ticker").sortWithinPartitions("ticker", "date").select("ticker", "line").write.partitionBy(
+        "ticker").text(root)
+    loaded, failures = load_bar_files(spark, root)
+    stored = SummarizedBars(spark, scratch_path(spark, "bars"), schemas.BARS)
+    stored.upsert(loaded)
+    listed = listed_universe(spark, sf)
+    counts = stored.profile().select("ticker", F.col("n_bars").alias("n_rows"))
+    return with_reasons(ingest.report_of_counts(counts, listed), failures)
+
+
 def q_full_load_counts(spark, sf):
     loaded = ingest.load_bars(bars(spark, sf), universe(spark, sf))
     return ingest.load_counts(loaded).select("ticker", F.col("n_rows").cast("long").alias("n_rows"))
@@ -506,7 +530,18 @@ def q_signals_refreshed(spark, sf):
     return report(analysis.refreshed_signals(analysis.store_series(stored, STATS), before, signals, STATS))
 
 
+def q_windows_stream(spark, sf):
+    """W2 by a stream with state: the newest bars of every ticker after the
+    initial load and, from the checkpoint, the refresh."""
+    from pairsignals.streaming.windows import run_windows_stream
+    src, initial, meta = _initial_and_refresh(spark, sf)
+    batch = ingest.refresh_batch(src, meta, universe(spark, sf), OVERLAP_DAYS)
+    w = run_windows_stream(spark, [initial, _corrected(batch)], STATS.trim)
+    return report(w.select("ticker", F.col("rk").cast("long").alias("rk"), "date", "close", "volume"))
+
+
 QUERIES: dict[str, Query] = {
+    "windows_stream": q_windows_stream,
     "stored_profile": q_stored_profile,
     "stored_window": q_stored_window,
     "stored_series_signals": q_stored_series_signals,
@@ -560,6 +595,7 @@ QUERIES: dict[str, Query] = {
     "bars_load_one_ticker": q_bars_load_one_ticker,
     "load_report": q_load_report,
     "load_report_whole": q_load_report,
+    "load_report_files": q_load_report_files,
     "full_load_counts": q_full_load_counts,
     "full_load_counts_whole": q_full_load_counts,
     "watermark_write": q_watermark_write,

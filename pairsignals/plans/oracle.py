@@ -262,6 +262,13 @@ def build() -> dict[str, str]:
                               "UNION ALL SELECT n_name FROM nation) u "
                               "LEFT JOIN (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker) c "
                               "ON u.ticker = c.ticker")
+    broken = f"u.ticker IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey = {C.BROKEN_NATION})"
+    q["load_report_files"] = (
+        "SELECT ticker, CASE WHEN bad THEN 0 ELSE n_rows END AS n_rows, "
+        "CASE WHEN bad THEN 'not_added' ELSE status END AS status, "
+        "CASE WHEN bad THEN 'line ' || n_rows || ': close is not a number: ' || chr(39) || 'n/a' || chr(39) "
+        "WHEN status = 'not_added' THEN 'no file' END AS reason "
+        f"FROM (SELECT u.*, n_rows > 0 AND {broken} AS bad FROM ({q['load_report']}) u)")
     q["series_scan"] = q["series_scan_whole"] = (plain + "SELECT ticker, " + r6("close", "close") + ", " + r6("volume", "volume")
                               + f", date FROM bars WHERE ticker IN {UNIVERSE}")
     q["full_load_counts"] = q["full_load_counts_whole"] = (plain + f"SELECT ticker, count(*) AS n_rows FROM bars WHERE ticker IN {UNIVERSE} "
@@ -280,6 +287,9 @@ def build() -> dict[str, str]:
     in_store = f"bars AS ({raised.replace('FROM bars', 'FROM bars_raw')} WHERE ticker IN {UNIVERSE})"
     whole = "bars AS (SELECT * FROM bars_raw)"
     q["stored_profile"] = q["series_profile"].replace("FROM bars GROUP", f"FROM bars WHERE ticker IN {UNIVERSE} GROUP")
+    q["windows_stream"] = (plain + "SELECT ticker, rk, date, " + r6("close", "close") + ", " + r6("volume", "volume")
+                           + f" FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rk "
+                             f"FROM ({raised}) WHERE ticker IN {UNIVERSE}) WHERE rk <= {S.trim}")
     q["stored_window"] = q["analysis_window"].replace(whole, in_store)
     q["stored_series_signals"] = " UNION ALL ".join(
         f"SELECT *, '{name}' AS analysis FROM ({pipeline(c).replace(whole, in_store)} SELECT {SIGNAL_SELECT} "

@@ -1,0 +1,67 @@
+"""Bar files of which some are broken."""
+
+import datetime as dt
+import gzip
+import math
+
+import pytest
+
+from pairsignals.plans import ingest
+from pairsignals.session import scratch_path
+from pairsignals.sources.bar_files import BadFile, load_bar_files, parse, with_reasons
+
+HEADER = "date,open,high,low,close,volume\n"
+ROW = "2001-02-03,1,2,0.5,1.5,100\n"
+
+
+@pytest.mark.parametrize("path, content, reason", [
+    ("a.csv", b"", "no rows"),
+    ("a.csv", HEADER.encode(), "no rows"),
+    ("a.csv", (HEADER + ROW + "2001-02-04,1,2,n/a,1.5,100\n").encode(), "line 3: low is not a number: 'n/a'"),
+    ("a.csv", (ROW + "2001-02-30,1,2,3,1.5,100\n").encode(), "line 2: date is not a date: '2001-02-30'"),
+    ("a.csv", (ROW + ",1,2,3,1.5,100\n").encode(), "line 2: date is not a date: ''"),
+    ("a.csv", (ROW + "NaN,1,2,3,1.5,100\n").encode(), "line 2: date is not a date: 'NaN'"),
+    ("a.csv", b"<html><body>Not found</body></html>", "line 1: 1 fields instead of 6"),
+    ("a.csv", (ROW + ROW[:20]).encode(), "line 2: 5 fields instead of 6"),
+    ("a.csv", b"\xff\xfe\x00", "unreadable: UnicodeDecodeError"),
+    ("a.csv.gz", gzip.compress(ROW.encode() * 99)[:40], "unreadable: EOFError"),
+    ("a.csv.gz", ROW.encode(), "unreadable: BadGzipFile"),
+])
+def test_a_broken_file_has_a_reason(path, content, reason):
+    with pytest.raises(BadFile) as error:
+        parse(path, content)
+    assert str(error.value) == reason
+
+
+def test_a_missing_number_is_null_and_nan_is_nan():
+    rows = parse("a.csv.gz", gzip.compress((HEADER + "2001-02-03,1,,0.5,NaN, 100\n").encode())).to_dict("records")
+    assert rows[0]["date"] == dt.date(2001, 2, 3) and rows[0]["high"] is None and math.isnan(rows[0]["close"])
+    assert rows[0]["volume"] == 100.0
+
+
+def put(spark, root, ticker, name, content):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ticker={ticker}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(content))
+    out.close()
+
+
+def test_broken_files_are_reported_and_the_rest_loads(spark):
+    root = scratch_path(spark, "files")
+    put(spark, root, "A", "a.csv", (HEADER + ROW).encode())
+    put(spark, root, "A", "b.csv.gz", gzip.compress(b"2001-02-04,1,2,0.5,,\n"))
+    put(spark, root, "B", "a.csv", ROW.encode())
+    put(spark, root, "B", "b.csv", b"oops")
+    put(spark, root, "C%2FD", "a.csv", ROW.encode())
+    put(spark, root, "E", "a.csv", b"")  # Spark reads no empty files: as if there were none
+    put(spark, root, "H", "a.csv", HEADER.encode())
+    bars, failures = load_bar_files(spark, root)
+    assert sorted((r.ticker, str(r.date), r.close, r.volume) for r in bars.collect()) == [
+        ("A", "2001-02-03", 1.5, 100.0), ("A", "2001-02-04", None, None), ("C/D", "2001-02-03", 1.5, 100.0)]
+    assert {r.ticker: r.reason for r in failures.collect()} == {"B": "line 1: 1 fields instead of 6", "H": "no rows"}
+    uni = spark.createDataFrame([(i, t, t) for i, t in enumerate(["A", "B", "C/D", "E", "F", "H"])],
+                                "pos long, ticker string, name string")
+    report = with_reasons(ingest.load_report(bars, uni), failures)
+    assert {r.ticker: (r.n_rows, r.status, r.reason) for r in report.collect()} == {
+        "A": (2, "added", None), "B": (0, "not_added", "line 1: 1 fields instead of 6"), "C/D": (1, "added", None),
+        "E": (0, "not_added", "no file"), "H": (0, "not_added", "no rows"), "F": (0, "not_added", "no file")}
