@@ -35,7 +35,8 @@ class Store:
         root = root.rstrip("/")
         self.bars = SummarizedBars(spark, f"{root}/bars", BARS)
         self.meta = VersionedTable(spark, f"{root}/meta")
-        self.signals = VersionedTable(spark, f"{root}/signals", sort_by=("stock_a", "date"))
+        self.signals = VersionedTable(spark, f"{root}/signals", sort_by=("stock_a", "date"),
+                                      bloom=("stock_a", "stock_b"))
         self.series = VersionedTable(spark, f"{root}/series", sort_by=("blk", "ticker"))
 
 

@@ -141,6 +141,16 @@ def kv_truncate(table: VersionedTable) -> int:
 # versioned table folders
 # --------------------------------------------------------------------------
 
+def bloom_options(columns: tuple[str, ...]) -> dict[str, str]:
+    """Parquet writer options for a Bloom filter on each of ``columns``: a
+    search for one value skips the row groups that do not hold it, in
+    whatever order the rows lie. Sized by the distinct values of a row group."""
+    out = {}
+    for c in columns:
+        out |= {f"parquet.bloom.filter.enabled#{c}": "true", f"parquet.bloom.filter.adaptive.enabled#{c}": "true"}
+    return out
+
+
 class VersionedTable:
     """A table folder with numbered versions ``v000001``, ``v000002``...
 
@@ -150,8 +160,10 @@ class VersionedTable:
     For tables that are replaced as a whole.
     """
 
-    def __init__(self, spark: SparkSession, root: str, sort_by: tuple[str, ...] = (), keep: int = 3):
+    def __init__(self, spark: SparkSession, root: str, sort_by: tuple[str, ...] = (), keep: int = 3,
+                 bloom: tuple[str, ...] = ()):
         self.spark = spark
+        self.options = bloom_options(bloom)
         self.root = root.rstrip("/")
         self.sort_by = tuple(sort_by)
         self.keep = keep  # complete versions that stay; readers of an older one must be done
@@ -200,7 +212,7 @@ class VersionedTable:
         with the partial folder it left. Versions beyond ``keep`` go."""
         nxt = max(self._version_folders(), default=0) + 1
         out = df.sortWithinPartitions(*self.sort_by) if self.sort_by else df
-        out.write.mode("errorifexists").parquet(self.path(nxt))
+        out.write.mode("errorifexists").options(**self.options).parquet(self.path(nxt))
         fs, jvm = self._fs()
         for old in self.versions()[:-self.keep]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(self.path(old)), True)
@@ -226,8 +238,8 @@ class PartitionedTable:
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: tuple[str, ...] = ("ticker", "date"),
-                 sort_by: tuple[str, ...] = ("ticker",)):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+                 sort_by: tuple[str, ...] = ("ticker",), bloom: tuple[str, ...] = ("ticker",)):
+        self.spark, self.root, self.schema, self.bloom = spark, root.rstrip("/"), schema, bloom
         self.keys, self.sort_by = list(keys), tuple(sort_by)
 
     PARTS = ("year", "month")
@@ -295,4 +307,5 @@ class PartitionedTable:
     def _write(self, rows: DataFrame) -> None:
         # Rebalanced by month: few files for a month, yet a large month is split.
         (rows.hint("rebalance", *self.PARTS).sortWithinPartitions(*self.PARTS, *self.sort_by).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*self.PARTS).parquet(f"{self.root}/rows"))
+         .option("partitionOverwriteMode", "dynamic").options(**bloom_options(self.bloom)).partitionBy(*self.PARTS)
+         .parquet(f"{self.root}/rows"))

@@ -18,7 +18,7 @@ from pairsignals.operators.pairs import block_count
 from pairsignals.operators.series import analysis_window
 from pairsignals.operators.stats import (date_aligned_unordered, date_block_stats, date_moment_stats,
                                          rank_aligned_unordered, stored_wide_series, two_pass_stats,
-                                         wide_pair_stats, wide_stats)
+                                         wide_pair_stats, wide_stats, ZBound)
 from pairsignals.operators.stored import StoredSeries, changed_tickers
 from pairsignals.operators.summaries import SummarizedBars
 from pairsignals.sources.universe import first_n
@@ -106,8 +106,16 @@ def stored_verdicts(series: StoredSeries, cfg: AnalysisConfig, keep: PairFilter
     from stored series."""
     if cfg.align == "date":
         return sig.verdicts(pair_statistics(series.window(cfg), cfg), cfg)
-    wide = stored_wide_series(series.select(cfg), cfg.window)
-    return sig.verdicts(wide_pair_stats(wide, cfg.window, block_count(wide.sparkSession, cfg), cfg.forward, keep), cfg)
+    return sig.verdicts(_stored_statistics(series.select(cfg), cfg, keep), cfg)
+
+
+def _stored_statistics(rows: DataFrame, cfg: AnalysisConfig, keep: PairFilter | None) -> DataFrame:
+    """Rank statistics of stored rows. Where only tradeable pairs are asked
+    for (``keep``), block pairs that hold none by their z are left out."""
+    n, b = cfg.window, block_count(rows.sparkSession, cfg)
+    wide = stored_wide_series(rows, n)
+    bound = ZBound(wide, n, b, cfg.z_thresh) if keep is not None and cfg.spread == "cross" else None
+    return wide_pair_stats(wide, n, b, cfg.forward, keep, bound)
 
 
 def stored_tradeable(series: StoredSeries, cfg: AnalysisConfig) -> DataFrame:
@@ -134,9 +142,7 @@ def refreshed_signals(series: StoredSeries, before: StoredSeries, signals_before
         signals_before = signals_before.join(gone.select(F.col("ticker").alias(side)), side, "left_anti")
     marked = now.join(new.withColumn("changed", F.lit(True)), "ticker", "left").withColumn(
         "changed", F.coalesce("changed", F.lit(False)))
-    wide = stored_wide_series(marked, cfg.window)
-    stats = wide_pair_stats(wide, cfg.window, block_count(wide.sparkSession, cfg), cfg.forward, pair_filter(cfg))
-    made = sig.signal_rows(sig.tradeable(sig.verdicts(stats, cfg)))
+    made = sig.signal_rows(sig.tradeable(sig.verdicts(_stored_statistics(marked, cfg, pair_filter(cfg)), cfg)))
     return signals_before.select(*made.columns).unionByName(made)
 
 

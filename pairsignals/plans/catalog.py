@@ -301,6 +301,14 @@ def q_kv_get(spark, sf):
     return out.select("key", F.col("value.k").alias("k"))
 
 
+def q_kv_get_stored(spark, sf):
+    """S11 on a written bucket: its Bloom filter on the key skips row groups."""
+    tbl = store.VersionedTable(spark, scratch_path(spark, "bucket"), bloom=("key",))
+    tbl.write(bucket(spark, sf))
+    out = store.kv_get(tbl.read(), ONE_KEY, T.StructType([T.StructField("k", T.LongType())]))
+    return out.select("key", F.col("value.k").alias("k"))
+
+
 def q_kv_upsert(spark, sf):
     """S10 applied as a log: each event puts its props under its user id, in
     time order (ties by event id); the last put of each user wins."""
@@ -582,6 +590,7 @@ QUERIES: dict[str, Query] = {
     "signals_search": q_signals_search,
     "kv_scan_all": q_kv_scan_all,
     "kv_get": q_kv_get,
+    "kv_get_stored": q_kv_get_stored,
     "kv_upsert": q_kv_upsert,
     "kv_delete": q_kv_delete,
     "kv_delete_confirm": q_kv_delete_confirm,

@@ -225,7 +225,7 @@ def build() -> dict[str, str]:
     q["signals_search"] = (f"SELECT * FROM ({q['signals_table']}) WHERE stock_a = '{C.SEARCH_STOCK}' "
                            f"AND year = {C.SEARCH_SIGNAL_YEAR}")
     q["kv_scan_all"] = "SELECT CAST(event_id AS VARCHAR) AS key, props AS value FROM events"
-    q["kv_get"] = (f"SELECT CAST(event_id AS VARCHAR) AS key, CAST(props->>'k' AS BIGINT) AS k FROM events "
+    q["kv_get"] = q["kv_get_stored"] = (f"SELECT CAST(event_id AS VARCHAR) AS key, CAST(props->>'k' AS BIGINT) AS k FROM events "
                    f"WHERE CAST(event_id AS VARCHAR) = '{C.ONE_KEY}'")
     q["kv_upsert"] = ("SELECT CAST(user_id AS VARCHAR) AS key, "
                       "arg_max(props, struct_pack(t := ts, e := event_id)) AS value FROM events GROUP BY user_id")

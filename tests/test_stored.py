@@ -223,3 +223,26 @@ def test_nightly_job_over_summaries_and_series(spark, monkeypatch):
     assert len(formed) == 1
     again = nightly_job(spark, bars_t, meta_t, signals_t, batch, CFG, uni, now=dt.datetime(2001, 7, 20), series_table=series_t)
     assert rows(signals_t.read(again)) == want
+
+
+@pytest.mark.parametrize("z", [0.0, 2.0])
+def test_block_pairs_without_a_tradeable_pair_are_skipped(spark, z):
+    rng = np.random.default_rng(4)
+    jumps = {f"J{k}": [*random_series(rng, 199), 1000.0 + 12.0 * k] for k in range(8)}
+    quiet = {f"Q{k}": [*random_series(rng, 199), 1000.0] for k in range(24)}
+    table = bar_table(spark, make_bars(spark, jumps | quiet | {"K": [5.0] * 200, "L": [7.0] * 200,
+                                                               "N": [1.0] * 150 + [float("nan")] + [2.0] * 49}))
+    cfg = CFG.with_(z_thresh=z, pair_blocks=6)
+    with analysis.store_series(table, cfg) as series:
+        want = rows(analysis.signals(table.read(), cfg))
+        assert rows(analysis.stored_signals(series, cfg)) == want and want
+        wide = stats.stored_wide_series(series.select(cfg), cfg.window)
+        bound = stats.ZBound(wide, cfg.window, 6, z)
+        sent = {(r._ga, r._gb) for r in stats._fan_out(wide, 6, ["ticker"], bound=bound).collect()}
+        assert len(sent) <= 21 - bound.skipped()
+        assert bound.skipped() >= (6 if z >= 2 else 0)
+        everything = analysis.stored_verdicts(series, cfg).collect()
+        u = {r.ticker: r.u for r in wide.select("ticker", bound.u.alias("u")).collect()}
+        for r in everything:
+            if r.z_score is not None and not np.isnan(r.z_score):
+                assert r.z_score ** 2 <= (u[r.stock_a] + u[r.stock_b]) * (1 + 1e-9) + 1e-12
