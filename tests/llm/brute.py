@@ -3,6 +3,7 @@
 import base64
 import bisect
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -116,6 +117,65 @@ def op7(docs):
     return out
 
 
+def kinds(text):
+    """Characters by class, in the order of the quality rules."""
+    out = [0] * 9
+    for c in text:
+        out[8 if ord(c) > 127 else 4 if c == "\n" else 3 if c in " \t\r\v\f" else 2 if c in "0123456789"
+            else 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 5 if c in ".,;:!?'\"()-"
+            else 6 if c in "#*$%&|<>@/\\=+_~^{}[]`" else 7] += 1
+    return out
+
+
+def divergence(p, q):
+    """Jensen-Shannon distance of two histograms; None if one is empty."""
+    if not sum(p) or not sum(q):
+        return None
+    total = 0.0
+    for a, b in zip((x / sum(p) for x in p), (x / sum(q) for x in q)):
+        total += (a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0)
+    return max(0.0, total / 2) ** 0.5
+
+
+def op7_kept(docs, references, common, max_class, max_word, min_chars, min_words):
+    """The quality verdict of (key, text, lang): fixed references, a word
+    distance that may be larger the shorter the text is."""
+    out = []
+    for row, (_, text, lang) in zip(op7([(k, t) for k, t, _ in docs]), docs):
+        words = [w.translate(UPPER) for w in PLAIN.findall(text or "")]
+        tally, classes = Counter(words), kinds(text or "")
+        commons = [tally[w] for w in common]
+        commons.append(len(words) - sum(commons))
+        if lang in references:
+            of_class, of_word = divergence(classes, references[lang][0]), divergence(commons, references[lang][1])
+        else:
+            letters = [(c[0] + c[1] + c[8], *c[2:8]) for c, _ in references.values()]
+            own = (classes[0] + classes[1] + classes[8], *classes[2:8])
+            of_class = min((divergence(own, r) for r in letters), key=lambda x: (x is None, x))
+            of_word = None
+            if lang is None and words:
+                of_word = min(divergence(commons, r) for _, r in references.values())
+        allowed = max_word + max(0.0, max(len(words), 1) ** -0.5 - min_words ** -0.5)
+        odd = row[2] >= min_chars and of_class is not None and of_class > max_class
+        odd |= of_word is not None and of_word > allowed
+        out.append(not row[6] and not odd)
+    return out
+
+
+def ranks(links, seeds, damping=0.85, rounds=400):
+    """Personalised PageRank over (source, target, links), from seeds that sum to 1."""
+    left = Counter()
+    for a, _, n in links:
+        left[a] += n
+    now = {h: (1 - damping) * x for h, x in seeds.items()}
+    for _ in range(rounds):
+        after = Counter({h: (1 - damping) * x for h, x in seeds.items()})
+        for a, b, n in links:
+            after[b] += damping * now.get(a, 0.0) * n / left[a]
+        now = after
+    return now
+
+
 def op8(pages, rules):
     out = []
     for page, url in pages:

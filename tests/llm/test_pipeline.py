@@ -2,50 +2,15 @@
 
 import brute
 import corpus_pipeline
-import numpy as np
 import pyarrow.parquet as pq
 from corpus_tables import tables  # noqa: F401
 
 from pairsignals.llm import quality
 
 
-def histograms(text):
-    raw = text.encode()
-    words = [w.encode().lower().decode() for w in brute.PLAIN.findall(text)]
-    classes = np.zeros(9)
-    for ch in text:
-        b = ch.encode()
-        classes[quality._KIND[b[0]]] += 1
-    assert classes.sum() == len(text) and raw.decode() == text
-    commons = np.array([*(words.count(w) for w in quality.WORDS), 0.0])
-    commons[-1] = len(words) - commons.sum()
-    return classes, commons
-
-
-def divergence(p, q):
-    if not p.sum() or not q.sum():
-        return None
-    p, q = p / p.sum(), q / q.sum()
-    m = (p + q) / 2
-    with np.errstate(all="ignore"):
-        parts = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return max(0.0, parts.sum() / 2) ** 0.5
-
-
 def verdicts(docs):
-    found = [histograms(t or "") for _, t, _ in docs]
-    refs = {}
-    for (_, _, lang), (a, b) in zip(docs, found):
-        x, y = refs.get(lang, (0, 0))
-        refs[lang] = (x + a, y + b)
-    base = brute.op7([(k, t) for k, t, _ in docs])
-    out = []
-    for row, (_, text, lang), (a, b) in zip(base, docs, found):
-        da, db = divergence(a, refs[lang][0]), divergence(b, refs[lang][1])
-        odd = row[2] >= quality.MIN_CHARS and da is not None and da > quality.MAX_CLASS_DISTANCE
-        odd |= row[1] >= quality.MIN_WORDS and db is not None and db > quality.MAX_WORD_DISTANCE
-        out.append(not row[6] and not odd)
-    return out
+    return brute.op7_kept(docs, quality.REFERENCES, quality.WORDS, quality.MAX_CLASS_DISTANCE, quality.MAX_WORD_DISTANCE,
+                          quality.MIN_CHARS, quality.MIN_WORDS)
 
 
 def order(key):
