@@ -118,8 +118,8 @@ def blocks(page: str) -> list[tuple]:
     return out
 
 
-def features(found: list[tuple]) -> np.ndarray:
-    """One row of ``FEATURES`` for each block."""
+def features(found: list[tuple], without: tuple[str, ...] = ()) -> np.ndarray:
+    """One row of ``FEATURES`` for each block; those in ``without`` are zero."""
     if not found:
         return np.empty((0, len(FEATURES)))
     own = np.array([b[1:3] for b in found], float)
@@ -127,14 +127,14 @@ def features(found: list[tuple]) -> np.ndarray:
     before, behind = np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge])
     around = np.array([b[3:7] for b in found], float)
     sentence = np.array([[b[0][-1] in ".!?…:;\"”»"] for b in found], float)
-    return np.hstack([around, own[:, ::-1], before, behind, sentence])
+    return np.hstack([around, own[:, ::-1], before, behind, sentence]) * [name not in without for name in FEATURES]
 
 
 class Tree:
     """A binary decision tree by Gini impurity (CART), grown until leaves are
     pure, ``depth`` is reached, or no split is left."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
         self.nodes: list[tuple] = []  # feature, threshold, left, right, answer
         self._grow(x, y, depth)
 
@@ -175,8 +175,21 @@ _LONG = "The river rose for three days before the bridge was closed and people b
 _SHORT = "Nobody was hurt."
 _LINKS = '<a href="/a">Home</a> <a href="/b">World news</a> <a href="/c">Sport</a>'
 
+_ITEM = '<a href="/n">News</a>'
+_STORY = '<a href="/s">Ten bridges that you should know and why they still matter</a>'
+_AD = "Buy two pairs of boots and get the third one free today only."
+_TITLE = "Flood in the valley"
+
+
+def _flat(*parts: tuple) -> str:
+    """A labelled page of plain elements, without names: (mark, text) or (mark, text, tag) of each block."""
+    return "<div>" + "".join(f"<{tag} data-main={mark}>{text}</{tag}>" for mark, text, tag in (
+        (*part, "p")[:3] for part in parts)) + "</div>"
+
+
 #: The labelled table: pages whose blocks are marked by the attribute ``data-main`` of the tag that opens them:
-#: 1 is text of the article, 0 is not.
+#: 1 is text of the article, 0 is not. The first ones have elements and names that tell; in the flat ones (no
+#: article, no names) a block is told by its words and links and by those of its neighbours.
 LABELLED = (
     f'<nav><ul><li data-main=0><a href="/">Home</a><li data-main=0><a href="/x">Sport and more</a></ul></nav>'
     f'<article><h1 data-main=1>Flood in the valley</h1><p data-main=1>{_LONG}<p data-main=1>{_SHORT}'
@@ -203,26 +216,57 @@ LABELLED = (
     f'<nav data-main=0>{_SHORT}</nav></article><div id="comments"><p data-main=0>{_LONG} {_LONG}</p><p data-main=0>{_SHORT}</p></div>',
     f'<div><p data-main=1>{_LONG}</p><p data-main=1>{_LONG} {_LONG}</p></div><footer><p data-main=0>{_LONG}</p></footer>'
     f'<div class="comments"><p data-main=0>{_LONG} {_LONG}</p><p data-main=0>{_LONG}</p></div><aside data-main=0>{_LONG}</aside>',
+    _flat((0, _ITEM), (0, _ITEM), (0, _AD), (1, _TITLE, "h1"), (1, _LONG), (1, "Yes."), (1, _SHORT), (1, _LONG),
+          (1, f"{_LONG} {_LONG}"), (0, _ITEM), (0, _ITEM), (0, "&copy; The Valley Post")),
+    _flat((0, _LINKS), (1, _TITLE, "h2"), (1, _LONG), (1, '<a href="/m">The map</a>'), (1, _LONG), (1, _SHORT), (1, "Yes."),
+          (1, _LONG), (0, _LINKS), (0, "Contact us"), (0, _LINKS)),
+    _flat((0, "News since the year of the great flood."), (0, _ITEM), (0, _ITEM), (1, _LONG), (1, _LONG),
+          (1, f"{_LONG} {_ITEM}"), (1, _SHORT), (1, f"{_LONG} {_LONG}"), (0, _LINKS), (0, _LINKS)),
+    _flat((0, _ITEM), (0, _AD), (0, _ITEM), (1, _TITLE, "h1"), (1, _SHORT), (1, _SHORT), (1, "Yes."), (1, _LONG), (1, _SHORT)),
+    _flat((1, _TITLE, "h1"), (1, _LONG), (1, _SHORT), (1, _LONG), (0, "Most read this week", "h3"), (0, _STORY), (0, _STORY)),
+    _flat((0, _ITEM), (0, _ITEM), (0, "Boots are cheap today."), (1, f"{_LONG} {_LONG}"), (1, "Yes."), (1, "No."), (1, _LONG),
+          (0, _LINKS)),
+    _flat((0, _STORY), (0, _STORY), (1, _TITLE, "h1"), (1, "Yes."), (1, _LONG), (1, _LONG), (0, _STORY), (0, _STORY),
+          (0, "Read more"), (0, _STORY)),
+    _flat((0, _ITEM), (0, _ITEM), (0, _AD), (1, _TITLE, "h1"), (1, "A word"), (1, _LONG), (1, "So it is"), (1, "Of"),
+          (1, _LONG), (0, _ITEM)) + f'<footer data-main=0>&copy; The Valley Post. All rights reserved.</footer>',
+    # Lists of links and short lines belong to the article where they stand inside its element.
+    f'<nav><p data-main=0>{_ITEM}</p></nav><article><p data-main=1>Yes.</p><ul><li data-main=1>{_ITEM}<li data-main=1>{_ITEM}'
+    f'<li data-main=1>{_STORY}</ul><p data-main=1>{_SHORT}</p><ul><li data-main=1>{_STORY}<li data-main=1>{_ITEM}</ul></article>'
+    f'<p data-main=0>{_ITEM}</p>',
+    f'<main><p data-main=1>{_STORY}</p><p data-main=1>{_ITEM}</p><p data-main=1>No.</p><p data-main=1>{_LINKS}</p><p data-main=1>'
+    f'{_SHORT}</p><p data-main=1>{_ITEM}</p><p data-main=1>{_SHORT} {_SHORT}</p><p data-main=1>{_STORY}</p></main>',
+    f'<article><h1 data-main=1>{_TITLE}</h1><p data-main=1>{_LONG}<p data-main=1>Here they are<ul><li data-main=1>{_ITEM}</ul>'
+    f'<p data-main=1>{_SHORT}<p data-main=1>{_STORY}<nav><p data-main=0>{_ITEM}<p data-main=0>{_STORY}</nav><p data-main=1>{_LONG}'
+    f'<aside><p data-main=0>{_LINKS}<p data-main=0>{_LONG}</aside><h2 data-main=1>After it</h2><ul><li data-main=1>{_LINKS}</ul>'
+    f'<form><p data-main=0>{_LINKS}</form></article>',
+    f'<article><h1 data-main=1>{_TITLE}</h1><p data-main=1>{_ITEM}</p><p data-main=1>{_LONG}</p></article>',
+    f'<main><p data-main=1>Yes.</p><p data-main=1>{_STORY}</p></main>',
+    f'<article><p data-main=1>So it is</p><ul><li data-main=1>{_ITEM}</ul></article><p data-main=0>{_LINKS}</p>',
 )
 
 
-@lru_cache(maxsize=1)
-def tree() -> Tree:
+@lru_cache(maxsize=2)
+def tree(without: tuple[str, ...] = ()) -> Tree:
+    """The tree of the labelled table. Features in ``without`` are not looked at, nor are the blocks that they mark:
+    comments in a plain element, say, are told by its name only."""
     x, y = [], []
     for page in LABELLED:
         marks = [int(v) for v in re.findall(r"data-main=(\d)", page)]
         found = blocks(page)
         if len(found) != len(marks):
             raise ValueError("each labelled block needs one mark")
-        x.append(features(found))
-        y += marks
+        told = [FEATURES.index(name) for name in without]
+        plain = ~(features(found)[:, told] == 1).any(axis=1)
+        x.append(features(found, without)[plain])
+        y += np.array(marks)[plain].tolist()
     return Tree(np.vstack(x), np.array(y, float))
 
 
-def main_text(page: bytes) -> str:
+def main_text(page: bytes, without: tuple[str, ...] = ()) -> str:
     """The article's blocks in page order, joined by line ends."""
     found = blocks(page.decode("utf-8", "replace"))
-    return "\n".join(b[0] for b, keep in zip(found, tree().predict(features(found))) if keep)
+    return "\n".join(b[0] for b, keep in zip(found, tree(without).predict(features(found, without))) if keep)
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
