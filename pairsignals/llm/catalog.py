@@ -29,6 +29,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontaminate_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontaminate, op2_license_scan, op3_simhash, op4_html_text, op5_token_files, op6_line_dedup,
         op7_quality_rules, op8_url_filter, op9_byte_bpe, op10_suffix_dedup, op11_merkle_manifest, op12_minhash,
-        op13_token_align)}
+        op13_token_align, decontaminate_proximity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op6_line_dedup": line_dedup.SQL}

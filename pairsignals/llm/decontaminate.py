@@ -2,18 +2,19 @@
 
 A test item is cut into windows of ``window`` consecutive words (a shorter one
 is a single window). Corpus occurrences of every test term are counted, and
-each window is looked up by its rarest term: the index stores that term's
-postings (document, position), each with the terms around it, so the lists of
-the window's other terms are intersected at their adjusted offsets, rarest
-first, by looking into the posting instead of shipping the long lists of
-frequent terms. What is left is an exact phrase match, or for ``proximity`` a
-place where all terms of the window lie within a span of words.
+each window's terms are ordered from the rarest one. The index stores postings
+(document, term, position). The list of a window's rarest term, shifted by its
+offset, gives possible starts; they are intersected with the shifted list of the
+next one, and those left with the lists of all other terms, which are stored for
+the documents that hold them. What is left is an exact phrase match. For
+``proximity`` the lists meet within a span of words instead.
 
 Everything is built-in DataFrame functions. Tables made from test items grow
 with the benchmark only; they are broadcast up to ``BROADCAST_ROWS`` rows
-(counted first), and joined by shuffle beyond that. A window that a third of
-all documents hold costs each of these documents its own rows, which meet
-again only by document.
+(counted first), and joined by shuffle beyond that. Lists meet on document, term
+and place together, so neither a frequent term nor a very long document is one
+key. A window that a third of all documents hold costs each of these documents
+its own rows, which meet again only by document.
 
 A NULL or empty text has no words; an item without words no window. Rows that
 repeat a document (same key and text) count as one; each gets the result. Items that share an id
@@ -45,8 +46,8 @@ def test_windows(items: DataFrame, key: str = "item_id", text: str = "text", win
 
 
 def rarest_first(grams: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Windows that can occur: ``gram``, its rarest ``term``, that term's ``offset`` and, rarest first,
-    the ``order`` in which offsets are compared. It is written once: counting needs the whole corpus."""
+    """Windows that can occur: ``id``, ``gram`` and ``order``, its terms with their offsets, rarest first. It is written
+    once: counting needs the whole corpus."""
     terms = grams.select(F.explode("gram").alias("term")).distinct()
     # The outer form of explode: for the other one Spark adds a filter that cuts the text into words once more.
     seen = docs.select(F.explode_outer(words_of(F.col(text))).alias("term")).join(small(terms), "term").groupBy("term").agg(
@@ -56,52 +57,102 @@ def rarest_first(grams: DataFrame, docs: DataFrame, text: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
     # A window with a term that the corpus lacks has fewer entries than words, and is left out.
     return written(found.where(F.size("by") == F.size("gram")).select(
-        "gram", F.expr("by[0].term").alias("term"), F.expr("by[0].offset").alias("offset"),
-        F.expr("by.offset").alias("order")), "windows")
+        F.monotonically_increasing_id().alias("id"), "gram",
+        F.transform("by", lambda b: F.struct(b["term"].alias("term"), b["offset"].alias("offset"))).alias("order")), "windows")
 
 
 #: The term of a posting that stands for a whole document; its position is the number of words. No word is empty.
 DOCUMENT = ""
 
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index of the given ``term``s: ``key``, ``mark`` (hash of the text), ``term``, ``at`` (word number from 0)
-    and ``near``, the terms from ``reach`` before to ``reach`` behind (fewer before the first ones); and a row of term
-    ``DOCUMENT`` for each document. It is stored in the shared folder."""
-    terms = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term")))
-    words = docs.select(F.col(key).alias("key"), mark_of(F.col(text)).alias("mark"),
-                        F.array_append(words_of(F.col(text)), F.lit(DOCUMENT)).alias("words"))
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    found = words.select("key", "mark", "words", F.posexplode_outer("words").alias("at", "term")).join(small(terms), "term")
-    return written(found.select("key", "mark", "term", "at", F.when(F.col("term") != DOCUMENT, F.slice(
-        "words", first + 1, F.col("at") - first + reach + 1)).alias("near")), "postings")
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``mark`` (hash of the text) and ``text`` of each document."""
+    return docs.select(F.col(key).alias("key"), mark_of(F.col(text)).alias("mark"), F.col(text).alias("text"))
 
 
-def phrase_matches(index: DataFrame, wanted: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact occurrences: ``key``, ``mark``, ``start`` (word number), ``size`` (words) and ``item_id``."""
-    # The window's first word stands at "at - offset"; in "near" that is the place "own - offset".
-    own = F.least(F.col("at"), F.lit(window - 1))
-    agrees = F.forall("order", lambda o: F.get("near", own - F.col("offset") + o).eqNullSafe(F.get("gram", o)))
-    return index.join(small(wanted), "term").where(F.col("at") >= F.col("offset")).where(agrees).select(
-        "key", "mark", "gram", (F.col("at") - F.col("offset")).alias("start")).join(
-        small(windows), "gram").select("key", "mark", "start", F.size("gram").alias("size"), "item_id")
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The lists of the given ``term``s: ``key``, ``mark``, ``term`` and ``at`` (word number from 0), and a posting of
+    term ``DOCUMENT`` for each document. They are stored in the shared folder."""
+    terms = terms.select("term").union(texts.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))).distinct()
+    words = F.array_append(words_of(F.col("text")), F.lit(DOCUMENT))
+    return written(texts.select("key", "mark", F.posexplode_outer(words).alias("at", "term")).join(
+        small(terms), "term").select("key", "mark", "term", "at"), "postings")
 
 
-def searched(docs: DataFrame, windows: DataFrame, key: str, text: str, reach: int) -> tuple[DataFrame, DataFrame]:
-    """The index of the rarest term of each window, and the windows that can occur."""
+def terms_of(wanted: DataFrame, which: Column) -> DataFrame:
+    return wanted.select(F.explode(which).alias("term")).distinct()
+
+
+def standing(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``asked`` whose ``term`` has a posting ``at`` their place in their document."""
+    lists = index.select(*[F.col(c).alias("__" + c) for c in ("key", "mark", "term", "at")])
+    return asked.join(lists, F.expr("key <=> __key AND mark = __mark AND term = __term AND at = __at"), "left_semi")
+
+
+def in_documents(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts that hold any of ``found``."""
+    held = found.select(F.col("key").alias("__key"), F.col("mark").alias("__mark")).distinct()
+    return texts.join(small(held), F.expr("key <=> __key AND mark = __mark"), "left_semi")
+
+
+def phrase_matches(texts: DataFrame, index: DataFrame, wanted: DataFrame, windows: DataFrame) -> DataFrame:
+    """Exact occurrences: ``key``, ``mark``, ``start`` (word number), ``size`` (words) and ``item_id``. The list of a
+    window's rarest term gives its starts. They are intersected with the list of the next one, shifted by its offset;
+    then, in the documents where starts are left, with the lists of all others."""
+    first, second = F.get("order", F.lit(0)), F.coalesce(F.get("order", F.lit(1)), F.get("order", F.lit(0)))
+    rarest = wanted.select("id", first["term"].alias("term"), first["offset"].alias("offset"), second.alias("next"))
+    starts = index.join(small(rarest), "term").where("at >= offset").select(
+        "key", "mark", "id", (F.col("at") - F.col("offset")).alias("start"), F.col("next.term").alias("term"),
+        (F.col("at") - F.col("offset") + F.col("next.offset")).alias("at"))
+    two = written(standing(starts, index).select("key", "mark", "id", "start").distinct(), "starts")
+    lists = postings(in_documents(texts, two), terms_of(wanted, F.expr("slice(order.term, 3, size(order))")))
+    each = two.join(small(wanted.select("id", F.size("order").alias("size"), F.expr("slice(order, 3, size(order))").alias("others"))), "id")
+    asked = each.select("key", "mark", "id", "start", "size", F.explode("others").alias("of")).select(
+        "key", "mark", "id", "start", "size", "of.term", (F.col("start") + F.col("of.offset")).alias("at"))
+    names = ["key", "mark", "id", "start", "size"]
+    whole = standing(asked, lists).groupBy(*names).agg(F.count("*").alias("n")).where("n = size - 2").select(*names)
+    items = windows.join(small(wanted.select("id", "gram")), "gram").select("id", "item_id")
+    return whole.unionByName(each.where("size <= 2").select(*names)).join(small(items), "id").drop("id")
+
+
+def searched(docs: DataFrame, windows: DataFrame, key: str, text: str, terms: Column | str = "order.term",
+             ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts, the stored lists of the first two ``terms`` of each window, and the windows that can occur."""
     wanted = rarest_first(windows.select("gram").distinct(), docs, text)
-    return postings(docs, wanted.select("term").distinct(), reach, key, text), wanted
+    texts = keyed(docs, key, text)
+    return texts, postings(texts, terms_of(wanted, F.slice(terms, 1, 2))), wanted
 
 
 def proximity_matches(docs: DataFrame, windows: DataFrame, span: int, key: str = "doc_id", text: str = "text",
                       ) -> DataFrame:
     """Places where all words of a window stand, in any order, among ``span`` consecutive words, one of which is an
-    occurrence of its rarest word: ``key``, ``mark``, ``at`` (of that word) and ``item_id``."""
-    index, wanted = searched(docs, windows, key, text, span - 1)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - (span - 1), F.lit(1)))
-    near = F.exists(starts, lambda s: F.size(F.array_except("gram", F.slice("near", s, span))) == 0)
-    return index.join(small(wanted), "term").where(near).select("key", "mark", "at", "gram").join(
-        small(windows), "gram").select("key", "mark", "at", "item_id").distinct()
+    occurrence of its rarest word: ``key``, ``mark``, ``at`` (of that word) and ``item_id``. Lists meet by ranges of
+    ``span`` words, rarest terms first, so no row meets more than a few ranges of another list."""
+    texts, index, wanted = searched(docs, windows, key, text, F.array_distinct("order.term"))
+    needs = wanted.select("id", F.array_distinct("order.term").alias("needs"))
+    rarest = index.join(small(needs.withColumn("term", F.get("needs", F.lit(0)))), "term").select(
+        "key", "mark", "id", "at", F.coalesce(F.get("needs", F.lit(1)), "term").alias("term"))
+    two = written(beside(rarest, index, span, "left_semi").select("key", "mark", "id", "at").distinct(), "places")
+    lists = postings(in_documents(texts, two), terms_of(wanted, F.col("order.term")))
+    asked = two.join(small(needs), "id").select("key", "mark", "id", "at", F.size("needs").alias("n"),
+                                                F.explode("needs").alias("term"))
+    near = beside(asked, lists, span, "inner").groupBy("key", "mark", "id", "at", "n").agg(
+        F.collect_set(F.struct(F.col("__at").alias("at"), F.col("__term").alias("term"))).alias("places"))
+    whole = F.exists(F.sequence(F.col("at") - (span - 1), "at"), lambda s: F.size(F.array_distinct(F.transform(
+        F.filter("places", lambda p: p["at"].between(s, s + span - 1)), lambda p: p["term"]))) == F.col("n"))
+    items = windows.join(small(wanted.select("id", "gram")), "gram").select("id", "item_id")
+    return near.where(whole).select("key", "mark", "id", "at").join(small(items), "id").drop("id").distinct()
+
+
+def beside(asked: DataFrame, index: DataFrame, span: int, how: str) -> DataFrame:
+    """Rows of ``asked`` with postings of their ``term`` less than ``span`` words away from ``at``, one for each posting
+    (``__at``) where ``how`` is inner."""
+    lists = index.select(*[F.col(c).alias("__" + c) for c in ("key", "mark", "term", "at")]).withColumn(
+        "__range", F.floor(F.col("__at") / span))
+    ranges = asked.withColumn("range", F.explode(F.sequence(
+        F.floor((F.col("at") - (span - 1)) / span), F.floor((F.col("at") + (span - 1)) / span))))
+    return ranges.join(lists, F.expr("key <=> __key AND mark = __mark AND term = __term AND range = __range")
+                       & (F.abs(F.col("at") - F.col("__at")) < span), how).drop("range", "__range")
 
 
 def hits_by_document(index: DataFrame, matches: DataFrame) -> DataFrame:
@@ -128,8 +179,8 @@ def without_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
                     min_words: int = 1) -> DataFrame:
     """The rows of ``docs`` without any window of an item of ``min_words`` words at least."""
     windows = test_windows(items, window=window, min_words=min_words)
-    index, wanted = searched(docs, windows, key, text, window - 1)
-    found = phrase_matches(index, wanted, windows, window).select("key", "mark").distinct()
+    texts, index, wanted = searched(docs, windows, key, text)
+    found = phrase_matches(texts, index, wanted, windows).select("key", "mark").distinct()
     rows = docs.withColumn("__mark", mark_of(F.col(text)))
     return rows.join(found, rows[key].eqNullSafe(found["key"]) & (rows["__mark"] == found["mark"]), "left_anti").select(
         *docs.columns)
@@ -142,13 +193,23 @@ def mark_of(text: Column) -> Column:
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its words, the words under matches and the items they belong to."""
     windows = test_windows(items)
-    index, wanted = searched(docs, windows, key, text, WINDOW - 1)
+    texts, index, wanted = searched(docs, windows, key, text)
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    return hits_by_document(index, phrase_matches(index, wanted, windows)).select(
+    return hits_by_document(index, phrase_matches(texts, index, wanted, windows)).select(
         F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def proximity_report(docs: DataFrame, items: DataFrame, span: int = 2 * WINDOW, key: str = "doc_id", text: str = "text",
+                     ) -> DataFrame:
+    """Documents with any window of an item in any order among ``span`` words: their items, and the digest of those.
+    Rows that repeat a document (same key and text) are one row."""
+    found = proximity_matches(docs, test_windows(items), span, key, text).groupBy("key", "mark").agg(
+        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return found.select(F.col("key").alias(key), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+
+
 #: DuckDB SQL for ``op1_decontaminate``.
 SQL = r"""
 WITH docs AS (

@@ -49,6 +49,23 @@ def op1(docs, items):
     return out
 
 
+def proximity(docs, items, span=20, window=10):
+    wanted = {}
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            wanted.setdefault(frozenset(w[i:i + window]), set()).add(item)
+    out = []
+    for doc, text in dict.fromkeys((k, t or "") for k, t in docs):
+        w, found = words(text), set()
+        for i in range(max(1, len(w) - span + 1)):
+            here = set(w[i:i + span])
+            found.update(x for g, ids in wanted.items() if g <= here for x in ids)
+        if found:
+            out.append((doc, len(found), sha(",".join(sorted(map(str, found))))))
+    return out
+
+
 def op2(docs):
     base = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     out = []

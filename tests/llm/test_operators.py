@@ -151,8 +151,8 @@ def test_proximity_matches(spark):
     windows = decontaminate.test_windows(items)
     near = decontaminate.proximity_matches(docs, windows, span=5)
     assert {(r.key, r.item_id) for r in near.collect()} == {(1, 7), (3, 7)}
-    index, wanted = decontaminate.searched(docs, windows, "doc_id", "text", 9)
-    assert decontaminate.phrase_matches(index, wanted, windows).count() == 0
+    found = decontaminate.searched(docs, windows, "doc_id", "text")
+    assert decontaminate.phrase_matches(*found, windows).count() == 0
 
 
 def test_html_of_pages_without_an_article_element():

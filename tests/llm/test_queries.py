@@ -28,6 +28,7 @@ def read(folder, name, *columns):
 
 COLUMNS = {
     "op1_decontaminate": ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
+    "decontaminate_proximity": ("doc_id", "n_items", "items_sha256"),
     "op2_license_scan": ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
     "op3_simhash": ("doc_id", "fingerprint", "component_id"),
     "op7_quality_rules": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
@@ -43,8 +44,8 @@ COLUMNS = {
 @pytest.mark.parametrize("name", COLUMNS)
 def test_query_equals_plain_version(spark, tables, name):
     docs = read(tables, "documents", "doc_id", "text")
-    plain_version = getattr(brute, name.split("_")[0])
-    if name.startswith("op1_"):
+    plain_version = getattr(brute, name.removeprefix("decontaminate_").split("_")[0])
+    if name.startswith(("op1_", "decontaminate_")):
         want = plain_version(docs, read(tables, "benchmark", "item_id", "text"))
     elif name.startswith("op8_"):
         want = [r[:4] for r in plain_version(read(tables, "pages", "page_id", "url"), catalog.URL_RULES)]
