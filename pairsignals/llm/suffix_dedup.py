@@ -180,9 +180,9 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
 
 #: Kinds of entries and the bytes of their columns: anchors with a flag (of several documents), stretches or windows
 #: (two parts of the key, flagged if the batch has several documents with it) with their smallest document, anchors
-#: with one stretch and a flag (of several stretches).
+#: with one stretch (both parts of its key, flagged if the batch has several stretches).
 ANCHORS, STRETCHES, SEVERAL, WINDOWS = 1, 2, 3, 4
-WIDTHS = {ANCHORS: (6, 1), STRETCHES: (8, 4, 8), SEVERAL: (6, 6, 1), WINDOWS: (8, 4, 8)}
+WIDTHS = {ANCHORS: (6, 1), STRETCHES: (8, 4, 8), SEVERAL: (6, 8, 4), WINDOWS: (8, 4, 8)}
 #: Of replies. Anchors are cut to 32 bits: one that is taken for another costs a look at some more windows.
 TOLD = {ANCHORS: (4,), STRETCHES: (8, 4, 8), SEVERAL: (4,), WINDOWS: (8, 4, 8)}
 BATCHES = "batch long, keys binary, null_keys binary, sizes binary, texts binary"
@@ -403,13 +403,14 @@ def send_stretches(buckets: int):
         if not documents.num_rows:
             return batch_of_entries([])
         batch = Batch(documents, replies)
-        a, anchor = batch.every("a"), batch.every("anchor")
-        out = list(dealt(STRETCHES, least_documents(a, batch.every("b"), batch.every("doc")), batch.number, buckets))
-        order = np.lexsort((a, anchor))
-        a, anchor = a[order], anchor[order]
+        a, b, anchor = batch.every("a"), batch.every("b"), batch.every("anchor")
+        out = list(dealt(STRETCHES, least_documents(a, b, batch.every("doc")), batch.number, buckets))
+        order = np.lexsort((b, a, anchor))
+        a, b, anchor = a[order], b[order], anchor[order]
         new = np.flatnonzero(first_of((anchor,)))
         last = np.append(new[1:], len(anchor)) - 1 if len(new) else new
-        out += dealt(SEVERAL, (anchor[new], a[new] >> _U(16), (a[new] != a[last]).astype(_U)), batch.number, buckets)
+        several = (a[new] != a[last]) | (b[new] != b[last])
+        out += dealt(SEVERAL, (anchor[new], a[new], b[new] | several.astype(_U)), batch.number, buckets)
         return batch_of_entries(out)
     return run
 
@@ -439,12 +440,16 @@ def merge(entries: pa.Table) -> pa.Table:
         (key, *rest), batches = rows_of(entries, kind, WIDTHS[kind])
         if not len(key):
             continue
-        order = np.lexsort((rest[0], key))
+        marked, second = rest[-1] & _U(1), rest[-1] & ~_U(1)
+        order = np.lexsort((second, rest[0], key))
         new = np.flatnonzero(first_of((key[order],)))
         size = np.diff(np.append(new, len(key)))
-        flag = np.logical_or.reduceat(rest[-1][order] > 0, new)
-        # Several batches hold several documents; a stretch that differs from the first differs from the last.
-        flag |= size > 1 if kind == ANCHORS else rest[0][order][new] != rest[0][order][new + size - 1]
+        flag = np.logical_or.reduceat(marked[order] > 0, new)
+        if kind == ANCHORS:
+            flag |= size > 1  # several batches hold several documents
+        else:
+            for part in (rest[0][order], second[order]):  # if any stretches differ, the first and the last do
+                flag |= part[new] != part[new + size - 1]
         told = np.zeros(len(key), bool)
         told[order] = np.repeat(flag, size)
         reply(kind, [key[told] >> _U(16)], batches[told])
@@ -524,7 +529,7 @@ def without_repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "te
     documents = long_.mapInArrow(gathered(target), BATCHES).repartition(batches, "batch")
 
     def replies(entries: DataFrame) -> DataFrame:
-        return entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(frugal(merge), REPLIES)
+        return entries.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(frugal(merge), REPLIES)
 
     def ask(told: DataFrame, run) -> DataFrame:
         told = told.repartition(batches, "batch")
