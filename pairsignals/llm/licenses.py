@@ -55,15 +55,32 @@ TAGS = ("spdx-license-identifier:", "license-expression:", "license-id:")
 PERMISSIVE = frozenset(
     "mit apache bsd isc boost bsl zlib unlicense cc0 0bsd wtfpl public-domain python psf ncsa".split())
 
-_TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9][a-z0-9.+:-]*)", re.ASCII)
+#: First words of other licences' identifiers (fixed values).
+OTHERS = frozenset("gpl lgpl agpl mpl epl eupl cddl artistic ofl osl sspl cc licenseref".split())
+
+_TOKEN = re.compile(r"\s*(\(|\)|[a-z0-9][a-z0-9.+:-]*)", re.ASCII | re.IGNORECASE)
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
+def looks_like_identifier(token: str) -> bool:
+    return bool(re.search("[0-9]|exception", token)) or token.split("-")[0] in PERMISSIVE | OTHERS
+
+
 def expression_tokens(text: str) -> list[str]:
-    """The tokens at the start of ``text`` that can form an expression."""
-    out, at = [], 0
+    """The tokens at the start of ``text`` that can form an expression,
+    lower-cased. What follows an operator in capitals is an identifier; one in
+    small letters may be prose ("MIT and more"), so there only a token that
+    looks like an identifier goes on."""
+    out, at, doubtful = [], 0, False
     while m := _TOKEN.match(text, at):
-        out.append(m[1])
+        token = m[1].lower()
+        if token in _PRECEDENCE:
+            doubtful = m[1] != token.upper()
+        elif token not in ("(", ")"):
+            if doubtful and not looks_like_identifier(token):
+                break
+            doubtful = False
+        out.append(token)
         at = m.end()
     return out
 
@@ -157,7 +174,7 @@ def scan(text: bytes) -> tuple:
     lower = text.translate(LOWER_BYTES).decode("latin-1")
     for end, _ in tags.iter(lower):
         line_end = lower.find("\n", end)
-        tokens = expression_tokens(lower[end + 1:line_end if line_end >= 0 else len(lower)])
+        tokens = expression_tokens(text[end + 1:line_end if line_end >= 0 else len(text)].decode("latin-1"))
         try:
             order, used = postfix(tokens)
         except ValueError:
@@ -167,7 +184,7 @@ def scan(text: bytes) -> tuple:
         labels |= found
         permissive.append(free)
     # How sure it is that the text is, or carries, a licence: a parsed tag is certain, phrases add up.
-    score = 1.0 if expressions else 1.0 - 0.5 ** min(covered, 40) if covered else 0.0
+    score = 1.0 if expressions else 1.0 - 0.5 ** covered
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), score, expressions, all(permissive) if permissive else None)
 

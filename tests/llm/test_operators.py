@@ -79,11 +79,18 @@ def test_token_files_with_many_blocks(spark, tables, monkeypatch):
     ("MIT", {"mit"}, True), ("GPL-2.0-only OR MIT", {"gpl-2.0-only", "mit"}, True),
     ("GPL-2.0-only AND MIT", {"gpl-2.0-only", "mit"}, False), ("MIT OR GPL-3.0 AND BSD-2-Clause", {"mit", "gpl-3.0", "bsd-2-clause"}, True),
     ("(MIT OR GPL-3.0) AND GPL-2.0", {"mit", "gpl-3.0", "gpl-2.0"}, False),
-    ("Apache-2.0 WITH LLVM-exception", {"apache-2.0 with llvm-exception"}, True), ("MIT and more", {"mit", "more"}, False),
+    ("Apache-2.0 WITH LLVM-exception", {"apache-2.0 with llvm-exception"}, True), ("MIT and more", {"mit"}, True),
+    ("MIT and (more", {"mit"}, True), ("own-terms or what follows", {"own-terms"}, False), ("isc and zlib or so", {"isc", "zlib"}, True),
 ])
 def test_license_expressions(text, named, free):
-    order, _ = licenses.postfix(licenses.expression_tokens(text.lower()))
-    assert licenses.evaluate(order) == (named, free)
+    for spelled in (text, text.lower()):
+        order, _ = licenses.postfix(licenses.expression_tokens(spelled))
+        assert licenses.evaluate(order) == (named, free)
+
+
+def test_operators_in_capitals_are_followed_by_any_identifier():
+    order, _ = licenses.postfix(licenses.expression_tokens("MIT AND Own-Terms OR More and less"))
+    assert licenses.evaluate(order) == ({"mit", "own-terms", "more"}, False)
 
 
 @pytest.mark.parametrize("text", ["", "and", "( mit", "or mit", ")"])

@@ -107,18 +107,19 @@ def labels_of(text):
     low = text.translate(brute.UPPER).encode().decode("latin-1")
     for tag in licenses.TAGS:
         for m in re.finditer(re.escape(tag), low):
-            tokens = licenses.expression_tokens(low[m.end():].split("\n")[0])
+            tokens = licenses.expression_tokens(text.encode().decode("latin-1")[m.end():].split("\n")[0])
             whole = next((f for k in range(len(tokens), 0, -1) if (f := parsed(tokens[:k]))), None)
             if whole:
                 labels |= whole[0]
                 tagged = True
-    return ",".join(sorted(labels)), 1.0 if tagged else 1.0 - 0.5 ** min(covered, 40) if covered else 0.0
+    return ",".join(sorted(labels)), 1.0 if tagged else 1.0 - 0.5 ** covered
 
 
 def test_license_labels_and_scores_equal_plain_search(tables):
     held = pq.read_table(f"{tables}/documents.parquet").to_pydict()["text"]
     rng = random.Random(3)
-    words = ["mit", "gpl-2.0-only", "or", "and", "with", "(", ")", "apache-2.0", "bsd-3-clause", "classpath-exception-2.0"]
+    words = ["mit", "gpl-2.0-only", "or", "and", "with", "(", ")", "apache-2.0", "bsd-3-clause", "classpath-exception-2.0",
+             "MIT", "OR", "AND", "WITH", "more", "Own-Terms"]
     made = [f"x\n{rng.choice(licenses.TAGS)} {' '.join(rng.choice(words) for _ in range(rng.randrange(1, 9)))}\nmit license"
             for _ in range(300)]
     notices = [f"Text {p}. {q}, the end" for p in licenses.NOTICES for q in licenses.BASE]
