@@ -240,6 +240,14 @@ def first_of(columns: tuple[np.ndarray, ...]) -> np.ndarray:
     return new
 
 
+def other_than_first(new: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For groups of rows that start at ``new``: is any key (a, b) another than the group's first?"""
+    if not len(new):
+        return np.zeros(0, bool)
+    first = np.repeat(new, np.diff(np.append(new, len(a))))
+    return np.logical_or.reduceat((a != a[first]) | (b != b[first]), new)
+
+
 def least_documents(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key (a, b) once, in order, flagged if it has several documents, with its smallest one."""
     key = b & ~_U(1)
@@ -405,12 +413,11 @@ def send_stretches(buckets: int):
         batch = Batch(documents, replies)
         a, b, anchor = batch.every("a"), batch.every("b"), batch.every("anchor")
         out = list(dealt(STRETCHES, least_documents(a, b, batch.every("doc")), batch.number, buckets))
-        order = np.lexsort((b, a, anchor))
+        order = np.argsort(anchor, kind="stable")
         a, b, anchor = a[order], b[order], anchor[order]
         new = np.flatnonzero(first_of((anchor,)))
-        last = np.append(new[1:], len(anchor)) - 1 if len(new) else new
-        several = (a[new] != a[last]) | (b[new] != b[last])
-        out += dealt(SEVERAL, (anchor[new], a[new], b[new] | several.astype(_U)), batch.number, buckets)
+        several = other_than_first(new, a, b).astype(_U)
+        out += dealt(SEVERAL, (anchor[new], a[new], b[new] | several), batch.number, buckets)
         return batch_of_entries(out)
     return run
 
@@ -440,16 +447,13 @@ def merge(entries: pa.Table) -> pa.Table:
         (key, *rest), batches = rows_of(entries, kind, WIDTHS[kind])
         if not len(key):
             continue
-        marked, second = rest[-1] & _U(1), rest[-1] & ~_U(1)
-        order = np.lexsort((second, rest[0], key))
+        order = np.argsort(key, kind="stable")
         new = np.flatnonzero(first_of((key[order],)))
         size = np.diff(np.append(new, len(key)))
-        flag = np.logical_or.reduceat(marked[order] > 0, new)
-        if kind == ANCHORS:
-            flag |= size > 1  # several batches hold several documents
-        else:
-            for part in (rest[0][order], second[order]):  # if any stretches differ, the first and the last do
-                flag |= part[new] != part[new + size - 1]
+        rest = [x[order] for x in rest]
+        flag = np.logical_or.reduceat(rest[-1] & _U(1) > 0, new)
+        # Several batches hold several documents; of stretches both parts decide.
+        flag |= size > 1 if kind == ANCHORS else other_than_first(new, rest[0], rest[1] & ~_U(1))
         told = np.zeros(len(key), bool)
         told[order] = np.repeat(flag, size)
         reply(kind, [key[told] >> _U(16)], batches[told])
