@@ -21,7 +21,7 @@ ALIGNED = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("p
 
 
 #: Rules of the url query (host, path, verdict), as given.
-URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
