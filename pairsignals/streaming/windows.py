@@ -1,7 +1,7 @@
 """Newest bars of each ticker as a stream with state (W2 over arriving bars).
 
 Bars arrive in any order, corrections among them. The state of a ticker holds
-its newest ``n`` bars by date (a map from date to bar); a bar of a date that it
+its newest ``n`` bars by date (one value of arrays); a bar of a date that it
 holds replaces it if its load is not older, a bar older than all ``n`` is of
 no use, and the oldest goes when there are too many. Every batch emits the
 whole window of the tickers it touched, so the last rows of a ticker are its
@@ -34,8 +34,8 @@ WINDOWS = T.StructType([
     T.StructField("volume", T.DoubleType()),
     T.StructField("load_id", T.LongType()),
 ])
-KEY = T.StructType([T.StructField("date", T.DateType())])
-HELD = T.StructType(WINDOWS.fields[3:])
+#: The state of a ticker: its bars as one value of arrays, so a batch reads and writes it in one call each.
+HELD = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in WINDOWS.fields[2:]])
 
 
 class NewestBars(StatefulProcessor):
@@ -45,12 +45,16 @@ class NewestBars(StatefulProcessor):
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("newest", KEY, HELD)
+        self.held = handle.getValueState("newest", HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v for k, v in self.held.iterator()}
+        stored = self.held.get()
+        held = {date: tuple(row) for date, *row in zip(*stored)} if stored else {}
         before = dict(held)
         for batch in rows:
+            if len(batch) > self.n:  # of one batch, too, only the newest n dates can stay
+                last = sorted(set(batch["date"]), reverse=True)[:self.n][-1]
+                batch = batch[(batch["date"] >= last).to_numpy()]
             for date, close, volume, load in zip(batch["date"], batch["close"], batch["volume"], batch["load_id"]):
                 row = (none(close), none(volume), int(load))
                 # Of one load, the larger values win, in whatever order they come.
@@ -59,11 +63,8 @@ class NewestBars(StatefulProcessor):
             if len(held) > 4 * self.n:
                 held = newest(held, self.n)
         held = newest(held, self.n)
-        for date in before.keys() - held.keys():
-            self.held.removeKey((date,))
-        for date, row in held.items():
-            if before.get(date) != row:
-                self.held.updateValue((date,), row)
+        if held != before:
+            self.held.update(tuple(map(list, zip(*((date, *row) for date, row in held.items())))))
         yield pd.DataFrame([(key[0], rk, date, *held[date]) for rk, date in enumerate(sorted(held, reverse=True), 1)],
                            columns=WINDOWS.names)
 
@@ -72,7 +73,7 @@ class NewestBars(StatefulProcessor):
 
 
 def none(value) -> float | None:
-    return None if value is None or pd.isna(value) else float(value)
+    return None if value is None or value != value else float(value)
 
 
 def order(row: tuple) -> tuple:

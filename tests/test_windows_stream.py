@@ -44,3 +44,31 @@ def test_windows_survive_restarts_and_late_bars(spark):
     finally:
         spark.conf.set(conf, before)
     assert {r.ticker for r in read_windows(spark, out).collect()} == {"A", "B", "C"}
+
+
+def test_a_batch_reads_and_writes_the_state_once():
+    import pandas as pd
+    from pairsignals.streaming.windows import NewestBars
+
+    class Held:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def getValueState(self, name, schema):
+            return self
+
+    held, bars = Held(), NewestBars(10)
+    bars.init(held)
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=k) for k in range(300)]
+    for load, part in ((1, days[:200]), (2, days[150:])):
+        batch = pd.DataFrame({"date": part, "close": float(load), "volume": 1.0, "load_id": load})
+        out = pd.concat(bars.handleInputRows(("A",), iter([batch]), None))
+        assert list(out["date"]) == part[:-11:-1] and set(out["close"]) == {float(load)}
+    assert held.calls == 4
