@@ -1,0 +1,31 @@
+"""Bars of given pairs, matched in the tasks of their blocks."""
+
+import datetime as dt
+
+from pairsignals.operators import kernels
+from pairsignals.operators.pairs import pair_residuals, pairs_aligned_date, pairs_aligned_rank
+
+DAY = dt.date(2001, 1, 1)
+
+
+def test_matches_equal_plain_ones_and_join_no_pairs_with_windows(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "MATCHED_ROWS", 7)
+    bars = {t: [(i, DAY - dt.timedelta(days=i * k), float(10 * k + i)) for i in range(6)]
+            for k, t in enumerate("ABCDE", 1)}
+    window = spark.createDataFrame([(t, *r) for t, rows in bars.items() for r in rows],
+                                   "ticker string, i int, date date, v double")
+    asked = [(a, b) for a in "ABCDE" for b in "ABCDE" if a != b][::2] + [("A", "none")]
+    pairs = spark.createDataFrame([(*p, 1.0, 2.0) for p in asked],
+                                  "stock_a string, stock_b string, alpha double, beta double")
+    by_date, by_rank, resid = set(), set(), set()
+    for a, b in asked[:-1]:
+        shared = [(d, x, y) for _, d, x in bars[a] for _, e, y in bars[b] if d == e]
+        by_date |= {(a, b, *r, len(shared)) for r in shared if len(shared) >= 2}
+        for (i, d, x), (_, e, y) in zip(bars[a], bars[b]):
+            by_rank.add((a, b, i, d, e, x, y))
+            resid.add((a, b, i, x - 1.0 - 2.0 * y))
+    for got, want in ((pairs_aligned_date(window, pairs, 2), by_date), (pairs_aligned_rank(window, pairs), by_rank),
+                      (pair_residuals(window, pairs), resid)):
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(want) and set(rows) == want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
