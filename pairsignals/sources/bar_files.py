@@ -67,6 +67,10 @@ def parse(path: str, content: bytes) -> pd.DataFrame:
     check("date", dates.isna(), rows["date"], "date")
     out = pd.DataFrame({"date": dates.dt.date})
     for name in NUMBERS:
+        numbers = pd.to_numeric(rows[name], errors="coerce")
+        if not numbers.isna().any():
+            out[name] = numbers.astype(float)
+            continue
         given = rows[name].str.strip()
         numbers = pd.to_numeric(given, errors="coerce")
         check(name, numbers.isna() & (given != "") & (given.str.lower() != "nan"), given, "number")

@@ -39,6 +39,12 @@ def test_a_missing_number_is_null_and_nan_is_nan():
     assert rows[0]["volume"] == 100.0
 
 
+def test_a_column_of_numbers_is_made_of_no_objects():
+    rows = parse("a.csv", (HEADER + ROW + "2001-02-04, 1 ,2,0.5,1.5,\n").encode())
+    assert [rows[c].dtype.kind for c in ("open", "high", "low", "close", "volume")] == list("ffffO")
+    assert list(rows["open"]) == [1.0, 1.0] and rows["volume"][1] is None
+
+
 def put(spark, root, ticker, name, content):
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ticker={ticker}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
