@@ -1,0 +1,47 @@
+"""Report rounding, and the size of the method generated for it."""
+
+import math
+import re
+
+from pyspark.sql import functions as F
+
+from conftest import make_bars, random_series
+from pairsignals.config import AnalysisConfig
+from pairsignals.plans.analysis import pair_verdicts
+from pairsignals.plans.catalog import report
+
+
+def test_verdict_columns_are_rounded_in_a_method_that_is_compiled(spark):
+    """HotSpot leaves a method of more than 8,000 bytes interpreted; Spark's
+    own limit is far above it unless the session lowers it."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    bars = make_bars(spark, {f"T{k}": random_series(rng, 40) for k in range(4)})
+    old = {k: spark.conf.get(k) for k in ("spark.sql.codegen.hugeMethodLimit", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = report(pair_verdicts(bars, AnalysisConfig(min_days=30, min_mean_volume=0.0, ndays=20, pair_blocks=2)))
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        text = debug.codegenString(df._jdf.queryExecution().executedPlan())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_numbers_that_have_no_scale_are_kept(spark):
+    given = [0.0, -0.0, float("nan"), float("inf"), float("-inf"), 1e11, -3e15, 5e-324, 1e-7, 0.1234565, -2.5000005,
+             12345678.123456789, 98765432109.87, 1.7976931348623157e308, None]
+    got = [r.x for r in report(spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double")
+                               .orderBy("i")).collect()]
+
+    def want(x):
+        if x is None or math.isnan(x) or x == 0 or abs(x) >= 1e11:
+            return x
+        s = 10.0 ** min(6, 9 - math.floor(math.log10(abs(x))))
+        return math.floor(x * s + 0.5) / s
+
+    assert [repr(x) for x in got] == [repr(want(x)) for x in given]
+    assert report(spark.range(1).select(F.col("id"))).columns == ["id"]
