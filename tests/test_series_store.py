@@ -64,6 +64,22 @@ def test_pairs_never_self_and_both_orders(spark):
         assert all((b_, a) in rows for a, b_ in rows)
 
 
+def test_pairs_all_is_dealt_to_its_tasks_whatever_the_rows_sent(spark):
+    t = spark.range(400).select(F.col("id").cast("string").alias("ticker"))
+    made = pairs_all(t, 4).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in made) == 400 * 399
+    assert len(made) == 10  # few bytes are sent: AQE once left them to four tasks
+    assert max(r["count"] for r in made) < 2 * 400 * 399 / 10
+
+
+def test_pairs_all_null_ticker_and_repeats_as_in_sql(spark):
+    t = spark.createDataFrame([("A",), (None,), ("B",), ("B",), ("C",), ("",)], "ticker string")
+    t.createOrReplaceTempView("named")
+    sql = spark.sql("SELECT a.ticker AS stock_a, b.ticker AS stock_b FROM named a JOIN named b ON a.ticker <> b.ticker")
+    for b in (1, 3):
+        assert sorted(map(tuple, pairs_all(t, b).collect())) == sorted(map(tuple, sql.collect()))
+
+
 def test_empty_universe_and_ticker_without_bars(spark):
     bars = make_bars(spark, {"A": [1.0, 2.0, 3.0, 4.0, 5.0, 7.0], "B": [2.0, 1.0, 4.0, 3.0, 6.0, 5.0]})
     empty = spark.createDataFrame([], schemas.UNIVERSE)
