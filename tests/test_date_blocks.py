@@ -102,3 +102,11 @@ def test_sizes_need_no_joined_rows_of_sure_pairs(monkeypatch, diagonal, odd):
     assert got == sorted(map(tuple, every[["stock_a", "stock_b", "adf_m"]].astype(object).to_numpy().tolist()))
     assert {m for *_, m in got} > ({0} if odd else set()) and bool(joined) == odd
     assert len(made) < 0.8 * len(got)
+
+
+def test_critical_values_are_computed_before_pairs_are_listed(spark):
+    from conftest import SF_SMALL
+    from pairsignals.plans.catalog import QUERIES
+    plan = QUERIES["adf_critical_values"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate explode(stock_b", 1)
+    assert "-3.43035" not in above and "-3.43035" in below.split("FlatMapGroupsInArrow")[0]
